@@ -1,4 +1,374 @@
-"""Queries of the document operators over the tables of a folder, and their SQL."""
+"""Queries of the document operators over the tables of a folder, and their SQL.
+
+Where the tables hold no such input (chaptered texts, Markdown, contents tables, font spans), the query first
+makes it from a table by a plain projection, which its SQL does too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import classify, markdown, text
+from .operators import chapters, html, qr
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- inputs made from the tables -------------------------------------------------------------------------------------
+
+WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> ''))"
+
+
+def chaptered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each conversation as one plain text with a chapter line before each turn."""
+    rows = table(spark, sf_dir, "conversations").withColumn("part", F.concat(F.lit("Chapter "), F.col("turn") + 1, F.lit(": "), F.col("role"), F.lit("\n"), F.col("text")))
+    joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("parts"))
+    return joined.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("Preface\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n")).alias("text"))
+
+
+CHAPTERED = "chaptered AS (SELECT conv_id AS doc_id, 'Preface' || chr(10) || string_agg('Chapter ' || (turn + 1) || ': ' || role || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+
+
+def marked_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each conversation as Markdown with a heading of level 1 to 3 before each turn."""
+    rows = table(spark, sf_dir, "conversations").withColumn("part", F.concat(F.repeat(F.lit("#"), (F.col("turn") % 3 + 1).cast("int")), F.lit(" Turn "), F.col("turn"), F.lit("\n\n"), F.col("text")))
+    joined = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "part"))).alias("parts"))
+    return joined.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n").alias("text"))
+
+
+MARKED_DOWN = "marked_down AS (SELECT conv_id AS doc_id, string_agg(repeat('#', (turn % 3 + 1)::INT) || ' Turn ' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+
+
+# --- words, times, titles --------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, {WORDS.format('text')} AS word_count, len(string_split(text, chr(10))) AS line_count FROM documents)
+    SELECT doc_id, word_count, line_count, greatest(1, CAST(ceil(word_count / 200.0) AS BIGINT)) AS minutes_up,
+           greatest(1, CAST(CASE WHEN (word_count / 225.0) % 1 = 0.5 THEN 2 * round(word_count / 450.0) ELSE round(word_count / 225.0) END AS BIGINT)) AS minutes_even,
+           greatest(1, word_count // 250) AS minutes_down
+    FROM w""")
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, lines and the three reading times of every document."""
+    n = text.word_count("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", n.alias("word_count"), F.size(text.lines("text")).cast("long").alias("line_count"), text.minutes_up(n).alias("minutes_up"), text.minutes_even(n).alias("minutes_even"), text.minutes_down(n).alias("minutes_down")
+    )
+
+
+@query("""
+    WITH l AS (SELECT doc_id, trim(split_part(regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g'), chr(10), 1), ' ' || chr(9)) AS line FROM documents)
+    SELECT doc_id, CASE WHEN length(line) BETWEEN 1 AND 99 THEN line ELSE 'doc-' || doc_id END AS title FROM l""")
+def text_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line as title, else a name made from the id."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_line_title("text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("title"))
+
+
+@query(f"""
+    SELECT lang, count(*) AS documents, sum({WORDS.format('text')})::BIGINT AS words, sum(length(text))::BIGINT AS characters FROM documents GROUP BY lang""")
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, words and characters of the corpus by language."""
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(text.word_count("text")).alias("words"), F.sum(F.length("text")).cast("long").alias("characters"))
+
+
+# --- cleaning --------------------------------------------------------------------------------------------------------
+
+_CLEAN_SQL = "text"
+for _p in (r"\[\d+\]", r"(?m)^\s*Page \d+.*$", r"(?m)^\s*Chapter \d+\s*$", r"<[^>]+>", r"\*{3,}", r"_{3,}", r"(?m)^\s*[-–—]{3,}\s*$", r"(?mi)^\s*Table of Contents\s*$"):
+    _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '{_p}', '', 'g')"
+for _p, _r in (("—", " -- "), ("–", "-"), ("…", "..."), ('[“”"]', '"'), ("[‘’'']", "''"), (" ", " "), (" {2,}", " "), (r"\t", " ")):
+    _CLEAN_SQL = f"regexp_replace({_CLEAN_SQL}, '{_p}', '{_r}', 'g')"
+_STRIP = "regexp_replace({0}, '\\A\\s+|\\s+\\z', '', 'g')"
+_TIDY_SQL = _STRIP.format(f"regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_CLEAN_SQL}, chr(10)), lambda x: {_STRIP.format('x')}), chr(10)), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"SELECT doc_id, md5({_TIDY_SQL}) AS cleaned_md5, length({_TIDY_SQL}) AS cleaned_length FROM documents")
+def text_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaner over every document: removals, replacements, white space."""
+    out = table(spark, sf_dir, "documents").select("doc_id", text.cleaned("text").alias("cleaned"))
+    return out.select("doc_id", F.md5("cleaned").alias("cleaned_md5"), F.length("cleaned").cast("long").alias("cleaned_length"))
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, {_STRIP.format("regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: " + _STRIP.format('x') + "), chr(10)), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS t FROM documents)
+    SELECT doc_id, md5(t) AS cleaned_md5 FROM c""")
+def ebook_text_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-book cleaner: lines stripped, two blank lines at most."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.tidy_lines("text", 2)).alias("cleaned_md5"))
+
+
+@query("""
+    SELECT doc_id, md5(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5, length(text) AS characters FROM documents""")
+def text_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes with CRLF line ends, decoded with the fallback cascade and translated to LF."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\r\n")).cast("binary").alias("content"))
+    return raw.select("doc_id", text.decoded("content").alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("characters"))
+
+
+# --- chapters --------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH {CHAPTERED},
+    l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM chaptered),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, regexp_replace(line, '\\A\\s+|\\s+\\z', '', 'g') AS s FROM l),
+    m AS (SELECT *, CASE WHEN regexp_matches(s, '(?i)^Chapter\\s+(\\d+)') OR regexp_matches(s, '(?i)^Chapter\\s+(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten|Eleven|Twelve|Thirteen|Fourteen|Fifteen|Sixteen|Seventeen|Eighteen|Nineteen|Twenty)')
+          OR regexp_matches(s, '(?i)^CHAPTER\\s+(\\d+|[IVX]+)') THEN 'Chapter' WHEN regexp_matches(s, '(?i)^Part\\s+(\\d+|[IVX]+|One|Two|Three|Four|Five)') THEN 'Part'
+          WHEN regexp_matches(s, '(?i)^Section\\s+(\\d+|[A-Z])') OR regexp_matches(s, '(?i)^([IVX]+)\\.\\s+[A-Z]') THEN 'Section' WHEN regexp_matches(s, '(?i)^(\\d+)\\.\\s+[A-Z][a-z]+') THEN 'Chapter' END AS kind FROM o),
+    k AS (SELECT *, lead(i) OVER w AS next_i, lead(off) OVER w AS next_off, row_number() OVER w AS chapter_id, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    seg AS (SELECT doc_id, chapter_id, s AS title, kind AS chapter_type, off AS start_position, coalesce(next_off, length(text) + 1) AS end_position, i AS line_number,
+            regexp_replace(substr(text, off::INT + 1, (coalesce(next_off, length(text) + 1) - off)::INT), '\\A\\s+|\\s+\\z', '', 'g') AS content FROM k WHERE n > 1),
+    one AS (SELECT doc_id, 1 AS chapter_id, CASE WHEN length(f) BETWEEN 1 AND 99 THEN f ELSE 'Document' END AS title, 'single' AS chapter_type, 0 AS start_position, length(text) AS end_position, 0 AS line_number, text AS content
+            FROM (SELECT *, trim(split_part(regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g'), chr(10), 1)) AS f FROM chaptered WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE n > 1))),
+    a AS (SELECT * FROM seg UNION ALL SELECT * FROM one)
+    SELECT doc_id, chapter_id::BIGINT AS chapter_id, title, chapter_type, start_position::BIGINT AS start_position, end_position::BIGINT AS end_position, line_number::BIGINT AS line_number, {WORDS.format('content')} AS word_count, md5(content) AS content_md5 FROM a""")
+def text_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of plain texts by their marker lines."""
+    out = chapters.text_chapters(chaptered(spark, sf_dir))
+    return out.select("doc_id", "chapter_id", "title", "chapter_type", "start_position", "end_position", "line_number", "word_count", F.md5("content").alias("content_md5"))
+
+
+@query(f"""
+    WITH {MARKED_DOWN},
+    l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM marked_down),
+    o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM l),
+    h AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\\s+.', 1)) AS level FROM o WHERE regexp_matches(line, '^#{{1,6}}\\s+.') AND length(regexp_extract(line, '^(#{{1,6}})\\s+.', 1)) <= 2),
+    k AS (SELECT *, lead(off) OVER w AS next_off, row_number() OVER w AS chapter_id FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    c AS (SELECT doc_id, chapter_id, regexp_replace(line, '^#{{1,6}}\\s+|\\s+$', '', 'g') AS title, level, off AS start_position, coalesce(next_off, length(text)) AS end_position,
+          regexp_replace(substr(text, off::INT + 1, (coalesce(next_off, length(text)) - off)::INT), '\\A\\s+|\\s+\\z', '', 'g') AS content FROM k)
+    SELECT doc_id, chapter_id, title, level::INT AS level, start_position::BIGINT AS start_position, end_position::BIGINT AS end_position, {WORDS.format('content')} AS word_count, md5(content) AS content_md5 FROM c""")
+def markdown_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of Markdown by headings of levels 1 and 2."""
+    out = chapters.heading_chapters(marked_down(spark, sf_dir))
+    return out.select("doc_id", "chapter_id", "title", "level", "start_position", "end_position", "word_count", F.md5("content").alias("content_md5"))
+
+
+@query(f"""
+    WITH {MARKED_DOWN},
+    l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM marked_down)
+    SELECT doc_id, count(*) AS headings, max(length(regexp_extract(line, '^(#{{1,6}})', 1)))::INT AS deepest FROM l WHERE regexp_matches(line, '^#{{1,6}}\\s+.') GROUP BY doc_id""")
+def markdown_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of each Markdown text and the deepest level."""
+    return chapters.headings(marked_down(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("headings"), F.max("level").alias("deepest"))
+
+
+SPINE = "spine AS (SELECT conv_id AS book_id, turn AS spine_idx, CASE WHEN turn % 2 = 0 THEN role END AS item_title, 'f' || turn || '.xhtml' AS file_name, text FROM conversations)"
+
+
+def spine_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("spine_idx"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("item_title"), F.concat(F.lit("f"), F.col("turn"), F.lit(".xhtml")).alias("file_name"), "text")
+
+
+SPINE_CHAPTERS = f"""{SPINE},
+    s AS (SELECT *, row_number() OVER w AS chapter_id, coalesce(sum(length(text) + 2) OVER (PARTITION BY book_id ORDER BY spine_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_position
+          FROM spine WHERE trim(text) <> '' WINDOW w AS (PARTITION BY book_id ORDER BY spine_idx)),
+    sc AS (SELECT book_id, chapter_id, coalesce(item_title, 'Chapter ' || chapter_id) AS title, file_name, start_position, start_position + length(text) AS end_position, {WORDS.format('text')} AS word_count FROM s)"""
+
+
+@query(f"WITH {SPINE_CHAPTERS} SELECT book_id, chapter_id, title, start_position, end_position::BIGINT AS end_position, word_count FROM sc")
+def spine_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter for each spine document with its place in the book."""
+    return chapters.spine_chapters(spine_of(spark, sf_dir)).select("book_id", "chapter_id", "title", "start_position", "end_position", "word_count")
+
+
+@query(f"""
+    WITH {SPINE_CHAPTERS},
+    p AS (SELECT book_id, title, chapter_id, word_count, row_number() OVER (PARTITION BY book_id, title ORDER BY chapter_id) AS nth FROM sc WHERE word_count >= 20)
+    SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_id) AS chapter_id, CASE WHEN nth = 1 THEN title ELSE title || ' (' || nth || ')' END AS title, word_count FROM p""")
+def chapters_postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short chapters dropped, repeated titles told apart, numbers renewed."""
+    return chapters.postprocessed(chapters.spine_chapters(spine_of(spark, sf_dir)), "book_id", 20).select("book_id", "chapter_id", "title", "word_count")
+
+
+def toc_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("ord"), (F.col("turn") % 2 + 1).cast("int").alias("level"), F.concat(F.lit("Entry "), F.col("turn")).alias("title"), F.concat(F.lit("f"), F.col("turn") + F.when(F.col("turn") % 5 == 4, 100).otherwise(0), F.lit(".xhtml#a")).alias("href"))
+
+
+@query(f"""
+    WITH {SPINE_CHAPTERS},
+    content AS (SELECT book_id, string_agg(text, chr(10) || chr(10) ORDER BY spine_idx) AS content FROM spine WHERE trim(text) <> '' GROUP BY book_id),
+    toc AS (SELECT conv_id AS book_id, turn AS ord, turn % 2 + 1 AS level, 'Entry ' || turn AS title, 'f' || (turn + CASE WHEN turn % 5 = 4 THEN 100 ELSE 0 END) || '.xhtml' AS file_name FROM conversations),
+    j AS (SELECT toc.*, sc.start_position AS start, lead(sc.start_position) OVER (PARTITION BY toc.book_id ORDER BY ord) AS next_start FROM toc LEFT JOIN sc USING (book_id, file_name))
+    SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY ord) AS chapter_id, title, level::INT AS level, start AS start_position, coalesce(next_start, length(content))::BIGINT AS end_position,
+           {WORDS.format("substr(content, start::INT + 1, greatest(coalesce(next_start, length(content)) - start, 0)::INT)")} AS word_count
+    FROM j JOIN content USING (book_id) WHERE start IS NOT NULL""")
+def contents_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of a table of contents joined to the spine."""
+    found, _ = chapters.contents_chapters(spine_of(spark, sf_dir), toc_of(spark, sf_dir))
+    return found.select("book_id", "chapter_id", "title", "level", "start_position", "end_position", "word_count")
+
+
+@query("""SELECT conv_id AS book_id, turn AS ord, 'Entry ' || turn AS title FROM conversations c WHERE turn % 5 = 4 AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 100 AND trim(d.text) <> '')""")
+def contents_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a table of contents whose file is not in the spine."""
+    return chapters.contents_chapters(spine_of(spark, sf_dir), toc_of(spark, sf_dir))[1].select("book_id", "ord", "title")
+
+
+SPANS = "spans AS (SELECT l_orderkey AS doc_id, (l_linenumber // 3 + 1)::INT AS page_num, l_linenumber AS span_idx, l_returnflag || ' ' || l_partkey AS text, (l_quantity::INT % 7 + 8)::DOUBLE AS font_size, l_linestatus = 'O' AS is_bold FROM lineitem)"
+
+
+def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), (F.floor(F.col("l_linenumber") / 3) + 1).cast("int").alias("page_num"), F.col("l_linenumber").alias("span_idx"), F.concat("l_returnflag", F.lit(" "), "l_partkey").alias("text"), (F.col("l_quantity").cast("int") % 7 + 8).cast("double").alias("font_size"), (F.col("l_linestatus") == "O").alias("is_bold")
+    )
+
+
+@query(f"""
+    WITH {SPANS},
+    s AS (SELECT *, avg(font_size) OVER d AS mean, coalesce(stddev_samp(font_size) OVER d, 0) AS dev, least(dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC), 6) AS level,
+          coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY page_num, span_idx, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM spans WINDOW d AS (PARTITION BY doc_id))
+    SELECT doc_id, page_num, span_idx, text AS title, level::INT AS level, position FROM s WHERE font_size >= mean + 1.5 * dev OR (is_bold AND font_size > mean)""")
+def font_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings by font size and weight, ranked to levels."""
+    return chapters.font_headings(spans_of(spark, sf_dir))
+
+
+@query(f"""
+    WITH {SPANS}, p AS (SELECT doc_id, page_num, sum(length(text)) AS chars FROM spans WHERE page_num <= 3 GROUP BY 1, 2)
+    SELECT doc_id, avg(chars) < 20 AS scanned FROM p GROUP BY doc_id""")
+def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose first pages hold little text."""
+    return chapters.is_scanned(spans_of(spark, sf_dir), threshold=20).select("doc_id", "scanned")
+
+
+# --- web pages -------------------------------------------------------------------------------------------------------
+
+
+def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.read_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+_UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+@query(f"""
+    SELECT page_id, {_STRIP.format(_UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and language of every page, by the precedence of its metadata."""
+    return html.metadata(pages_of(spark, sf_dir), ["page_id"]).select("page_id", "title", "language")
+
+
+@query("""
+    WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS hrefs FROM pages),
+    r AS (SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS link_no, regexp_extract(url, '^([a-z]+)://([^/?#]*)', ['s', 'h']) AS o FROM l)
+    SELECT page_id, link_no::BIGINT AS link_no, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '//%' THEN o.s || ':' || href ELSE o.s || '://' || o.h || href END AS url FROM r""")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every page with their addresses resolved."""
+    return html.link_rows(pages_of(spark, sf_dir), "page_id", "url").select("page_id", "link_no", "url")
+
+
+@query()
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a document: Markdown of its main content, words, reading time, chapters."""
+    read = pages_of(spark, sf_dir)
+    n = text.word_count("markdown")
+    ch = chapters.heading_chapters(read, "page_id", "markdown").groupBy("page_id").agg(F.count("*").alias("chapters"))
+    return read.select("page_id", F.md5("markdown").alias("content_md5"), n.alias("word_count"), text.minutes_even(n).alias("reading_minutes"), F.size("warnings").alias("n_warnings")).join(ch, "page_id", "left").fillna(0, ["chapters"])
+
+
+@query()
+def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of every page, white space tidied."""
+    return pages_of(spark, sf_dir).select("page_id", html.tidy_plain("plain").alias("text")).select("page_id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
+
+
+@query("""
+    SELECT page_id, regexp_extract(url, '^([a-z]+):', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, url LIKE 'http%://_%' AS is_url,
+           lower(regexp_extract(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*)$', 1), '.(\\.[^.]+)$', 1)) AS suffix FROM pages""")
+def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheme, host and suffix of every page's address."""
+    return table(spark, sf_dir, "pages").select("page_id", classify.scheme("url").alias("scheme"), classify.host("url").alias("host"), classify.is_url("url").alias("is_url"), classify.suffix(F.regexp_replace("url", "[?#].*$", "")).alias("suffix"))
+
+
+@query("""
+    WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages), a AS (SELECT unnest(['example.com', 'example.org']) AS domain), b AS (SELECT 'm.example.com' AS domain)
+    SELECT page_id, host FROM h WHERE EXISTS (SELECT 1 FROM a WHERE host = domain OR host LIKE '%.' || domain) AND NOT EXISTS (SELECT 1 FROM b WHERE host = domain OR host LIKE '%.' || domain)""")
+def pages_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose host is in an allowed domain and in no blocked one."""
+    rows = table(spark, sf_dir, "pages").select("page_id", classify.host("url").alias("host"))
+    return qr.in_domains(rows, "host", ["example.com", "example.org"], ["m.example.com"])
+
+
+# --- codes, tags, dates ----------------------------------------------------------------------------------------------
+
+PAYLOADS = """payloads AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'https://e.org/' || doc_id WHEN 1 THEN 'a' || doc_id || '@e.org' WHEN 2 THEN 'tel:' || doc_id WHEN 3 THEN 'WIFI:S:' || doc_id WHEN 4 THEN 'BEGIN:VCARD ' || doc_id
+    WHEN 5 THEN 'geo:1,' || doc_id WHEN 6 THEN 'smsto:' || doc_id WHEN 7 THEN ' www.e' || doc_id || '.org ' ELSE substr(text, 1, 20) END AS raw_data, CASE WHEN doc_id % 4 = 0 THEN 'success' WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status FROM documents)"""
+
+
+def payloads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    k = F.col("doc_id") % 9
+    data = F.substring("text", 1, 20)
+    made = (F.concat(F.lit("https://e.org/"), i), F.concat(F.lit("a"), i, F.lit("@e.org")), F.concat(F.lit("tel:"), i), F.concat(F.lit("WIFI:S:"), i), F.concat(F.lit("BEGIN:VCARD "), i), F.concat(F.lit("geo:1,"), i), F.concat(F.lit("smsto:"), i), F.concat(F.lit(" www.e"), i, F.lit(".org ")))
+    for n, x in reversed(list(enumerate(made))):
+        data = F.when(k == n, x).otherwise(data)
+    status = F.when(F.col("doc_id") % 4 == 0, "success").when(F.col("doc_id") % 4 == 1, "failed").otherwise("pending")
+    return table(spark, sf_dir, "documents").select("doc_id", data.alias("raw_data"), status.alias("fetch_status"))
+
+
+_TYPE_SQL = """CASE WHEN regexp_matches(trim(raw_data), '(?i)^(https?://|www\\.|ftp://)') THEN 'URL' WHEN regexp_matches(trim(raw_data), '(?i)^mailto:') OR regexp_matches(trim(raw_data), '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$') THEN 'EMAIL'
+    WHEN regexp_matches(trim(raw_data), '(?i)^tel:') THEN 'PHONE' WHEN regexp_matches(trim(raw_data), '(?i)^wifi:') THEN 'WIFI' WHEN regexp_matches(trim(raw_data), '(?i)^begin:vcard') THEN 'VCARD' WHEN regexp_matches(trim(raw_data), '(?i)^geo:') THEN 'GEO'
+    WHEN regexp_matches(trim(raw_data), '(?i)^sms(to)?:') THEN 'SMS' ELSE 'TEXT' END"""
+
+
+@query(f"WITH {PAYLOADS} SELECT doc_id, {_TYPE_SQL} AS data_type FROM payloads")
+def payload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type of every code's payload."""
+    return payloads_of(spark, sf_dir).select("doc_id", classify.payload_type("raw_data").alias("data_type"))
+
+
+@query(f"""
+    WITH {PAYLOADS}, t AS (SELECT {_TYPE_SQL} AS data_type, fetch_status FROM payloads)
+    SELECT CASE WHEN grouping(data_type) = 0 THEN 'type' ELSE 'status' END AS kind, coalesce(data_type, fetch_status) AS value, count(*) AS n FROM t GROUP BY GROUPING SETS ((data_type), (fetch_status))""")
+def payload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by type and by status, in one pass of grouping sets."""
+    return qr.summary(payloads_of(spark, sf_dir).withColumn("data_type", classify.payload_type("raw_data")))
+
+
+@query("""
+    SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[,\\n]'), lambda x: lower(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)) IS NOT NULL AS has_tags,
+           len(list_distinct(list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)))::BIGINT AS n_tags FROM documents""")
+def reply_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a model's reply: cut, bared, lower-cased, each once."""
+    tags = classify.model_tags(F.substring("text", 1, 200), 1000)
+    return table(spark, sf_dir, "documents").select("doc_id", tags.isNotNull().alias("has_tags"), F.size(tags).cast("long").alias("n_tags"))
+
+
+IPS = "ips AS (SELECT c_custkey AS id, (c_custkey * 7919 % 256) || '.' || (c_custkey * 104729 % 256) || '.' || (c_custkey % 256) || '.1' AS ip FROM customer)"
+
+
+@query(f"""
+    WITH {IPS}, n AS (SELECT id, ip, split_part(ip, '.', 1)::BIGINT * 16777216 + split_part(ip, '.', 2)::BIGINT * 65536 + split_part(ip, '.', 3)::BIGINT * 256 + split_part(ip, '.', 4)::BIGINT AS v FROM ips)
+    SELECT id, ip FROM n WHERE v BETWEEN 167772160 AND 184549375 OR v BETWEEN 2886729728 AND 2887778303 OR v BETWEEN 3232235520 AND 3232301055 OR v BETWEEN 2130706432 AND 2147483647 OR v BETWEEN 2851995648 AND 2852061183 OR v BETWEEN 0 AND 16777215""")
+def blocked_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses within a blocked network: a range join with nine rows."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat_ws(".", k * 7919 % 256, k * 104729 % 256, k % 256, F.lit("1")).alias("ip"))
+    return qr.blocked(rows, "ip").select("id", "ip")
+
+
+@query("""
+    WITH d AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 2 THEN strftime(o_orderdate, '%B %-d, %Y') ELSE 'unknown' END AS s FROM orders)
+    SELECT id, CASE WHEN s = 'unknown' THEN NULL ELSE coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%Y/%m/%d'), try_strptime(s, '%B %-d, %Y')) END AS published FROM d""")
+def front_matter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in the formats of front matter; what is no date is null."""
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    s = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.date_format(d, "MMMM d, yyyy")).otherwise("unknown")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), classify.date_of(s).cast("timestamp_ntz").alias("published"))
