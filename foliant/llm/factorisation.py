@@ -113,7 +113,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS, epochs: i
     n = BUCKETS + k
     model = {"w0": 0.0, "w": np.zeros(n), "v": rng.normal(0, 0.05, (n, factors))}
     if not len(rows):
-        return model
+        return model | {"v": np.zeros((n, factors))}
     model["w0"] = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     moments = {key: [np.zeros_like(np.asarray(model[key], float)), np.zeros_like(np.asarray(model[key], float))] for key in model}
     t = 0
