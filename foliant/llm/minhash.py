@@ -4,19 +4,22 @@ A document's set has its distinct shingles of ``shingle`` words (A-Z lower-cased
 
 1. Equal sets (by a 128-bit hash of the sorted set) are one: the smallest doc_id stands for them.
 2. ``bands`` * ``rows`` minima of universal hashes give each representative a key for every band. Two sets
-   with Jaccard similarity s share a key with probability 1 - (1 - s**rows)**bands: at 0.8 and 7 rows in
-   48 bands all but 1.3 in 100,000 links; at 0.2 six in 10,000 pairs.
-3. In a bucket of equal keys each member is paired with the smallest only, never with all others. These
-   pairs are confirmed on the full sets, and linked documents form components.
+   with Jaccard similarity s share a key with probability 1 - (1 - s**rows)**bands: at 0.8 and 8 rows in
+   56 bands all but 3.4 in 100,000 links, at 0.85 all but 2 in 100,000,000; at 0.3 four in 1,000 pairs.
+3. In a bucket of equal keys each member is paired with the smallest only, never with all others. Pairs
+   whose sizes rule a link out, or whose SIGNATURE minima agree in fewer than AGREE places (a link does so once in
+   10**8 or less), are dropped; the others are confirmed on the full sets, and linked documents form components.
 4. Buckets that still hold several components may hide a link between two members of which neither is the
-   smallest. Their members' pairs across components are found exactly: of a set of n shingles of which e occur
-   in another member of such buckets, a link with a set of m needs (100 + p) e >= p (n + m), p the
-   threshold in percent, and likewise the other way. Strays of a large group (below the threshold with all
-   others, so full of shingles of their own) fail this with nearly all members; what passes is confirmed on
-   the full sets and joined to the components.
+   smallest. Such links across components are found exactly, by the first shingle that two sets share when shingles
+   are ordered from rare to common (by the number of these members that have them). It lies within both sets'
+   prefixes: all but the last 80 % of the set, and one more. If RARE members or fewer have it, the two meet in its
+   list, which is as short. Otherwise they share no rare shingle at all: of sets of n and m shingles, e and f of them
+   common, a link needs (100 + p) e >= p (n + m), p the threshold in percent, and likewise f. Members of a bucket that
+   fulfil both meet. (Strays of a large group, full of shingles that few others have, do so with hardly any.) All that
+   meet are checked as in 3 and joined to the components.
 
-No pair is given up and no bucket is capped. Work in 4 is bounded by members outside their bucket's first
-component times members of the bucket (a comparison of four numbers in a join that splits hot keys).
+No pair is given up and no bucket is capped. The dearest part of 4 compares four numbers for each
+member outside its bucket's first component and each member of the bucket, in a join that splits hot keys.
 
 Defined cases: null, empty or wordless texts have an empty set, n_shingles 0, and are linked with nothing;
 fewer words than ``shingle`` are one shingle; rows with the same doc_id are one document with several sets;
@@ -39,8 +42,13 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 80
-ROWS = 7
-BANDS = 48
+ROWS = 8
+BANDS = 56
+#: Bytes of a set's short signature (one from each of so many minima), and in how many a link agrees at least.
+SIGNATURE = 64
+AGREE = 32
+#: Members that may have a rare shingle at most.
+RARE = 128
 SEED = 11
 #: Ids of this many documents are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -76,8 +84,8 @@ class Minima:
             low = m if low is None else np.minimum(low, m)
         return low >> np.uint64(32)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        sig = self.signature(s).reshape(self.bands, self.rows)
+    def keys(self, sig: np.ndarray) -> np.ndarray:
+        sig = sig.reshape(self.bands, self.rows)
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for r in range(self.rows):
             out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + sig[:, r])
@@ -85,31 +93,32 @@ class Minima:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int, bands: int, seed: int) -> DataFrame:
-    """id, n (set size), lo, hi (hash of the set), keys."""
+    """id, n (set size), lo, hi (hash of the set), keys, short (the first minima, a byte each, for signature checks)."""
 
     def make():
         cache, minima = HashCache(), Minima(rows, bands, seed)
 
         def work(texts: list[bytes]) -> list:
-            n, lo, hi, keys, seen = [], [], [], [], {}
+            n, lo, hi, keys, short, seen = [], [], [], [], [], {}
             for t in texts:
                 got = seen.get(t)
                 if got is None:
                     s = shingles(t, shingle, cache)
                     if len(s):
                         h = xxhash.xxh3_128_digest(s.tobytes())
-                        got = (len(s), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), minima.keys(s))
+                        sig = minima.signature(s)
+                        got = (len(s), int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), minima.keys(sig), sig[:SIGNATURE].astype(np.uint8).tobytes())
                     else:
-                        got = (0, None, None, None)
+                        got = (0, None, None, None, None)
                     seen[t] = got
-                for column, value in zip((n, lo, hi, keys), got, strict=True):
+                for column, value in zip((n, lo, hi, keys, short), got, strict=True):
                     column.append(value)
-            return [n, lo, hi, keys]
+            return [n, lo, hi, keys, short]
 
         return work
 
     long = (T.LongType(), pa.int64())
-    fields = [("n", *long), ("lo", *long), ("hi", *long), ("keys", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
+    fields = [("n", *long), ("lo", *long), ("hi", *long), ("keys", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("short", T.BinaryType(), pa.binary())]
     return per_text(docs, [id_col], text_col, fields, make).withColumnRenamed(id_col, "id")
 
 
@@ -129,6 +138,15 @@ def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col:
     return picked.mapInArrow(run, T.StructType([picked.schema["id"], T.StructField("set", T.ArrayType(T.LongType(), False))]))
 
 
+def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and whose short signatures agree often enough."""
+    facts = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
+    both = pairs.join(facts("a"), "a").join(facts("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    x, y = F.hex("short_a"), F.hex("short_b")
+    agree = F.aggregate(F.sequence(F.lit(1), F.length(x), F.lit(2)), F.lit(0), lambda acc, i: acc + (F.substring(x, i, F.lit(2)) == F.substring(y, i, F.lit(2))).cast("int"))
+    return both.where(agree >= AGREE).select("a", "b")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -137,49 +155,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.where((100 + percent) * F.col("i") >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
-def _across(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within the buckets (key, id, leader, root, leader_root) that full sets may still link."""
-    ids = buckets.select("id").distinct()
-    mine = sets.join(ids, "id", "left_semi")
-    own = mine.select("id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
-    size = mine.groupBy("id").agg(F.max(F.size("set")).alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("e"))
-    # a set with nothing but shingles of its own, or with too many, can be linked with none
-    able = size.where(100 * F.col("e") >= percent * F.col("n"))
+def across(buckets: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b) across components within the buckets (key, id, leader, root, leader_root) that may be links; see the module, 4."""
+    elements = sets.select("id", F.explode("set").alias("s"))
+    few = elements.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") <= rare)
+    ranked = elements.join(few, "s", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("df").alias("few"), F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "s")))).alias("rare"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    facts = stored(ranked.select("id", "n", (F.col("n") - F.col("few")).alias("e"), F.filter(F.slice("rare", F.lit(1), prefix), lambda x: x["df"] > 1).alias("prefix")), "facts")
+    roots = buckets.select("id", "root").distinct()
+    lists = facts.join(roots, "id").select("id", "root", F.explode("prefix").alias("x")).select("id", "root", F.col("x.s").alias("s"))
+    side = lambda c: lists.select("s", F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    meet = side("a").join(side("b"), "s").where("a < b and ra <> rb").select("a", "b")
+
+    need = percent * (F.col("na") + F.col("nb"))
+    able = facts.where(100 * F.col("e") >= percent * F.col("n")).select("id", "n", "e")
     rows = buckets.where("id <> leader").join(able, "id")
     probes = rows.where("root <> leader_root").select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("e").alias("ea"))
     others = rows.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("e").alias("eb"), (F.col("root") == F.col("leader_root")).alias("first"))
-    need = percent * (F.col("na") + F.col("nb"))
-    pairs = probes.join(others, "key").where((F.col("ra") != F.col("rb")) & (F.col("first") | (F.col("a") < F.col("b"))) & ((100 + percent) * F.col("ea") >= need) & ((100 + percent) * F.col("eb") >= need))
-    return pairs.select("a", "b").distinct()
+    same = probes.join(others, "key").where((F.col("ra") != F.col("rb")) & (F.col("first") | (F.col("a") < F.col("b"))) & ((100 + percent) * F.col("ea") >= need) & ((100 + percent) * F.col("eb") >= need))
+    return meet.union(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id) for each row. Ids are whole numbers."""
     sig = stored(signed(docs, id_col, text_col, shingle, rows, bands, seed), "signed")
     sets_known = sig.where("n > 0 and id is not null")
-    reps = stored(sets_known.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys")), "reps")
+    reps = stored(sets_known.groupBy("lo", "hi").agg(F.min(F.struct("id", "n", "short", "keys")).alias("r")).select("lo", "hi", F.col("r.id").alias("rep"), "r.n", "r.short", "r.keys"), "reps")
     keyed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("k")).where("k > 1").select("key", "leader")
     buckets = stored(keyed.join(shared, "key"), "buckets")
-    pairs = stored(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    roots = None
-    if n_ids := ids.count():
-        sets = stored(sets_of(docs, ids, n_ids, id_col, text_col, shingle), "sets")
-        links = stored(confirmed(pairs, sets, percent), "links")
-        roots = components(links)
-        root_of = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-        known = root_of(root_of(buckets, "id", "root"), "leader", "leader_root")
-        open_ = known.groupBy("key").agg(F.max(F.col("root") != F.col("leader_root")).alias("open"), F.count("*").alias("k")).where("open and k > 2").select("key")
-        rest = stored(known.join(open_, "key", "left_semi"), "rest")
-        found = stored(confirmed(_across(rest, sets, percent), sets, percent), "found")
+    pairs = stored(plausible(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, percent), "pairs")
+    full = lambda ids: stored(sets_of(docs, ids, ids.count(), id_col, text_col, shingle), "sets")
+    ends = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
+    links = stored(confirmed(pairs, full(ends(pairs)), percent), "links")
+    roots = components(links)
+    root_of = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+    known = root_of(root_of(buckets, "id", "root"), "leader", "leader_root")
+    open_ = known.groupBy("key").agg(F.max(F.col("root") != F.col("leader_root")).alias("open"), F.count("*").alias("k")).where("open and k > 2").select("key")
+    rest = stored(known.join(open_, "key", "left_semi"), "rest")
+    if not rest.isEmpty():
+        sets = full(stored(rest.select("id").distinct(), "ids"))
+        found = stored(confirmed(plausible(across(rest, sets, percent), reps, percent), sets, percent), "found")
         if not found.isEmpty():
             roots = components(links.unionByName(found))
     out = sig.select("id", "n", "lo", "hi").join(reps.select("lo", "hi", "rep"), ["lo", "hi"], "left")
-    if roots is not None:
-        out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("root", F.lit(None).cast("long"))
+    out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
