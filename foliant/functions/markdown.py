@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, col, lines, rstrip, strip, tidy_lines, word_count
+from .text import SPACE, col, lines, rstrip, strip, word_count
 
 HEADING = rf"(?dm)^(#{{1,6}}){SPACE}+(.+?)$"
 INLINE_IMAGE = rf'!\[([^\]]*)\]\(([^\x1c-\x1f\p{{IsWhite_Space}}\)]+)(?:{SPACE}+"([^"]*)")?\)'
@@ -14,29 +14,25 @@ REFERENCE = rf'(?dm)^\[([^\]]+)\]:{SPACE}+([^\x1c-\x1f\p{{IsWhite_Space}}]+)(?:{
 
 
 def atx_headings(c: Column | str) -> Column:
-    """Underlined headings as # headings: ``=`` of any length; ``-`` of 3 or more, no more than half of the title longer or shorter.
+    """Underlined headings as # headings: ``=`` of any length; ``-`` of 3 or more, no more than half of the title longer or
+    shorter. White space after the underline goes up to the line end before the next text, as the pattern takes it."""
+    body = F.regexp_replace(col(c), rf"(?dm)^(.+)\n=+{SPACE}*$", r"# $1")
+    pattern = rf"(?dm)^(.+)\n(-{{3,}}){SPACE}*$"
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
-    A line pair at a time, by the lines' places; an underline is used once.
-    """
-    text = lines(F.regexp_replace(col(c), rf"(?dm)^(.+)\n=+{SPACE}*$", r"# $1"))
-    n = F.size(text)
-
-    def pair(line: Column, i: Column) -> Column:
-        under = rstrip(F.coalesce(F.get(text, i + 1), F.lit("")))
-        title = strip(line)
-        fits = under.rlike(r"\A-{3,}\z") & (F.length(title) > 0) & (F.abs(F.length(title) - F.length(under)) <= 0.5 * F.length(title)) & (i + 1 < n)
-        before = rstrip(F.coalesce(F.get(text, i - 1), F.lit("")))
-        mine = rstrip(line)
-        above = strip(F.coalesce(F.get(text, i - 1), F.lit("")))
-        is_under = (i > 0) & mine.rlike(r"\A-{3,}\z") & (F.length(above) > 0) & (F.abs(F.length(above) - F.length(mine)) <= 0.5 * F.length(above)) & ~before.rlike(r"\A-{3,}\z")
-        return F.when(is_under, F.lit(None)).when(fits & ~is_under & ~mine.rlike(r"\A-{3,}\z"), F.concat(F.lit("## "), line)).otherwise(line)
+    def put(acc: Column, m: Column) -> Column:
+        title, under = F.regexp_extract(m["match"], pattern, 1), F.regexp_extract(m["match"], pattern, 2)
+        fits = F.abs(F.length(title) - F.length(under)) <= 0.5 * F.length(title)
+        before = F.substring(body, (acc["at"] + 1).cast("int"), (m["position"] - acc["at"]).cast("int"))
+        return F.struct((m["position"] + F.length(m["match"])).cast("bigint").alias("at"), F.concat(acc["out"], before, F.when(fits, F.concat(F.lit("## "), title)).otherwise(m["match"])).alias("out"))
 
-    return F.array_join(F.array_compact(F.transform(text, pair)), "\n")
+    done = F.aggregate(found_with_places(body, pattern), start, put)
+    return F.concat(done["out"], F.substring(body, (done["at"] + 1).cast("int"), F.length(body)))
 
 
 def normalised(c: Column | str) -> Column:
     """# headings, ``-`` bullets, at most one blank line in a row. Empty stays empty."""
-    out = F.regexp_replace(atx_headings(c), rf"(?dm)^({SPACE}*)\*({SPACE}+)", r"$1-$2")
+    out = F.regexp_replace(atx_headings(c), rf"(?dm)^({SPACE}*)\*{SPACE}+", "$1- ")
     out = F.regexp_replace(out, "\n{3,}", "\n\n")
     return F.when(col(c) == "", col(c)).otherwise(out)
 
@@ -82,7 +78,7 @@ def found_with_places(text: Column, pattern: str) -> Column:
     padded = F.concat(F.lit("\n"), text)
 
     def step(acc: Column, m: Column) -> Column:
-        at = F.locate_at(padded, m, acc["next"]) if hasattr(F, "locate_at") else F.call_function("locate", F.concat(F.lit("\n"), m), padded, acc["next"])
+        at = F.call_function("locate", F.concat(F.lit("\n"), m), padded, acc["next"])
         return F.struct((at + F.length(m)).cast("int").alias("next"), F.concat(acc["found"], F.array(F.struct(m.alias("match"), (at - 1).cast("long").alias("position")))).alias("found"))
 
     return F.aggregate(matches, start, step)["found"]
@@ -116,4 +112,4 @@ def image_format(path: Column | str) -> Column:
     return F.coalesce(F.nullif(data, F.lit("")), F.nullif(query, F.lit("")), extension, F.lit("unknown"))
 
 
-__all__ = ["atx_headings", "found_with_places", "image_format", "link", "markdown_word_count", "normalised", "office_plain", "plain", "table", "tidy_lines", "trimmed_lines"]
+__all__ = ["atx_headings", "found_with_places", "image_format", "link", "markdown_word_count", "normalised", "office_plain", "plain", "table", "trimmed_lines"]

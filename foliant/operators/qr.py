@@ -121,7 +121,7 @@ def processed(codes: DataFrame, results: DataFrame | None = None) -> DataFrame:
     out = codes.drop("fetch_status", "fetched_content", "fetch_notes").join(r, ["doc_id", "qr_id"], "left")
     status = F.when(is_url, F.coalesce("__s", F.lit("pending"))).otherwise("skipped")
     notes = F.when(is_url, F.coalesce("__n", F.array().cast("array<string>"))).otherwise(F.array(F.concat(F.lit("no fetch for type "), "data_type")))
-    return out.withColumns({"fetch_status": status, "fetched_content": F.when(F.col("__s") == "success", F.col("__c")), "fetch_notes": notes}).drop("__s", "__c", "__n")
+    return out.withColumns({"fetch_status": status, "fetched_content": F.when(is_url & (F.col("__s") == "success"), F.col("__c")), "fetch_notes": notes}).drop("__s", "__c", "__n")
 
 
 def section(code_id: Column, data_type: Column, raw: Column, content: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import classify, markdown, text
-from .operators import chapters, html, qr
+from .operators import ai, chapters, frontmatter, html, images, qr
+from .plans import registry
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -372,3 +373,101 @@ def front_matter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
     s = F.when(k == 0, F.date_format(d, "yyyy-MM-dd")).when(k == 1, F.date_format(d, "yyyy/MM/dd")).when(k == 2, F.date_format(d, "MMMM d, yyyy")).otherwise("unknown")
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), classify.date_of(s).cast("timestamp_ntz").alias("published"))
+
+
+# --- Markdown images, tables, front matter ---------------------------------------------------------------------------
+
+IMAGED = """imaged AS (SELECT doc_id, '![a' || doc_id || '](i' || doc_id % 3 || '.png) x ![b](http://h/' || doc_id % 5 || '.jpg "t") ![c][R' || doc_id % 2 || '] ![d](i' || doc_id % 3 || '.png)' || chr(10) || '[r0]: z.svg' || chr(10) || '[r1]: first.gif' || chr(10) || '[R1]: last.gif "l"' AS text FROM documents)"""
+
+
+def imaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    s = lambda x: x.cast("string")
+    made = F.concat(F.lit("![a"), s(i), F.lit("](i"), s(i % 3), F.lit(".png) x ![b](http://h/"), s(i % 5), F.lit('.jpg "t") ![c][R'), s(i % 2), F.lit("] ![d](i"), s(i % 3), F.lit('.png)\n[r0]: z.svg\n[r1]: first.gif\n[R1]: last.gif "l"'))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
+
+
+@query(f"""
+    WITH {IMAGED},
+    i AS (SELECT doc_id, 0 AS kind, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^\\s\\)]+)(?:\\s+"[^"]*")?\\)', 2)) AS path, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^\\s\\)]+)(?:\\s+"[^"]*")?\\)', 1)) AS alt FROM imaged),
+    r AS (SELECT doc_id, 1 AS kind, CASE WHEN doc_id % 2 = 0 THEN 'z.svg' ELSE 'last.gif' END AS path, 'c' AS alt FROM imaged),
+    a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY kind, alt) AS k FROM (SELECT * FROM i UNION ALL SELECT * FROM r)) WHERE k = 1)
+    SELECT doc_id, path AS file_path, alt AS alt_text, regexp_extract(path, '\\.([a-z]+)$', 1) AS format FROM a""")
+def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of Markdown, inline and by reference, each path once."""
+    return images.markdown_images(imaged(spark, sf_dir)).select("doc_id", "file_path", "alt_text", "format")
+
+
+@query("""
+    SELECT DISTINCT doc_id, ref, CASE ref WHEN 'r0' THEN 'z.svg' ELSE 'last.gif' END AS url FROM documents, (VALUES ('r0'), ('r1')) t(ref)""")
+def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference definitions; the last of a name counts."""
+    return images.references(imaged(spark, sf_dir)).select("doc_id", "ref", "url")
+
+
+@query("""
+    SELECT n_regionkey AS region, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || replace(n_name, '|', '\\|') || ' |', chr(10) ORDER BY n_nationkey) AS content FROM nation GROUP BY 1""")
+def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as a Markdown table for each group."""
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    cells = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
+    return rows.select(F.col("n_regionkey").alias("region"), markdown.table(cells).alias("content"))
+
+
+@query("""
+    SELECT doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['a' || doc_id % 4, 'b'] AS tags, make_timestamp(2024, (1 + doc_id % 12)::BIGINT, 5, 0, 0, 0) AS publication_date FROM documents""")
+def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of Markdown with a YAML head."""
+    i = F.col("doc_id")
+    head = F.concat(F.lit("---\ntitle: T"), i.cast("string"), F.lit("\n"), F.when(i % 2 == 0, "lang: de").otherwise("language: en"), F.lit("\ntags: a"), (i % 4).cast("string"), F.lit("; b\ndate: 2024-"), F.lpad((1 + i % 12).cast("string"), 2, "0"), F.lit("-05\n---\nbody"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", head.alias("text"))
+    return frontmatter.metadata(frontmatter.extracted(docs)).select("doc_id", "title", "language", "tags", F.col("publication_date").cast("timestamp_ntz").alias("publication_date"))
+
+
+@query("""
+    SELECT doc_id, greatest(0, least(100, doc_id % 150))::INT AS overall_score, (doc_id % 7)::BIGINT AS n_strengths FROM documents""")
+def quality_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and lists out of a model's replies."""
+    i = F.col("doc_id")
+    reply = F.concat(F.lit("**Overall:** "), (i % 150).cast("string"), F.lit("\nReadability: 5\nStrengths:\n"), F.repeat(F.lit("- good\n"), (i % 7).cast("int")), F.lit("Suggestions:\n- none\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
+    return ai.quality(docs).select("doc_id", "overall_score", F.size("strengths").cast("long").alias("n_strengths"))
+
+
+@query("""
+    WITH p AS (SELECT * FROM (VALUES (1, '.epub', 'epub', 0), (2, '.pdf', 'pdf', 0), (3, '.docx', 'docx', 0), (4, '.html', 'html', 0), (5, '.htm', 'html', 0), (6, '.md', 'markdown', 0), (7, '.txt', 'text', 0), (8, '.txt', 'logs', 5), (9, '.log', 'logs', 5)) t(o, ext, name, priority)),
+    r AS (SELECT ext, name FROM p QUALIFY row_number() OVER (PARTITION BY ext ORDER BY priority DESC, o) = 1),
+    f AS (SELECT page_id, 'd/' || page_id || CASE page_id % 5 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' WHEN 2 THEN '.html' WHEN 3 THEN '.zip' ELSE '.log' END AS path FROM pages)
+    SELECT page_id, r.name AS parser FROM f LEFT JOIN r ON lower(regexp_extract(path, '(\\.[^.]+)$', 1)) = ext""")
+def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser of every file, by suffix and priority."""
+    rows = [(1, "epub", ".epub", 0), (2, "pdf", ".pdf", 0), (3, "docx", ".docx", 0), (4, "html", ".html", 0), (5, "html", ".htm", 0), (6, "markdown", ".md", 0), (7, "text", ".txt", 0), (8, "logs", ".txt", 5), (9, "logs", ".log", 5)]
+    parsers = spark.createDataFrame([(*r, "1", "") for r in rows], registry.SCHEMA)
+    end = F.element_at(F.array(*[F.lit(x) for x in (".TXT", ".md", ".html", ".zip", ".log")]), (F.col("page_id") % 5 + 1).cast("int"))
+    found = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("d/"), F.col("page_id").cast("string"), end).alias("path"))
+    return registry.routed(found, parsers).select("page_id", "parser")
+
+
+@query("""SELECT unnest(['.docx', '.epub', '.gif', '.heic', '.htm', '.html', '.jpeg', '.jpg', '.markdown', '.md', '.pdf', '.png', '.tif', '.tiff', '.txt', '.webp']) AS ext""")
+def supported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffixes that this package reads."""
+    return registry.supported_formats(registry.builtin().frame(spark))
+
+
+@query(f"""
+    WITH {PAYLOADS}, t AS (SELECT doc_id, {_TYPE_SQL} AS data_type, raw_data, fetch_status FROM payloads WHERE doc_id % 2 = 0)
+    SELECT d.doc_id, {WORDS.format('d.text')} + CASE WHEN t.data_type = 'URL' AND t.fetch_status = 'success' THEN 3 ELSE 0 END AS word_count, (t.doc_id IS NOT NULL)::BIGINT AS qr_codes,
+           greatest(1, ({WORDS.format('d.text')} + CASE WHEN t.data_type = 'URL' AND t.fetch_status = 'success' THEN 3 ELSE 0 END) // 200) AS estimated_reading_time FROM documents d LEFT JOIN t USING (doc_id)""")
+def codes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the sections of their codes, words and times renewed."""
+    codes = payloads_of(spark, sf_dir).where("doc_id % 2 = 0").withColumn("data_type", classify.payload_type("raw_data")).withColumn("qr_id", F.lit("qr_000"))
+    done = qr.processed(codes, codes.select("doc_id", "qr_id", "fetch_status", F.lit("three fetched words").alias("fetched_content"), F.array().cast("array<string>").alias("fetch_notes")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), text.word_count("text").alias("word_count"))
+    return qr.merged(docs, done).select("doc_id", "word_count", "qr_codes", "estimated_reading_time")
+
+
+@query("""
+    SELECT doc_id, substr(text, 6, 20) AS middle, right(text, 10) AS ending FROM documents""")
+def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of text by place, from either end."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.text_range("text", 5, 25).alias("middle"), text.text_range("text", -10).alias("ending"))
