@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries that a word cache may hold before it starts anew (about 150 bytes each).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: UTF-8 bytes that one step of a worker handles at once; a longer text is a step of its own.
 STEP_BYTES = 4_000_000
 

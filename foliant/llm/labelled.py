@@ -33,7 +33,7 @@ def sample(labels: DataFrame, label: str, id_col: str = "doc_id", rows: int = SA
     return spark.createDataFrame([(r.sample_id, r.y) for r in found], f"sample_id {labels.schema[id_col].dataType.simpleString()}, y int")
 
 
-def gathered(docs: DataFrame, picked: DataFrame, extract: Callable[[bytes], list[int]], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
+def gathered(docs: DataFrame, picked: DataFrame, extract: Callable[[bytes], list[int] | np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """(features, labels) of the sampled documents, in the same order on every run. ``picked`` is bounded, so it is broadcast."""
     mine = docs.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "sample_id")
     made = per_text(mine, ["sample_id", "y"], "text", [("x", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], lambda: lambda texts: [[extract(t) for t in texts]])

@@ -77,9 +77,10 @@ def counted_id(base: int, count: int) -> int:
     return (base + (1 << 63) + (count - 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63)
 
 
-def extract(text: bytes) -> list[int]:
+def extract(text: bytes) -> np.ndarray:
+    """A text's features, sorted."""
     seen = Counter(b for w in words_of(text) for b in bases(w))
-    return sorted({counted_id(word_id(b), c) for b, n in seen.items() for c in COUNTS if n >= c})
+    return np.unique(np.fromiter((counted_id(word_id(b), c) for b, n in seen.items() for c in COUNTS if n >= c), np.int64))
 
 
 def swapped(ids: np.ndarray, swaps: int = SWAPS) -> list[np.ndarray]:
@@ -114,9 +115,14 @@ class _Rows:
 def telling(rows: list[np.ndarray], y: np.ndarray, min_rows: int = MIN_ROWS, min_g2: float = MIN_G2) -> np.ndarray:
     """Sorted ids of the words that go with the labels. Of more than MAX_WORDS, the most telling."""
     total, ones = len(rows), float(y.sum())
-    ids, at = np.unique(np.concatenate(rows), return_inverse=True)
+    # rows of each bucket of ids: no fewer than those of any id in it, so ids of rare buckets can go at once
+    buckets = np.zeros(1 << 22, np.int32)
+    for r in rows:
+        buckets[r & (1 << 22) - 1] += 1
+    kept = [r[buckets[r & (1 << 22) - 1] >= min_rows] for r in rows]
+    ids, at = np.unique(np.concatenate(kept), return_inverse=True)
     n = np.bincount(at, minlength=len(ids)).astype(float)
-    with_one = np.bincount(at, np.repeat(y, [len(r) for r in rows]), len(ids))
+    with_one = np.bincount(at, np.repeat(y, [len(r) for r in kept]), len(ids))
 
     def term(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
@@ -174,21 +180,18 @@ def scorer(model: dict):
         weights = dict(zip(model["ids"].tolist(), model["weights"].tolist(), strict=True))
         # what the model knows of a word as it stands: (the word without its edges, its known bases); None: nothing
         known: dict[bytes, tuple[bytes, list[int]] | None] = {}
-        steps_of: dict[int, list[float]] = {}  # base -> weight of each of COUNTS
-
-        def learned(base: int) -> bool:
-            if base not in steps_of:
-                w = [weights.get(counted_id(base, c), 0.0) for c in COUNTS]
-                if not any(w):
-                    return False
-                steps_of[base] = w
-            return True
+        # base -> weight of each of COUNTS; every base that has a learned feature is counted_id backwards from it
+        steps_of = {}
+        for i in weights:
+            for c in COUNTS:
+                base = (i + (1 << 63) - (c - 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63)
+                steps_of[base] = [weights.get(counted_id(base, k), 0.0) for k in COUNTS]
 
         def look(word: bytes) -> tuple[bytes, list[int]] | None:
             if len(known) >= CACHE_WORDS:
                 known.clear()
             bare = word.strip(EDGES)
-            mine = [i for i in map(word_id, bases(bare)) if learned(i)] if bare else []
+            mine = [i for i in map(word_id, bases(bare)) if i in steps_of] if bare else []
             known[word] = out = (bare, mine) if mine else None
             return out
 

@@ -326,7 +326,7 @@ def _biased(n=300, seed=0):
 
 def test_counterfactual_penalty_frees_neutral_mentions():
     texts, y = _biased()
-    rows = [np.array(toxicity.extract(t), np.int64) for t in texts]
+    rows = [toxicity.extract(t) for t in texts]
     move = {}
     for penalty in (0.0, 5.0):
         s = toxicity.scorer(toxicity.fit(rows, y, penalty=penalty))()
@@ -338,12 +338,12 @@ def test_counterfactual_penalty_frees_neutral_mentions():
 
 def test_toxicity_scores_agree_with_features():
     texts, y = _biased(seed=2)
-    rows = [np.array(toxicity.extract(t), np.int64) for t in texts]
+    rows = [toxicity.extract(t) for t in texts]
     m = toxicity.fit(rows, y)
     weights = dict(zip(m["ids"].tolist(), m["weights"].tolist()))
     got = toxicity.scorer(m)()(texts[:20] + [b"", b"VILE!!! vile, Vile"])
     for t, s in zip(texts[:20] + [b"", b"VILE!!! vile, Vile"], got):
-        z = m["bias"] + sum(weights.get(i, 0) for i in toxicity.extract(t))
+        z = m["bias"] + sum(weights.get(i, 0) for i in toxicity.extract(t).tolist())
         assert s == pytest.approx(1 / (1 + math.exp(-z)))
     assert toxicity.scorer(toxicity.fit([], np.empty(0)))()([b"x"])[0] == 0
 
