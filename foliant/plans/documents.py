@@ -17,7 +17,7 @@ from ..functions import text as tx
 from ..models import CHAPTER, IMAGE, QR_CODE, metadata_struct, with_chapters
 from ..operators import chapters as ch
 from ..operators import frontmatter, html, images
-from ..sources import docx, epub, files, photo
+from ..sources import docx, epub, files, pdf, photo
 
 VERSION = "1.0.0"
 
@@ -107,6 +107,29 @@ def docx_documents(found: DataFrame, options: dict) -> tuple[DataFrame, None]:
     return _document(rows, "docx", _full_id("docx_"), F.coalesce("content", F.lit("")), n, tx.minutes_even(n), meta, F.concat("file_warnings", "warnings")), None
 
 
+def pdf_documents(found: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:
+    """Spans joined by spaces; headings by font set into the text; chapters cut before cleaning, so places refer to the uncleaned text."""
+    read = pdf.read_pdfs(found, max_pages=options.get("max_pages"), ocr=options.get("ocr"))
+    spans = pdf.spans(read)
+    joined = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "span_idx", "text"))).alias("s")).select("doc_id", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("raw"))
+    heads = ch.font_headings(spans).groupBy("doc_id").agg(F.collect_list(F.struct("title", "level", "position")).alias("heads"))
+    ids = found.select(F.col("path").alias("doc_id"), "path", "file_stem", "length", F.col("warnings").alias("file_warnings"))
+    rows = read.select("doc_id", "warnings").join(pdf.metadata(read), "doc_id").join(ids, "doc_id").join(joined, "doc_id", "left").join(heads, "doc_id", "left")
+    none = F.array().cast("array<struct<title:string,level:int,position:bigint>>")
+    rows = rows.withColumn("marked", ch.with_headings(F.coalesce("raw", F.lit("")), F.coalesce("heads", none)))
+    content = tx.cleaned("marked") if options["clean_text"] else F.col("marked")
+    n = tx.word_count(content)
+    meta = metadata_struct(
+        title=F.coalesce("title", "file_stem"), author=F.col("author"), description=F.col("description"), tags=F.col("tags"), publication_date=F.col("publication_date"), original_format=F.lit("pdf"), file_size=F.col("length"), custom_fields=F.col("custom_fields"),
+    )
+    docs = _document(rows, "pdf", _full_id("pdf_"), content, n, tx.minutes_down(n), meta, F.concat("file_warnings", "warnings"))
+    parts = None
+    if options["detect_chapters"]:
+        cut = ch.heading_chapters(rows.select("path", "marked"), "path", "marked", 1, 3)
+        parts = cut.join(docs.select("path", "document_id"), "path").drop("path").withColumn("content", tx.cleaned("content") if options["clean_text"] else F.col("content"))
+    return docs, parts
+
+
 def photo_documents(found: DataFrame, options: dict) -> tuple[DataFrame, None]:
     seen = photo.described(photo.read_photos(found))
     ids = found.select(F.col("path").alias("photo_id"), "path", "file_stem", "length", F.col("warnings").alias("file_warnings"))
@@ -115,7 +138,7 @@ def photo_documents(found: DataFrame, options: dict) -> tuple[DataFrame, None]:
     return _document(rows, "photo", _full_id("photo_"), F.col("content"), tx.word_count("content"), F.lit(1).cast("bigint"), meta, F.concat("file_warnings", "warnings")), None
 
 
-BRANCHES: dict[str, Callable] = {"text": text_documents, "markdown": markdown_documents, "html": html_documents, "epub": epub_documents, "docx": docx_documents, "photo": photo_documents}
+BRANCHES: dict[str, Callable] = {"text": text_documents, "markdown": markdown_documents, "html": html_documents, "epub": epub_documents, "docx": docx_documents, "pdf": pdf_documents, "photo": photo_documents}
 
 
 def parse(spark: SparkSession, path: str, options: dict | None = None, formats: list[str] | None = None, chapters: bool = True) -> tuple[DataFrame, DataFrame]:

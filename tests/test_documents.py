@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant import config, models
 from foliant.plans import documents, registry
-from foliant.sources import docx, epub, files, photo
+from foliant.sources import docx, epub, files, pdf, photo
 from foliant.streaming.ingest import ingest
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -80,6 +80,20 @@ def make_jpeg():
     return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 480, 640) + bytes(10) + b"\xff\xd9"
 
 
+def make_pdf():
+    import zlib
+
+    body = b"BT /F2 20 Tf 72 700 Td (Big \\(Title\\)) Tj ET BT /F1 10 Tf 0 -20 Td (Plain body text of the page) Tj 0 -12 Td [(wo) -20 (rds) -300 (here)] TJ T* <0041> Tj ET BT /F2 20 Tf (Next) Tj /F1 10 Tf 0 -12 Td (tail text) Tj ET"
+    packed = zlib.compress(body)
+    objects = [
+        b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 5 0 R /F2 6 0 R >> /XObject << /I 7 0 R >> >> >>", b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+        b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed), b"<< /Type /Font /BaseFont /Helvetica >>", b"<< /Type /Font /BaseFont /Helvetica-Bold >>",
+        b"<< /Subtype /Image /Width 200 /Height 150 /Length 0 >>\nstream\n\nendstream", b"<< /Title (The \\124itle) /Keywords (a, b) /CreationDate (D:20240102030405Z) /Producer <FEFF0041> >>",
+    ]
+    out = b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1))
+    return out + b"trailer << /Root 1 0 R /Info 8 0 R >>\n%%EOF"
+
+
 FILES = {
     "a/story.txt": b"A Story\r\nPreface words\r\nChapter 1: Start\rone two\nChapter 2: End\nthree", "b/story.txt": b"caf\xe9 latin", "a/empty.txt": b"", "a/readme": b"no suffix here",
     "a/n.md": b"---\ntitle: Notes\nauthors: [Ann, Bob]\ndate: 2024-01-15\ntags: x; y\nautor: z\nextra: 5\n---\nSub\n===\n\ntext ![p](img/x.png) ![q][r]\n\n* item\n\n## Two\n\nmore\n\n[r]: ../y.svg \"t\"\n",
@@ -91,7 +105,7 @@ FILES = {
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("files")
-    for name, data in {**FILES, "a/book.epub": make_epub(), "b/spine.epub": make_epub(False), "a/r.docx": make_docx(), "a/ph.jpg": make_jpeg()}.items():
+    for name, data in {**FILES, "a/book.epub": make_epub(), "b/spine.epub": make_epub(False), "a/r.docx": make_docx(), "a/ph.jpg": make_jpeg(), "b/full.pdf": make_pdf()}.items():
         (root / name).parent.mkdir(exist_ok=True)
         (root / name).write_bytes(data)
     return str(root)
@@ -105,8 +119,8 @@ def parsed(spark, folder):
 
 def test_all_are_read_or_explained(parsed):
     docs, errors = parsed
-    assert set(errors) == {"a/x.pdf", "a/x.xyz"} and "unsupported" in errors["a/x.xyz"].error and "pdf" in errors["a/x.pdf"].error
-    assert len(docs) == len(FILES) + 4 - 3 and len({r.document_id for r in docs.values()}) == len(docs)
+    assert set(errors) == {"a/x.xyz"} and "unsupported" in errors["a/x.xyz"].error
+    assert len(docs) == len(FILES) + 5 - 2 and len({r.document_id for r in docs.values()}) == len(docs)
 
 
 def test_text(parsed):
@@ -150,6 +164,18 @@ def test_docx(parsed):
     assert docx.read_document(make_docx())["images"][0]["file_name"] == "word/media/image1.png"
 
 
+def test_pdf(spark, parsed):
+    d = parsed[0]["b/full.pdf"]
+    assert (d.metadata.title, d.metadata.tags, d.metadata.publication_date.year, d.metadata.custom_fields["producer"], d.metadata.custom_fields["page_count"]) == ("The Title", ["a", "b"], 2024, "A", "1")
+    assert [(c.title, c.level) for c in d.chapters] == [("Big (Title)", 1), ("Next", 1)] and d.content.startswith("# Big (Title)") and "words here" in d.content and d.estimated_reading_time == 1
+    assert parsed[0]["a/x.pdf"].content == "" and parsed[0]["a/x.pdf"].metadata.title == "x"
+    read = pdf.read_pdfs(spark.createDataFrame([("p", bytearray(make_pdf())), ("q", bytearray(b"zz")), ("r", None)], "path string, content binary"), ocr=lambda b: ["seen"])
+    assert [(r.doc_id, r.image_id, r.position, r.width) for r in pdf.images(read).collect()] == [("p", "img_0001", 1001, 200)]
+    assert {r.doc_id for r in read.where("size(warnings) > 0").collect()} == {"q", "r"} and pdf.spans(read).where("is_bold").count() == 2
+    table, width = pdf.unicode_map(b"1 beginbfrange <0001> <0003> <0061> endbfrange 1 beginbfchar <0010> <00660066> endbfchar")
+    assert width == 2 and table[3] == "c" and table[16] == "ff"
+
+
 def test_photo(spark, parsed):
     d = parsed[0]["a/ph.jpg"]
     assert "# ph.jpg" in d.content and "640 x 480" in d.content and d.metadata.publication_date.year == 2022
