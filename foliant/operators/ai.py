@@ -166,3 +166,17 @@ def photo_analysis(rows: DataFrame, reply: str = "reply") -> DataFrame:
     by_label = lambda k: F.nullif(F.regexp_extract(reply, rf'(?i)"?{k}"?\s*[:=]\s*"?([^"\n,}}]+)', 1), F.lit(""))
     names = [x.split()[0] for x in keys.split(", ")]
     return rows.withColumns({n: F.coalesce(found[n], strip(by_label(n))) if n in ("caption", "scene", "sentiment") else found[n] for n in names})
+
+
+def described_images(documents: DataFrame, call: Callable[[str, str], str], policy: Policy = Policy()) -> DataFrame:
+    """(document_id, image_id, alt_text, error): a description of every image by the text around it; a failed call is a row with an error."""
+    rows = documents.select("document_id", "content", F.inline("images"))
+    asked = rows.select("document_id", "image_id", image_prompt(F.col("content"), F.col("position"), F.col("alt_text")).alias("prompt"))
+    return replied(asked, call, "You describe images.", policy=policy).select("document_id", "image_id", strip("reply").alias("alt_text"), "error")
+
+
+def with_descriptions(documents: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Documents whose images take their new alternative texts; images without one keep theirs."""
+    pairs = descriptions.where("alt_text is not null").groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("image_id", "alt_text"))).alias("__alts"))
+    new = F.transform("images", lambda i: i.withField("alt_text", F.coalesce(F.try_element_at("__alts", i["image_id"]), i["alt_text"])))
+    return documents.join(pairs, "document_id", "left").withColumn("images", F.when(F.col("__alts").isNotNull(), new).otherwise(F.col("images"))).drop("__alts")

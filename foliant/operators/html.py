@@ -344,3 +344,20 @@ def link_rows(read: DataFrame, id_col: str, url_col: str | None = None) -> DataF
 def tidy_plain(c: Column | str) -> Column:
     """Plain text of a page with its white space tidied."""
     return text.tidy_space(c)
+
+
+def fetched_text(html: str) -> str:
+    """Text of a fetched page, one line for each piece of text: of the first main, article, role=main, .content or #content, else of the body."""
+    root = tree(html)
+    skip = UNWANTED | MUTE | {"form", "iframe"}
+    is_main = (lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.attrs.get("role") == "main", lambda n: "content" in n.attrs.get("class", "").split(), lambda n: n.attrs.get("id") == "content", lambda n: n.tag == "body")
+    top = next((n for rule in is_main for n in root.walk() if rule(n)), root)
+    out, stack = [], [top]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if x.strip():
+                out.append(x.strip())
+        elif x.tag not in skip:
+            stack += reversed(x.children)
+    return "\n".join(out)

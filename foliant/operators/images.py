@@ -132,3 +132,28 @@ def extension_of_type(content_type: Column | str) -> Column:
 
 
 __all__ = ["checked", "extension_of_type", "image_size", "markdown_images", "references", "resolved_path", "sized", "suffix"]
+
+
+def named(rows: DataFrame, id_col: str, order_col: str, base: str = "image", original_col: str | None = None) -> DataFrame:
+    """``rows`` with ``file_name``: <base>_<nnn>.<format> by place, or the original path below its folder."""
+    w = Window.partitionBy(id_col).orderBy(order_col)
+    plain = F.concat(F.format_string(f"{base}_%03d.", F.row_number().over(w)), F.when(F.col("format") == "unknown", "png").otherwise(F.col("format")))
+    return rows.withColumn("file_name", F.coalesce(F.regexp_replace(F.col(original_col), r"\A(?:\.?\.?/)+", ""), plain) if original_col else plain)
+
+
+def downloaded(rows: DataFrame, fetch, url_col: str = "file_path") -> DataFrame:
+    """``rows`` with the bytes that ``fetch`` (address -> bytes) gives; null where it fails, so ids keep their gaps."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
+    at = rows.columns.index(url_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for url in batch.column(at).to_pylist():
+                try:
+                    out.append(fetch(url))
+                except Exception:  # a failed download is a null
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)

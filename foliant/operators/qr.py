@@ -145,3 +145,17 @@ def numbered(raw: DataFrame) -> DataFrame:
     out = raw.withColumn("__n", F.row_number().over(w) - 1).where("symbology = 'QRCODE'")
     kind = classify.payload_type("raw_data")
     return out.withColumns({"qr_id": F.format_string("qr_%03d", "__n"), "data_type": kind, "fetch_status": F.when(kind == "URL", "pending").otherwise("skipped")}).drop("__n", "symbology")
+
+
+def code_chapters(codes: DataFrame, start_position: int = 0) -> DataFrame:
+    """A level 2 chapter for each code with fetched content, numbered by code."""
+    w = Window.partitionBy("doc_id").orderBy("qr_id")
+    rows = codes.where("fetched_content is not null").withColumn("chapter_id", F.row_number().over(w).cast("long"))
+    s = section(F.col("qr_id"), F.col("data_type"), F.col("raw_data"), F.col("fetched_content"))
+    return rows.select("doc_id", "chapter_id", F.concat(F.lit("QR Code: "), "qr_id").alias("title"), s.alias("content"), F.lit(start_position).cast("long").alias("start_position"), (F.lit(start_position) + F.length(s)).cast("long").alias("end_position"), word_count("fetched_content").alias("word_count"), F.lit(2).alias("level"))
+
+
+def archived(replies: DataFrame, reply_col: str = "content") -> DataFrame:
+    """``replies`` of an archive's availability service with ``snapshot``: the address of the closest copy, null without one."""
+    found = F.from_json(reply_col, "archived_snapshots struct<closest struct<available boolean, url string, status string>>")["archived_snapshots"]["closest"]
+    return replies.withColumn("snapshot", F.when(found["available"], F.regexp_replace(found["url"], r"\Ahttp://", "https://")))

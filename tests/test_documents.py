@@ -243,3 +243,32 @@ def test_config(tmp_path):
     assert json.load(open(config.write_template(str(tmp_path / "t.json")))) == config.DEFAULTS
     (tmp_path / "config.json").write_text("broken")
     assert config.load(str(tmp_path))["ai"]["defaults"]["timeout"] == 7
+
+
+def test_one_document(spark, folder):
+    from foliant import api, errors
+
+    assert api.is_supported("x/Y.MD") and api.is_supported("https://e.org") and not api.is_supported("a.zzz") and ".epub" in api.supported_formats()
+    assert api.parse_document(spark, f"{folder}/a/n.md").metadata.title == "Notes"
+    page = "<html lang='en'><title>T</title><body><p>" + "Some words, enough of them. " * 9
+    d = api.parse_document(spark, "https://e.org/p?q", fetch=lambda u: (200, "text/html", page))
+    assert d.metadata.title == "T" and d.path == "https://e.org/p?q" and d.word_count > 20
+    for source, kind, fetch in ((f"{folder}/a/x.xyz", errors.UnsupportedFormatError, None), (f"{folder}/none.txt", errors.FileReadError, None), (f"{folder}/a/empty.txt", errors.FileReadError, None), (f"{folder}/a/bad.epub", errors.ParsingError, None), ("https://e.org", errors.NetworkError, None), ("https://e.org", errors.NetworkError, lambda u: (404, "", "")), ("https://", errors.UnsupportedFormatError, None)):
+        with pytest.raises(kind):
+            api.parse_document(spark, source, fetch=fetch)
+    assert api.Parser("text").supports("a.TXT") and not api.Parser("text").supports("a.md") and api.Parser("docx").parse(spark, folder).count() == 1
+    with pytest.raises(errors.UnsupportedFormatError):
+        api.Parser("none")
+
+
+def test_images_described(spark, folder):
+    from foliant.operators import ai, images
+
+    docs, _ = documents.parse(spark, folder, formats=["markdown"])
+    found = ai.described_images(docs, lambda s, p: "New text" if "Existing text: p" in p else 1 / 0, ai.Policy(0))
+    rows = {r.image_id: (r.alt_text, r.error is None) for r in found.collect()}
+    assert rows == {"img_001": ("New text", True), "img_002": (None, False)}
+    assert [i.alt_text for i in ai.with_descriptions(docs, found).first().images] == ["New text", "q"]
+    pics = images.downloaded(models.images_of(docs), lambda u: png(9, 9) if u.endswith("png") else None)
+    assert {r.image_id: r.content is not None for r in pics.collect()} == {"img_001": True, "img_002": False}
+    assert {r.file_name for r in images.named(pics, "document_id", "position", "pic").collect()} == {"pic_001.png", "pic_002.svg"}

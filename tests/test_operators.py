@@ -253,3 +253,22 @@ def test_model_replies(spark):
     p = ai.photo_analysis(spark.createDataFrame([('ok {"caption": "C", "tags": ["x"], "other": 1} end',), ('caption: "Plain", x',)], "reply string")).collect()
     assert (p[0].caption, p[0].tags, p[1].caption, p[1].tags) == ("C", ["x"], "Plain", None)
     assert spark.range(1).select(ai.image_prompt(F.lit("x" * 500), F.lit(300), F.lit(None).cast("string"))).first()[0].count("x") >= 400
+
+
+def test_wrongly_decoded_text(one):
+    from foliant.functions.encoding import fixed, repaired
+
+    for t in ("plain", "", "Â£ alone".replace("Â", ""), "naïve Ärger", "100 € ô"):
+        assert repaired(t) == t
+    assert repaired("café – “x".encode().decode("cp1252")) == "café – “x" and repaired("Ã©tÃ© and 漢") == "été and 漢"
+    assert repaired("café".encode().decode("latin-1").encode().decode("latin-1")) == "café"
+    assert one(fixed, "cafÃ©") == "café" and one(fixed, None) is None
+
+
+def test_fetched_text_and_archives(spark):
+    assert html.fetched_text("<body><nav>n</nav><div id=content><p>a <b>b</b></p><script>x</script></div>z") == "a\nb"
+    assert html.fetched_text("<p>only</p>") == "only"
+    df = spark.createDataFrame([('{"archived_snapshots": {"closest": {"available": true, "url": "http://w/1", "status": "200"}}}',), ("{}",), ("junk",)], "content string")
+    assert [r.snapshot for r in qr.archived(df).collect()] == ["https://w/1", None, None]
+    codes = spark.createDataFrame([("d", "qr_000", "URL", "u", "some fetched words"), ("d", "qr_001", "TEXT", "t", None)], "doc_id string, qr_id string, data_type string, raw_data string, fetched_content string")
+    assert [(r.chapter_id, r.level, r.word_count) for r in qr.code_chapters(codes).collect()] == [(1, 2, 3)]
