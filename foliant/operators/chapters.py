@@ -71,6 +71,13 @@ def marker_type(line: Column) -> Column:
     return out
 
 
+def _after(acc: Column, line: Column) -> Column:
+    """The fold's state at a line: its place, from that of an earlier line and the lines between."""
+    between = F.slice("lines", acc["line"] + 1, line - acc["line"])
+    at = (acc["at"] + F.length(F.array_join(between, "\n")) + F.when(line > acc["line"], 1).otherwise(0)).cast("bigint")
+    return F.struct(at.alias("at"), line.cast("int").alias("line"), F.concat(acc["all"], F.array(at)).alias("all"))
+
+
 def text_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A chapter from each marker line to the line before the next. What stands before the first is in none, and the last
     ends one past the text. With fewer than two markers the text is one chapter; blank text is one without words.
@@ -80,17 +87,18 @@ def text_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").withColumn("lines", lines("text"))
     marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("line"), strip(x).alias("title"), marker_type(x).alias("type"))), lambda m: m["type"].isNotNull())
     base = base.withColumn("marks", marks)
+    # places of the marker lines only: each adds up the lines since the one before, so a text's lines are measured once
     starts = F.aggregate(
-        "lines",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).cast("long").alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        "marks",
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("line"), F.array().cast("array<bigint>").alias("all")),
+        lambda acc, m: _after(acc, m["line"]),
     )["all"]
     many = base.where("size(marks) > 1").withColumn("starts", starts)
     rows = many.select("id", "lines", "starts", "marks", F.posexplode("marks").alias("i", "m"), F.length("text").alias("n"))
     first, following = F.col("m.line"), F.expr("coalesce(get(marks, i + 1).line, size(lines))")
     content = strip(F.array_join(F.slice("lines", first + 1, following - first), "\n"))
-    start = F.expr("get(starts, m.line)")
-    end = F.expr("coalesce(get(starts, get(marks, i + 1).line), cast(n + 1 as bigint))")
+    start = F.expr("get(starts, i)")
+    end = F.expr("coalesce(get(starts, i + 1), cast(n + 1 as bigint))")
     segments = rows.select(
         "id", (F.col("i") + 1).cast("long").alias("chapter_id"), F.col("m.title").alias("title"), content.alias("content"), start.alias("start_position"), end.alias("end_position"),
         word_count(content).alias("word_count"), F.lit(1).alias("level"), F.col("m.type").alias("chapter_type"), F.col("m.line").cast("long").alias("line_number"),
