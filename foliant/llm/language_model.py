@@ -7,7 +7,9 @@ Counting takes two passes. The first counts words: each task adds up its own cou
 and packed, to the shard of their hash; a shard writes its sorted hash array with the counts beside it. A
 word's number is its place in these arrays. The second counts pairs (context number, word number) the same
 way, by shard of the context, which gives the context's totals in the same array; from the distinct pairs
-come the continuation counts of the lower order. Only one row a shard reaches the driver.
+come the continuation counts of the lower order. A context with more tokens than HOT shards have on average is
+dealt over several shards by its following words, and its totals are put together from their parts. Only a few
+rows a shard reach the driver.
 
 Workers map the arrays into memory (page cache that all workers of a machine share) and look up each
 step's distinct words and pairs in sorted order. The arrays lie in the shared folder and are removed when
@@ -39,6 +41,9 @@ from .common import HashCache, per_text, scratch, small_batches, steps, stored,
 END = xxhash.xxh64_intdigest(b" end")
 #: Shards at most; each map task sends each shard one packed row.
 MAX_SHARDS = 8192
+#: A context with more tokens than so many shards have on average is dealt over several; and how many of its
+#: commonest words a shard tells the driver to find these.
+HOT, TOLD = 1, 64
 _U = np.uint64
 
 
@@ -71,6 +76,16 @@ def id_bounds(size: int, shards: int) -> np.ndarray:
     return np.array([i * size // shards for i in range(shards)], np.uint64)
 
 
+def pair_bounds(words: int, shards: int, often: list[tuple[int, int]], tokens: int) -> tuple[np.ndarray, list[int]]:
+    """(first packed pair of each shard, contexts that lie in several). often: (context, tokens) of common contexts."""
+    share = max(1, int(HOT * tokens // shards))
+    hot = {c: -(-n // share) for c, n in often if n > share and shards > 1}
+    cuts = {int(b) << 32 for b in id_bounds(words + 1, shards)}
+    for c, k in hot.items():
+        cuts |= {(c << 32) + j * words // k for j in range(k)} | {c + 1 << 32}
+    return np.array(sorted(x for x in cuts if x < words + 1 << 32), np.uint64), sorted(hot)
+
+
 class Tokens:
     """Word hashes of texts, each followed by END."""
 
@@ -157,9 +172,12 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) ->
         s = table["shard"][0].as_py()
         keys, counts = merged([unpack(b.as_py()) for b in table["blob"]])
         put(f"{root}/words-{s}", {"keys": keys, "counts": counts})
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)]), "total": pa.array([int(counts.sum())])})
+        top = np.argsort(-counts, kind="stable")[:TOLD]
+        end = int(counts[keys == END].sum())
+        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)]), "total": pa.array([int(counts.sum())]), "texts": pa.array([end]), "top": pa.array([top.tolist()], pa.list_(pa.int64())), "top_n": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
 
-    rows = source.mapInArrow(count_words, "shard int, blob binary").groupBy("shard").applyInArrow(write_words, "shard int, n long, total long").collect()
+    kind = "shard int, n long, total long, texts long, top array<bigint>, top_n array<bigint>"
+    rows = source.mapInArrow(count_words, "shard int, blob binary").groupBy("shard").applyInArrow(write_words, kind).collect()
     sizes = np.zeros(shards + 1, np.int64)
     for r in rows:
         sizes[r.shard + 1] = r.n
@@ -167,7 +185,9 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) ->
     v = model["words"] = int(model["base"][-1])
     if not v:
         return model | {"d": (0.5, 0.5, 0.5), "lower": (0.5, 0.5, 0.5), "pairs": 0, "lower_rest": 1.0}
-    begin, contexts = v, id_bounds(v + 1, shards)  # the begin mark is the last context
+    begin = v  # the begin mark is the last context
+    often = [(int(model["base"][r.shard]) + i, n) for r in rows for i, n in zip(r.top, r.top_n, strict=True)] + [(begin, sum(r.texts for r in rows))]
+    bounds, hot = pair_bounds(v, shards, often, model["tokens"])
 
     def count_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, found, vocabulary = Tokens(), Gathered(), Vocabulary(model)
@@ -177,29 +197,31 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) ->
                 context, word, _ = _pairs(*tokens(texts[a:b]), vocabulary, begin)
                 found.add(context.astype(np.uint64) << _U(32) | word.astype(np.uint64))
                 if found.full:
-                    yield from _emit(found, contexts << _U(32))
-        yield from _emit(found, contexts << _U(32))
+                    yield from _emit(found, bounds)
+        yield from _emit(found, bounds)
 
     def write_pairs(table: pa.Table) -> pa.Table:
         s = table["shard"][0].as_py()
         keys, counts = merged([unpack(b.as_py()) for b in table["blob"]])
-        lo, hi = int(contexts[s]), int(contexts[s + 1]) if s + 1 < shards else v + 1
+        lo, hi = int(bounds[s]) >> 32, ((int(bounds[s + 1]) if s + 1 < len(bounds) else v + 1 << 32) - 1 >> 32) + 1
         mine = (keys >> _U(32)).astype(np.int64) - lo
         size = hi - lo
+        total = np.bincount(mine, counts, size).astype(np.int64)
+        n1, n2, n3 = (np.bincount(mine[few], minlength=size).astype(np.uint32) for few in (counts == 1, counts == 2, counts >= 3))
         put(
             f"{root}/pairs-{s}",
             {
                 "start": np.searchsorted(mine, np.arange(size + 1)).astype(np.int64), "word": (keys & _U(0xFFFFFFFF)).astype(np.uint32), "count": np.minimum(counts, 255).astype(np.uint8),
-                "large": np.flatnonzero(counts >= 255), "large_count": counts[counts >= 255], "total": np.bincount(mine, counts, size).astype(np.int64),
-                "n1": np.bincount(mine[counts == 1], minlength=size).astype(np.uint32), "n2": np.bincount(mine[counts == 2], minlength=size).astype(np.uint32), "n3": np.bincount(mine[counts >= 3], minlength=size).astype(np.uint32),
+                "large": np.flatnonzero(counts >= 255), "large_count": counts[counts >= 255], "total": total, "n1": n1, "n2": n2, "n3": n3,
             },
         )
-        out = [(-1, len(keys), *_classes(counts), None)]
+        out = [(-1, s, len(keys), *_classes(counts), None)]
+        out += [(-2, s, int(h), int(total[h - lo]), int(n1[h - lo]), int(n2[h - lo]), int(n3[h - lo]), None) for h in hot if lo <= h < hi]
         words, n = np.unique(keys & _U(0xFFFFFFFF), return_counts=True)
-        out += [(i, 0, 0, 0, 0, 0, blob) for i, blob in slices(words, n, id_bounds(v, shards))]
-        return pa.table({name: pa.array(c, t) for name, t, c in zip(("shard", "n", "c1", "c2", "c3", "c4", "blob"), (pa.int32(), *[pa.int64()] * 5, pa.binary()), zip(*out, strict=True), strict=True)})
+        out += [(i, s, 0, 0, 0, 0, 0, blob) for i, blob in slices(words, n, id_bounds(v, shards))]
+        return pa.table({name: pa.array(c, t) for name, t, c in zip(("shard", "part", "n", "c1", "c2", "c3", "c4", "blob"), (pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary()), zip(*out, strict=True), strict=True)})
 
-    kind = "shard int, n long, c1 long, c2 long, c3 long, c4 long, blob binary"
+    kind = "shard int, part int, n long, c1 long, c2 long, c3 long, c4 long, blob binary"
     made = stored(source.mapInArrow(count_pairs, "shard int, blob binary").groupBy("shard").applyInArrow(write_pairs, kind), "lm-pairs")
 
     def write_lower(table: pa.Table) -> pa.Table:
@@ -214,11 +236,17 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) ->
         return pa.table({"n": pa.array([int((counts >= 3).sum())]), **{f"c{i + 1}": pa.array([x]) for i, x in enumerate(c)}})
 
     lower = made.where("shard >= 0").select("shard", "blob").groupBy("shard").applyInArrow(write_lower, "n long, c1 long, c2 long, c3 long, c4 long").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).first()
-    upper = made.where("shard = -1").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).first()
-    model["d"] = modified_discounts([upper.c1, upper.c2, upper.c3, upper.c4])
+    parts = made.where("shard < 0").select("shard", "part", "n", "c1", "c2", "c3", "c4").collect()
+    upper = [r for r in parts if r.shard == -1]
+    whole = {h: np.zeros(4, np.int64) for h in hot}
+    for r in parts:
+        if r.shard == -2:
+            whole[r.n] += (r.c1, r.c2, r.c3, r.c4)
+    model |= {"bounds": bounds, "there": {r.part for r in upper}, "hot": np.array(sorted(whole), np.int64), "hot_totals": np.array([whole[h] for h in sorted(whole)], np.int64).reshape(-1, 4)}
+    model["d"] = modified_discounts([sum(r[c] for r in upper) for c in ("c1", "c2", "c3", "c4")])
     d = model["lower"] = modified_discounts([lower.c1, lower.c2, lower.c3, lower.c4])
-    model["pairs"] = upper.n
-    model["lower_rest"] = (d[0] * lower.c1 + d[1] * lower.c2 + d[2] * lower.n) / upper.n
+    model["pairs"] = sum(r.n for r in upper)
+    model["lower_rest"] = (d[0] * lower.c1 + d[1] * lower.c2 + d[2] * lower.n) / model["pairs"]
     return model
 
 
@@ -227,7 +255,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model, self.tokens, self.vocabulary = model, Tokens(), Vocabulary(model)
-        self.pairs: list = [None] * model["shards"]
+        self.pairs: list = [None] * len(model.get("bounds", ()))
         self.lower: list = [None] * model["shards"]
 
     def _lower(self, ids: np.ndarray) -> np.ndarray:
@@ -246,15 +274,23 @@ class Scorer:
         """(first term, weight of P(w)) of sorted distinct packed pairs; a word number of 2**32 - 1 is the unknown word."""
         m = self.model
         direct, weight = np.zeros(len(keys)), np.ones(len(keys))
-        bounds = id_bounds(m["words"] + 1, m["shards"])
-        for s, a, b in ranges(keys, bounds << _U(32)):
-            f = self.pairs[s] = self.pairs[s] or mapped(f"{m['root']}/pairs-{s}")
-            c = (keys[a:b] >> _U(32)).astype(np.int64) - int(bounds[s])
-            total = f["total"][c]
-            seen = total > 0
-            d1, d2, d3 = m["d"]
-            rest = d1 * f["n1"][c] + d2 * f["n2"][c] + d3 * f["n3"][c]
-            weight[a:b] = np.where(seen, rest / np.maximum(total, 1), 1)
+        for s, a, b in ranges(keys, m["bounds"]):
+            f = None
+            context = (keys[a:b] >> _U(32)).astype(np.int64)
+            totals = np.zeros((b - a, 4), np.int64)
+            if s in m["there"]:
+                f = self.pairs[s] = self.pairs[s] or mapped(f"{m['root']}/pairs-{s}")
+                c = context - (int(m["bounds"][s]) >> 32)
+                totals = np.stack([f["total"][c], f["n1"][c], f["n2"][c], f["n3"][c]], 1)
+            if len(m["hot"]):
+                h = np.minimum(np.searchsorted(m["hot"], context), len(m["hot"]) - 1)
+                split = m["hot"][h] == context
+                totals[split] = m["hot_totals"][h[split]]
+            total = totals[:, 0]
+            rest = totals[:, 1:] @ np.array(m["d"])
+            weight[a:b] = np.where(total > 0, rest / np.maximum(total, 1), 1)
+            if f is None:
+                continue
             # binary search for the word in each context's run, all pairs at once
             word = (keys[a:b] & _U(0xFFFFFFFF)).astype(np.int64)
             low, high, words = f["start"][c], f["start"][c + 1], f["word"]

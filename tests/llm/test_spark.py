@@ -195,13 +195,15 @@ def plain_kneser_ney(train, texts):
     return out
 
 
-@pytest.mark.parametrize("shards", [1, 5])
-def test_language_model(spark, shards):
+@pytest.mark.parametrize("shards,hot", [(1, 1), (5, 1), (5, 0.05), (40, 0.3)])
+def test_language_model(spark, monkeypatch, shards, hot):
+    monkeypatch.setattr(language_model, "HOT", hot)
     rng = random.Random(3)
     vocabulary = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(400)]
     train = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 40))) for _ in range(150)] + ["a b c a b c", "A B\tc", "", " ".join(["x y"] * 400)]
     texts = [*train[:20], "a b zzz", None, "", "zzz yyy", "x y x y"]
     model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4), shards=shards)
+    assert (hot == 1 and shards == 1) == (not len(model["hot"])) or hot == 1
     got = language_model.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, ["i"]).orderBy("i").collect()
     for r, want in zip(got, plain_kneser_ney(train, texts), strict=True):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
@@ -298,6 +300,18 @@ def test_op2(spark, sf, texts):
     assert got == plain_components(list(texts.items()), 2)
 
 
+def test_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "labels"):
+        c.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, sf), c.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert sorted(tuple(r[x] for x in want.columns) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_op5(spark, sf, texts):
     rows = {r.doc_id: r for r in queries.op5_language_model(spark, sf).collect()}
     train = [t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2]
