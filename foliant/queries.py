@@ -471,3 +471,56 @@ def codes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranges of text by place, from either end."""
     return table(spark, sf_dir, "documents").select("doc_id", text.text_range("text", 5, 25).alias("middle"), text.text_range("text", -10).alias("ending"))
+
+
+# --- fetching, unions, limits ----------------------------------------------------------------------------------------
+
+CANDIDATES = """parts AS (SELECT page_id, url, regexp_replace(url, '\\?.*$', '') AS bare, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages),
+    lists AS (SELECT page_id, list_filter([url, regexp_replace(bare, '/+$', '') || '/print', CASE WHEN bare <> url THEN bare END, CASE WHEN host NOT LIKE 'm.%' THEN scheme || '://m.' || regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '^www\\.', '') END,
+              regexp_replace(bare, '/+$', '') || '/amp', 'https://web.archive.org/web/2/' || url], lambda x: x IS NOT NULL) AS l FROM parts),
+    tries AS (SELECT page_id, unnest(l) AS try_url, unnest(range(len(l))) AS try_no FROM lists)"""
+
+
+@query(f"WITH {CANDIDATES} SELECT page_id, try_no::INT AS try_no, try_url FROM tries")
+def fetch_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses to try for every page, in order."""
+    return qr.candidates(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "try_no", "try_url")
+
+
+@query(f"""
+    WITH {CANDIDATES}, r AS (SELECT *, (page_id + try_no) % 4 = 0 AS good FROM tries)
+    SELECT page_id, CASE WHEN bool_or(good) THEN 'success' ELSE 'failed' END AS fetch_status, arg_min(try_url, try_no) FILTER (WHERE good) AS final_url, count(*) AS n_notes FROM r GROUP BY page_id""")
+def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first address of every page that gave content."""
+    tries = fetch_candidates(spark, sf_dir)
+    good = (F.col("page_id") + F.col("try_no")) % 4 == 0
+    seen = tries.withColumns({"status": F.when(good, 200).otherwise(404), "content": F.when(good, F.repeat(F.lit("page "), F.lit(20)))})
+    return qr.first_success(seen, ["page_id"]).select("page_id", "fetch_status", "final_url", F.size("fetch_notes").cast("long").alias("n_notes"))
+
+
+@query(f"""
+    SELECT format, count(*) AS documents, sum(word_count)::BIGINT AS words FROM (SELECT 'text' AS format, {WORDS.format('text')} AS word_count FROM documents UNION ALL SELECT 'conversation', {WORDS.format('text')} FROM conversations) GROUP BY format""")
+def formats_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of several formats united under one schema."""
+    a = table(spark, sf_dir, "documents").select(F.lit("text").alias("format"), text.word_count("text").alias("word_count"))
+    b = table(spark, sf_dir, "conversations").select(F.lit("conversation").alias("format"), text.word_count("text").alias("word_count"))
+    return a.unionByName(b, allowMissingColumns=True).groupBy("format").agg(F.count("*").alias("documents"), F.sum("word_count").alias("words"))
+
+
+@query("""SELECT page_id, link_no, url FROM (SELECT page_id, unnest(range(len(h)))::BIGINT AS link_no, unnest(h) AS url FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS h FROM pages)) WHERE link_no < 3""")
+def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most three links a page, as they stand: a limit within each group."""
+    rows = html.link_rows(pages_of(spark, sf_dir), "page_id")
+    w = Window.partitionBy("page_id").orderBy("link_no")
+    return rows.withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n", "text").select("page_id", "link_no", "url")
+
+
+@query(f"""
+    WITH q AS (SELECT doc_id, {WORDS.format('text')} % 101 AS overall_score FROM documents)
+    SELECT a.doc_id AS first, b.doc_id AS second, a.overall_score::BIGINT AS first_score, b.overall_score::BIGINT AS second_score, CASE WHEN b.overall_score > a.overall_score THEN b.doc_id ELSE a.doc_id END AS better, abs(a.overall_score - b.overall_score)::BIGINT AS difference
+    FROM q a JOIN q b ON b.doc_id = a.doc_id + 1""")
+def documents_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents by their scores; a tie goes to the first."""
+    scored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (text.word_count("text") % 101).alias("overall_score"))
+    pairs = scored.select(F.col("document_id").alias("first"), (F.col("document_id") + 1).alias("second"))
+    return ai.compared(scored, pairs)
