@@ -7,6 +7,7 @@ bytes and ``bytes.lower()`` changes A-Z only, so both act on UTF-8 without decod
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -135,6 +136,14 @@ def steps(texts: list[bytes], limit: int = STEP_BYTES) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the system, so that a worker that is used again starts small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim is not None:
+        trim(0)
+
+
 def per_text(
     docs: DataFrame,
     keep: list[str],
@@ -160,6 +169,8 @@ def per_text(
             parts = [work(texts[a:b]) for a, b in steps(texts)]
             values = [pa.concat_arrays([pa.array(p[i], type=t) for p in parts]) for i, (_, _, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *values], names=schema.fieldNames())
+        del work
+        give_back()
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(f"v{i}").alias(n) for i, (n, _, _) in enumerate(fields)])
@@ -177,6 +188,8 @@ def filtered(docs: DataFrame, text_col: str, make: Callable[[], Callable[[list[b
             if batch.num_rows:
                 texts = texts_of(batch.column(at))
                 yield batch.filter(pa.array(np.concatenate([work(texts[a:b]) for a, b in steps(texts)]).astype(bool)))
+        del work
+        give_back()
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -36,6 +36,8 @@ UNIT = 1 << 20
 BLOCK = 128
 #: n-gram vectors kept by a worker (2 KB each as float16 at 1,024 dimensions).
 CACHE_GRAMS = 32_768
+#: Least cosine of a text that a filter keeps, and the size below which it keeps any with a letter.
+MIN_SCORE, SHORT_BYTES = 0.08, 64
 
 _letter: np.ndarray | None = None
 
@@ -193,8 +195,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
     return per_text(docs, keep, text_col, [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())], predictor(model))
 
 
-def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und`` and a cosine of at least ``min_score``."""
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = MIN_SCORE, short_bytes: int = SHORT_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and a cosine of at least ``min_score`` where the text has
+    ``short_bytes`` bytes or more. (A short text shares few n-grams with any prototype, whatever its language.)"""
     make = predictor(model)
 
     def keep():
@@ -202,7 +205,7 @@ def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_sc
 
         def accept(texts: list[bytes]) -> np.ndarray:
             langs, score = work(texts)
-            return (np.array(langs) != "und") & (score >= min_score)
+            return (np.array(langs) != "und") & ((score >= min_score) | (np.array([len(t) for t in texts]) < short_bytes))
 
         return accept
 

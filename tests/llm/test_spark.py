@@ -82,6 +82,8 @@ def test_filters_keep_columns(odd, labels):
     kept = langid.keep_identified(odd, lang, min_score=0.0)
     assert kept.columns == odd.columns and kept.dtypes == odd.dtypes
     assert {r.doc_id for r in kept.collect()} == {1, 5, 6, 8, 9, None}
+    strict = {r.doc_id for r in langid.keep_identified(odd, lang, min_score=1.1).collect()}
+    assert strict == {1, 6, 8, 9, None} and {r.doc_id for r in langid.keep_identified(odd, lang, min_score=1.1, short_bytes=0).collect()} == set()
 
 
 # --- near-duplicates
