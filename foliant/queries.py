@@ -310,13 +310,13 @@ def pages_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- codes, tags, dates ----------------------------------------------------------------------------------------------
 
 PAYLOADS = """payloads AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'https://e.org/' || doc_id WHEN 1 THEN 'a' || doc_id || '@e.org' WHEN 2 THEN 'tel:' || doc_id WHEN 3 THEN 'WIFI:S:' || doc_id WHEN 4 THEN 'BEGIN:VCARD ' || doc_id
-    WHEN 5 THEN 'geo:1,' || doc_id WHEN 6 THEN 'smsto:' || doc_id WHEN 7 THEN ' www.e' || doc_id || '.org ' ELSE substr(text, 1, 20) END AS raw_data, CASE WHEN doc_id % 4 = 0 THEN 'success' WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status FROM documents)"""
+    WHEN 5 THEN 'geo:1,' || doc_id WHEN 6 THEN 'smsto:' || doc_id WHEN 7 THEN ' www.e' || doc_id || '.org ' ELSE text END AS raw_data, CASE WHEN doc_id % 4 = 0 THEN 'success' WHEN doc_id % 4 = 1 THEN 'failed' ELSE 'pending' END AS fetch_status FROM documents)"""
 
 
 def payloads_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id").cast("string")
     k = F.col("doc_id") % 9
-    data = F.substring("text", 1, 20)
+    data = F.col("text")
     made = (F.concat(F.lit("https://e.org/"), i), F.concat(F.lit("a"), i, F.lit("@e.org")), F.concat(F.lit("tel:"), i), F.concat(F.lit("WIFI:S:"), i), F.concat(F.lit("BEGIN:VCARD "), i), F.concat(F.lit("geo:1,"), i), F.concat(F.lit("smsto:"), i), F.concat(F.lit(" www.e"), i, F.lit(".org ")))
     for n, x in reversed(list(enumerate(made))):
         data = F.when(k == n, x).otherwise(data)
@@ -344,11 +344,11 @@ def payload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[,\\n]'), lambda x: lower(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)) IS NOT NULL AS has_tags,
-           len(list_distinct(list_filter(list_transform(regexp_split_to_array(substr(text, 1, 200), '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)))::BIGINT AS n_tags FROM documents""")
+    SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)) IS NOT NULL AS has_tags,
+           len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)))::BIGINT AS n_tags FROM documents""")
 def reply_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of a model's reply: cut, bared, lower-cased, each once."""
-    tags = classify.model_tags(F.substring("text", 1, 200), 1000)
+    tags = classify.model_tags("text", 1_000_000)
     return table(spark, sf_dir, "documents").select("doc_id", tags.isNotNull().alias("has_tags"), F.size(tags).cast("long").alias("n_tags"))
 
 
@@ -455,12 +455,12 @@ def supported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {PAYLOADS}, t AS (SELECT doc_id, {_TYPE_SQL} AS data_type, raw_data, fetch_status FROM payloads WHERE doc_id % 2 = 0)
+    WITH {PAYLOADS}, t AS (SELECT doc_id, {_TYPE_SQL} AS data_type, raw_data, fetch_status FROM payloads)
     SELECT d.doc_id, {WORDS.format('d.text')} + CASE WHEN t.data_type = 'URL' AND t.fetch_status = 'success' THEN 3 ELSE 0 END AS word_count, (t.doc_id IS NOT NULL)::BIGINT AS qr_codes,
            greatest(1, ({WORDS.format('d.text')} + CASE WHEN t.data_type = 'URL' AND t.fetch_status = 'success' THEN 3 ELSE 0 END) // 200) AS estimated_reading_time FROM documents d LEFT JOIN t USING (doc_id)""")
 def codes_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the sections of their codes, words and times renewed."""
-    codes = payloads_of(spark, sf_dir).where("doc_id % 2 = 0").withColumn("data_type", classify.payload_type("raw_data")).withColumn("qr_id", F.lit("qr_000"))
+    codes = payloads_of(spark, sf_dir).withColumn("data_type", classify.payload_type("raw_data")).withColumn("qr_id", F.lit("qr_000"))
     done = qr.processed(codes, codes.select("doc_id", "qr_id", "fetch_status", F.lit("three fetched words").alias("fetched_content"), F.array().cast("array<string>").alias("fetch_notes")))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), text.word_count("text").alias("word_count"))
     return qr.merged(docs, done).select("doc_id", "word_count", "qr_codes", "estimated_reading_time")
