@@ -444,3 +444,14 @@ def test_pipeline(spark, sf, docs, texts):
             copies = Counter(r["doc_id"] for r in before)
             assert Counter(r.doc_id for r in rows if r.piece == 0) == copies
         now = spark.createDataFrame(before and out.collect(), out.schema) if name != "packing" else now
+
+
+def test_plans(spark, sf):
+    """Row-wise operators shuffle nothing and read two columns; nothing joins without a key."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for op in (queries.op7_ogg, queries.op9_licences, queries.op10_packing, queries.op1_toxicity, queries.op8_factorisation, queries.op4_language_id):
+        p = plan(op(spark, sf))
+        assert "Exchange" not in p and "ReadSchema: struct<doc_id:bigint,text:string>" in p, op.__name__
+    for op in (queries.op2_minhash, queries.op3_quality_rules, queries.op6_mixing, corpus_pipeline.run):
+        p = plan(op(spark, sf))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, op.__name__
