@@ -37,12 +37,12 @@ def gathered(docs: DataFrame, picked: DataFrame, extract: Callable[[bytes], list
     """(features, labels) of the sampled documents, in the same order on every run. ``picked`` is bounded, so it is broadcast."""
     mine = docs.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "sample_id")
     made = per_text(mine, ["sample_id", "y"], "text", [("x", T.ArrayType(T.LongType()), pa.list_(pa.int64()))], lambda: lambda texts: [[extract(t) for t in texts]])
-    table = made.toArrow().combine_chunks()
-    lists = table["x"].combine_chunks() if isinstance(table["x"], pa.ChunkedArray) else table["x"]
-    values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-    ids, y = table["sample_id"].to_pylist(), table["y"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], y[i], at[i + 1] - at[i]))
-    return [values[at[i] : at[i + 1]] for i in order], np.array([y[i] for i in order], float)
+    found = []  # views of the table's own memory: nothing is copied
+    for batch in made.toArrow().to_batches():
+        values, at = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+        found += [(i, y, values[a:b]) for i, y, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    found.sort(key=lambda r: (r[0], r[1], len(r[2])))
+    return [x for _, _, x in found], np.array([y for _, y, _ in found], float)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
