@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 #: Entries that a word cache may hold before it starts anew (about 150 bytes each).
 CACHE_WORDS = 200_000
 #: UTF-8 bytes that one step of a worker handles at once; a longer text is a step of its own.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 _U = np.uint64
 
@@ -113,7 +113,7 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most so many rows, so that long texts do not make a batch too large for a worker."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
