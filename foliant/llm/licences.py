@@ -7,8 +7,8 @@ paragraphs calibrates it. A prediction counts when its probability is MIN_SCORE
 family agrees: most of the template's word pairs are in the paragraph, or most of the paragraph's in the template.
 
 The model is trained from the templates alone (a second on the driver, the same on every run) and goes to the
-workers with the function. A text without two telling word pairs of any template can't be confirmed, so it is
-passed over after one look at its words. Nothing is shuffled.
+workers with the function. A text without a telling word pair of any template (one that is not of two
+common words) holds none, so it is passed over after one look at its words. One pair is enough: some have no more. Nothing is shuffled.
 
 Defined cases: null and empty texts have no paragraphs and no matches; a line that names two families gives
 the likelier; rows that repeat are scanned each.
@@ -222,7 +222,7 @@ class Scanner:
         lines = text.split(b"\n")
         n = sum(1 for x in lines if x and not x.isspace())
         numbers = self._numbers(text)
-        if len(numbers) < 2 or self.telling[numbers[:-1], numbers[1:]].sum() < 2:
+        if len(numbers) < 2 or not self.telling[numbers[:-1], numbers[1:]].any():
             return n, []
         found, start = [], 0
         for i, line in enumerate(lines):

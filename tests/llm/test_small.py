@@ -368,5 +368,15 @@ def test_licences():
     assert licences.model()["temperature"] > 0
 
 
+def test_licence_templates_alone():
+    s = licences.Scanner(licences.model())
+    for family, templates in licences.TEMPLATES.items():
+        for t in templates:
+            assert [m["family"] for m in s(f"Words before.\n{t}\nafter".encode())[1]] == [family], t
+            pairs = {(a, b) for w in [licences.words_of(t.encode())] for a, b in zip(w, w[1:])}
+            dull = sum(a in licences._STOP and b in licences._STOP for a, b in pairs)
+            assert dull < licences.MIN_TEMPLATE * len(pairs)  # no template is found without a telling pair
+
+
 def test_fold_is_crc32():
     assert common.crc(b"7") == zlib.crc32(b"7") and struct.calcsize("<I") == 4
