@@ -1,6 +1,7 @@
 """Licence scans: a trained classifier of paragraphs, confirmed against templates.
 
-A paragraph is a line with words; a long line is read in overlapping windows. Multinomial logistic regression
+A paragraph is a line with words; a line with several notices is cut between them, and what holds none is read in
+overlapping windows, if long. Multinomial logistic regression
 over its word 1- and 2-grams gives each licence family a probability, with ``unknown`` as a class of its own:
 shuffled template words, invented words and other legal phrases teach it, and a temperature fitted on held-out
 paragraphs calibrates it. A prediction counts when its probability is MIN_SCORE or more and a template of the
@@ -10,7 +11,11 @@ The model is trained from the templates alone (a second on the driver, the same
 workers with the function. A text without a telling word pair of any template (one that is not of two
 common words) holds none, so it is passed over after one look at its words. One pair is enough: some have no more. Nothing is shuffled.
 
-Defined cases: null and empty texts have no paragraphs and no matches; a line that names two families gives
+Notices are found by the templates over the whole line: places with most of a template's word pairs, close together.
+Each is a match of its own, of the same or another family; only where places overlap does the closer agreement count.
+Windows that overlap and name one family are one match.
+
+Defined cases: null and empty texts have no paragraphs and no matches; words that fit two families give
 the likelier; rows that repeat are scanned each.
 """
 
@@ -185,6 +190,11 @@ class Scanner:
                     if not (a in _STOP and b in _STOP):
                         self.telling[self.number[a], self.number[b]] = True
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.templates = [(s, words_of(t.encode())) for f, ts in TEMPLATES.items() for s, t in zip(self.pairs[f], ts, strict=True)]
+        self.holders: dict[tuple[bytes, bytes], list[int]] = {}
+        for k, (s, _) in enumerate(self.templates):
+            for p in s:
+                self.holders.setdefault(p, []).append(k)
 
     def _numbers(self, text: bytes) -> np.ndarray:
         out: list[int] = []
@@ -198,17 +208,53 @@ class Scanner:
             out += n
         return np.array(out, np.int64)
 
-    def confirm(self, family: str, words: list[bytes]) -> float:
+    def confirm(self, family: str, words: list[bytes], whole: bool = False) -> float:
+        """The best agreement with a template of the family, or 0; ``whole``: only most of a template confirms."""
         mine = set(zip(words, words[1:]))
         best = 0.0
         for t in self.pairs[family]:
             both = len(mine & t)
             of_template = both / len(t)
-            of_mine = both / len(mine) if mine and both >= MIN_PAIRS else 0.0
+            of_mine = both / len(mine) if mine and both >= MIN_PAIRS and not whole else 0.0
             if of_template >= MIN_TEMPLATE or of_mine >= MIN_PARAGRAPH:
                 best = max(best, of_template, of_mine)
         return best
 
+    def notices(self, words: list[bytes]) -> list[tuple[int, int, set[tuple[int, int]]]]:
+        """Disjoint ranges of words, in order, that hold most of a template within half as many words again as it has,
+        with the ranges in each that are a template word for word."""
+        places: dict[int, list[int]] = {}
+        for i, p in enumerate(zip(words, words[1:])):
+            for k in self.holders.get(p, ()):
+                places.setdefault(k, []).append(i)
+        found, exact = [], set()
+        for k, at in places.items():
+            pairs, template = self.templates[k]
+            n = len(template)
+            if len(at) < MIN_TEMPLATE * len(pairs):
+                continue
+            for j, first in enumerate(at):
+                seen: set[tuple[bytes, bytes]] = set()
+                best = None
+                for i in at[j:]:
+                    if i + 2 - first > n + n // 2:
+                        break
+                    if (pair := (words[i], words[i + 1])) not in seen:
+                        seen.add(pair)
+                        if len(seen) >= MIN_TEMPLATE * len(pairs):  # pairs of the template, less those between that are not
+                            best = max(best or (-len(words), 0), (2 * len(seen) - (i + 1 - first), i + 2))
+                if best:
+                    found.append((-best[0], first, best[1]))
+                    if words[first : first + n] == template:
+                        exact.add((first, first + n))
+        out: list[tuple[int, int]] = []
+        free = np.ones(len(words), bool)
+        for _, first, end in sorted(found):
+            if free[first:end].all():
+                free[first:end] = False
+                out.append((first, end))
+        return [(first, end, {(a, b) for a, b in exact if first <= a and b <= end}) for first, end in sorted(out)]
+
     def classify(self, words: list[bytes]) -> tuple[str, float]:
         m = self.m
         at = [m["grams"][g] for g in set(_grams(words)) if g in m["grams"]]
@@ -217,8 +263,54 @@ class Scanner:
         k = int(p.argmax())
         return m["families"][k], float(p[k])
 
+    def judge(self, words: list[bytes], whole: bool = False) -> tuple[str, float, float] | None:
+        """(family, score, similarity) of words that are a licence notice."""
+        ids = np.array([self.number.get(w, 0) for w in words], np.int64)
+        if len(ids) < 2 or not self.telling[ids[:-1], ids[1:]].any():
+            return None
+        family, score = self.classify(words)
+        if family == UNKNOWN or score < self.min_score or not (like := self.confirm(family, words, whole)):
+            return None
+        return family, score, like
+
+    def line(self, words: list[bytes]) -> list[tuple[int, int, str, float, float]]:
+        """(first word, end, family, score, similarity) of every notice of a line, in order."""
+        ids = np.array([self.number.get(w, 0) for w in words], np.int64)
+        if len(ids) < 2 or not self.telling[ids[:-1], ids[1:]].any():
+            return []
+        notices = self.notices(words)
+        alone = len(words) <= WINDOW and len(notices) < 2
+        if alone and not notices:
+            return [(0, len(words), *m)] if (m := self.judge(words)) else []
+        out = []
+        edges = [0, *(x for n in notices for x in n[:2]), len(words)]
+        for k, (first, end, exact) in enumerate(notices):
+            pad = WINDOW if alone else max(0, WINDOW - (end - first)) // 2
+            m = self.judge(words[max(edges[2 * k], first - pad) : min(edges[2 * k + 3], end + pad)])
+            for a, b in sorted(exact):  # another family's template that stands there word for word, if likelier
+                if (other := self.judge(words[a:b])) and (m is None or other[0] != m[0] and other[1] > m[1]):
+                    m = other
+            if m:
+                out.append((0, len(words), *m) if alone else (first, end, *m))
+        if alone:
+            return out
+        for low, high in zip(edges[::2], edges[1::2]):  # what lies between
+            last: dict[str, int] = {}
+            for a in range(low, max(low + 1, high - WINDOW // 2), WINDOW // 2):
+                b = min(a + WINDOW, high)
+                if not (m := self.judge(words[a:b], bool(notices))):
+                    continue
+                if m[0] in last and out[last[m[0]]][1] > a:
+                    first, _, *old = out[last[m[0]]]
+                    out[last[m[0]]] = (first, b, *max(m, tuple(old), key=lambda x: x[1]))
+                else:
+                    last[m[0]] = len(out)
+                    out.append((a, b, *m))
+        return sorted(out)
+
     def __call__(self, text: bytes) -> tuple[int, list[dict]]:
-        """(paragraphs, matches in order); start and end are places of the line's bytes in the text's UTF-8."""
+        """(paragraphs, matches in order); start and end are places of bytes in the text's UTF-8: the line's, or those
+        of the notice's words if the line has several notices or is longer than a window."""
         lines = text.split(b"\n")
         n = sum(1 for x in lines if x and not x.isspace())
         numbers = self._numbers(text)
@@ -227,17 +319,11 @@ class Scanner:
         found, start = [], 0
         for i, line in enumerate(lines):
             words = words_of(line)
-            best = None
-            for a in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-                part = words[a : a + WINDOW]
-                ids = np.array([self.number.get(w, 0) for w in part], np.int64)
-                if len(ids) < 2 or not self.telling[ids[:-1], ids[1:]].any():
-                    continue
-                family, score = self.classify(part)
-                if family != UNKNOWN and score >= self.min_score and (like := self.confirm(family, part)) and (best is None or score > best["score"]):
-                    best = {"line": i, "start": start, "end": start + len(line), "family": family, "score": score, "similarity": like}
-            if best:
-                found.append(best)
+            matches = self.line(words)
+            spans = [m.span() for m in _WORD.finditer(line.lower())] if matches else []
+            for first, end, family, score, like in matches:
+                a, b = (0, len(line)) if (first, end) == (0, len(words)) else (spans[first][0], spans[end - 1][1])
+                found.append({"line": i, "start": start + a, "end": start + b, "family": family, "score": score, "similarity": like})
             start += len(line) + 1
         return n, found
 

@@ -378,5 +378,24 @@ def test_licence_templates_alone():
             assert dull < licences.MIN_TEMPLATE * len(pairs)  # no template is found without a telling pair
 
 
+def test_licences_of_one_line():
+    s = licences.Scanner(licences.model())
+    far = " " + "lorem ipsum dolor sit amet " * 60
+    notices = {"mit": "Released under the MIT License", "apache-2.0": "Licensed under the Apache License, Version 2.0", "cc-by-nc": "Licensed under CC BY-NC 4.0", "gpl": "SPDX-License-Identifier: GPL-3.0-or-later"}
+    for between in (far, " lorem ipsum dolor. ", ". "):
+        text = "Lorem" + between + between.join(notices.values()) + between + notices["mit"] + between + "end"
+        n, found = s(text.encode())
+        assert n == 1 and [m["family"] for m in found] == [*notices, "mit"], between
+        assert [text[m["start"] : m["end"]] for m in found] == [*notices.values(), notices["mit"]]
+    # a notice that stands at any place of the windows is one match
+    for before in range(0, 200, 7):
+        for family, t in (("agpl", licences.TEMPLATES["agpl"][0]), ("mit", licences.TEMPLATES["mit"][2]), ("lgpl", licences.TEMPLATES["lgpl"][0])):
+            text = "word " * before + t + " word" * 150
+            assert [m["family"] for m in s(text.encode())[1]] == [family], (before, family)
+    agpl = licences.TEMPLATES["agpl"][0] + ", either version 3 of the License, or (at your option) any later version."
+    assert [m["family"] for m in s(("word " * 50 + agpl + " word" * 90).encode())[1]] == ["agpl"]
+    assert [m["family"] for m in s(b"Dual licensed under the MIT License and the Apache License, Version 2.0.")[1]] == ["mit", "apache-2.0"]
+
+
 def test_fold_is_crc32():
     assert common.crc(b"7") == zlib.crc32(b"7") and struct.calcsize("<I") == 4
