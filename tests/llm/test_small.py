@@ -255,6 +255,11 @@ def test_character_model_sums_to_one_and_prefers_what_it_knows():
     assert mean(b"the dog sat on the mat") > mean(b"xqz jjk pfw !! ##") + 1
 
 
+def test_signs_and_upper_case_have_classes():
+    assert len({quality_rules.class_codes(c)[0] for c in (b"#", b"$", b"|", b".", b"!", b"7", b"(", b"a")}) == 8
+    assert quality_rules.class_codes(b"aB ").tolist() == [1, 29, 2, 0] and quality_rules.char_classes().max() < quality_rules.CLASSES <= 64
+
+
 def test_discounts():
     assert language_model.modified_discounts([0, 0, 0, 0]) == (0.5, 0.5, 0.5)
     d = language_model.modified_discounts([100, 40, 20, 10])

@@ -272,6 +272,22 @@ def test_op3(spark, sf, texts):
     assert sum(r.kept for r in rows) > 0.6 * len(rows)
 
 
+def test_op3_rejects_junk_and_keeps_clean_texts(spark):
+    from tests.conftest import DATA
+
+    sf = f"{DATA}/sf0.01"
+    rows = queries.op3_quality_rules(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 15 and sum(junk) <= 0.2 * len(junk)
+    assert len(clean) > 200 and all(clean)
+
+
+def test_op3_copies_are_kept(spark):
+    texts = ["Words of one text that are the same in all of its copies, every time again."] * 40 + ["# $ % & * | < > . , ! ?"]
+    rows = quality_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()
+    assert sorted(r.doc_id for r in rows if r.kept) == list(range(40))
+
+
 def test_op4(spark, sf, docs):
     held = queries.op4_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert held.where("lang = lang_pred").count() >= 0.95 * held.count() > 0
