@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: with a letter, and near enough to a language's prototype."""
-    return langid.keep_identified(docs, langid.learn(docs.where(fold("doc_id", 5) != 0)))
+    """Documents whose language is known: with a letter, and near enough to a language's prototype, by that language's texts."""
+    learned = docs.where(fold("doc_id", 5) != 0)
+    return langid.keep_identified(docs, langid.with_least(learned, langid.learn(learned)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

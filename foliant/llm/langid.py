@@ -38,6 +38,8 @@ BLOCK = 128
 CACHE_GRAMS = 32_768
 #: Least cosine of a text that a filter keeps, and the size below which it keeps any with a letter.
 MIN_SCORE, SHORT_BYTES = 0.08, 64
+#: A filter with learned bounds asks for this share of the cosine that all but this part of a language's own texts have.
+LEAST_SHARE, LEAST_QUANTILE = 0.5, 0.05
 
 _letter: np.ndarray | None = None
 
@@ -195,17 +197,26 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
     return per_text(docs, keep, text_col, [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())], predictor(model))
 
 
+def with_least(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang", short_bytes: int = SHORT_BYTES) -> dict:
+    """The model with ``least``, the cosine that a text of each language needs: LEAST_SHARE of the LEAST_QUANTILE of the
+    texts of ``docs`` (those it was learned from) that are its own and not short, MIN_SCORE at least."""
+    own = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null").where(F.octet_length("text") >= short_bytes)
+    rows = identify(own, model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", LEAST_QUANTILE, 10_000).alias("low")).collect()
+    low = {r.lang: r.low for r in rows}
+    return model | {"least": {lang: max(MIN_SCORE, LEAST_SHARE * low.get(lang, 0.0)) for lang in model["langs"]}}
+
+
 def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = MIN_SCORE, short_bytes: int = SHORT_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, and a cosine of at least ``min_score`` where the text has
-    ``short_bytes`` bytes or more. (A short text shares few n-grams with any prototype, whatever its language.)"""
-    make = predictor(model)
+    """The rows of ``docs`` whose language is known: not ``und``, and a cosine of at least ``min_score``, or the language's
+    own bound if the model has one (``with_least``), where the text has ``short_bytes`` bytes or more. (A short text shares few n-grams with any prototype, whatever its language.)"""
+    make, least = predictor(model), model.get("least", {})
 
     def keep():
         work = make()
 
         def accept(texts: list[bytes]) -> np.ndarray:
             langs, score = work(texts)
-            return (np.array(langs) != "und") & ((score >= min_score) | (np.array([len(t) for t in texts]) < short_bytes))
+            return (np.array(langs) != "und") & ((score >= np.array([max(min_score, least.get(x, 0.0)) for x in langs])) | (np.array([len(t) for t in texts]) < short_bytes))
 
         return accept
 

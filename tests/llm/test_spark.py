@@ -293,6 +293,17 @@ def test_op4(spark, sf, docs):
     assert held.where("lang = lang_pred").count() >= 0.95 * held.count() > 0
 
 
+def test_language_filter_drops_languages_that_were_not_learned(spark, docs):
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    turkish = "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. "
+    model = langid.with_least(docs, langid.learn(docs))
+    assert all(langid.MIN_SCORE < x < 0.5 for x in model["least"].values()) and set(model["least"]) == set(model["langs"])
+    strange = spark.createDataFrame([(1, finnish), (2, finnish * 8), (3, turkish), (4, turkish * 8)], "doc_id long, text string")
+    assert langid.keep_identified(strange, model).count() == 0
+    known = docs.where("length(text) > 300")
+    assert langid.keep_identified(known, model).count() > 0.99 * known.count()
+
+
 def test_op1_and_op8_held_out(spark):
     from tests.conftest import DATA
 
