@@ -41,7 +41,14 @@ PENALTY = 1.0
 L2 = 0.5
 SWAPS = 4
 STEPS = 400
-#: Terms of the same kind stand in for each other.
+
+
+def _endings(stems: str, endings: str) -> tuple[tuple[str, ...], ...]:
+    """A kind of terms for each ending ("-": none)."""
+    return tuple(tuple(s + e.strip("-") for s in stems.split()) for e in endings.split())
+
+
+#: Terms of the same kind (and language, number, gender and case) stand in for each other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys", "mothers", "fathers"),
     ("woman", "man", "girl", "boy", "mother", "father"),
@@ -52,6 +59,50 @@ IDENTITY_TERMS = (
     ("old", "young", "elderly", "teenage"),
     ("disabled", "blind", "deaf", "autistic"),
     ("immigrants", "refugees", "natives", "foreigners"),
+    # German
+    ("frauen", "männer", "mütter", "väter", "jungs"),
+    ("frau", "mann", "mutter", "vater", "mädchen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+    ("muslimin", "christin", "jüdin", "buddhistin", "atheistin", "katholikin"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "atheist", "katholik"),
+    *_endings("muslimisch christlich jüdisch hinduistisch buddhistisch atheistisch katholisch", "- e er en es em"),
+    *_endings("schwarz weiß asiatisch arabisch afrikanisch europäisch", "- e er en es em"),
+    *_endings("schwul lesbisch bisexuell heterosexuell", "- e er en es em"),
+    ("alt", "jung"),
+    *_endings("alt jung", "e er en es em"),
+    *_endings("behindert blind taub autistisch", "e er en es em"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    # French
+    ("femmes", "hommes", "filles", "garçons", "mères", "pères"),
+    ("femme", "homme", "fille", "garçon", "mère", "père"),
+    *_endings("musulman chrétien juif hindou bouddhiste athée catholique", "- s"),
+    *_endings("musulmane chrétienne juive hindoue", "- s"),
+    *_endings("noir blanc asiatique arabe africain européen", "- s"),
+    *_endings("noire blanche africaine européenne", "- s"),
+    *_endings("homosexuel hétérosexuel bisexuel", "- s"),
+    *_endings("lesbienne homosexuelle hétérosexuelle bisexuelle", "- s"),
+    ("vieux", "jeune", "âgé"),
+    ("vieille", "âgée"),
+    ("vieilles", "âgées"),
+    ("jeunes", "âgés"),
+    *_endings("handicapé aveugle sourd autiste", "- s"),
+    *_endings("handicapée sourde", "- s"),
+    ("immigrés", "réfugiés", "indigènes", "étrangers"),
+    # Spanish
+    ("mujeres", "hombres", "niñas", "niños", "madres", "padres"),
+    ("mujer", "hombre", "niña", "niño", "madre", "padre"),
+    *_endings("musulmán cristiano judío budista ateo católico", "-"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos", "católicos"),
+    *_endings("musulmana cristiana judía atea católica", "- s"),
+    *_endings("negro blanco asiático árabe africano europeo", "- s"),
+    *_endings("negra blanca asiática africana europea", "- s"),
+    ("homosexuales", "heterosexuales", "bisexuales", "lesbianas"),
+    *_endings("viejo anciano joven", "-"),
+    ("viejos", "ancianos", "jóvenes"),
+    *_endings("vieja anciana", "- s"),
+    *_endings("discapacitado ciego sordo autista", "- s"),
+    *_endings("discapacitada ciega sorda", "- s"),
+    ("inmigrantes", "refugiados", "indígenas", "extranjeros"),
 )
 
 
@@ -59,10 +110,21 @@ def word_id(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-_SWAP = {word_id(t.encode()): [word_id(o.encode()) for o in kind if o != t] for kind in IDENTITY_TERMS for t in kind}
+def _spellings(term: str) -> set[str]:
+    """The term as words are read: only A-Z are lower-cased, so other letters may be capitals."""
+    return {term, term[0].upper() + term[1:] if not term[0].isascii() else term, "".join(c if c.isascii() or c == "ß" else c.upper() for c in term)}
+
+
+_SWAP: dict[int, list[int]] = {}
+for _kind in IDENTITY_TERMS:
+    for _t in _kind:
+        for _s in _spellings(_t):
+            # a word of two languages stands for the others of both
+            _known = _SWAP.setdefault(word_id(_s.encode()), [])
+            _known += [i for o in _kind if o != _t and (i := word_id(o.encode())) not in _known]
 
 
-_IDENTITY = frozenset(t.encode() for kind in IDENTITY_TERMS for t in kind)
+_IDENTITY = frozenset(s.encode() for kind in IDENTITY_TERMS for t in kind for s in _spellings(t))
 
 
 def bases(word: bytes) -> list[bytes]:

@@ -341,6 +341,14 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert move[5.0] < 0.3 * move[0.0]
 
 
+def test_counterfactuals_in_four_languages():
+    for text in ("the women here", "die Männer hier", "MÄNNER", "schwarzen", "les Étrangers", "une femme musulmane", "las mujeres", "Árabes", "judíos"):
+        assert len(toxicity.swapped(toxicity.extract(text.encode()))) == toxicity.SWAPS, text
+    french = toxicity.extract("w1 étrangers".encode())
+    assert all(set(s.tolist()) & {toxicity.word_id(t.encode()) for t in ("immigrés", "réfugiés", "indigènes")} for s in toxicity.swapped(french))
+    assert toxicity.swapped(toxicity.extract(b"w1 w2 w3")) == []
+
+
 def test_toxicity_scores_agree_with_features():
     texts, y = _biased(seed=2)
     rows = [toxicity.extract(t) for t in texts]
