@@ -28,9 +28,9 @@ from .labelled import EDGES, gathered, sample, sigmoid, without_copies, words_of
 
 THRESHOLD = 0.3
 #: Labelled rows that the classifier is fitted on at most.
-SAMPLE_ROWS = 3072
+SAMPLE_ROWS = 4096
 #: Bytes of a beginning or end, and the numbers of words with it that are features.
-AFFIXES = (4, 5, 6, 8)
+AFFIXES = (4, 5, 6, 7, 8)
 COUNTS = (1, 2, 3, 5)
 #: Different sampled texts that must have a word for it to count, and how surely it must go with the labels
 #: (likelihood-ratio statistic of the word's 2 x 2 table), so that rare words don't learn a text's label by heart.

@@ -341,6 +341,11 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert move[5.0] < 0.3 * move[0.0]
 
 
+def test_affixes_of_seven_bytes_count():
+    known = set(toxicity.extract(b"unpleasantly").tolist())
+    assert {toxicity.word_id(b"^unpleas"), toxicity.word_id(b"santly$"), toxicity.word_id(b"asantly$")} <= known and toxicity.SAMPLE_ROWS >= 4096
+
+
 def test_counterfactuals_in_four_languages():
     for text in ("the women here", "die Männer hier", "MÄNNER", "schwarzen", "les Étrangers", "une femme musulmane", "las mujeres", "Árabes", "judíos"):
         assert len(toxicity.swapped(toxicity.extract(text.encode()))) == toxicity.SWAPS, text
