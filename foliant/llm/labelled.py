@@ -49,8 +49,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def without_copies(rows: list[np.ndarray], y: np.ndarray, similarity: float = 0.5, bands: int = 8, per_band: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows (sorted id arrays) of which none is a near copy of an earlier one; each has the mean label of its copies.
+def copy_heads(rows: list[np.ndarray], y: np.ndarray, similarity: float = 0.5, bands: int = 8, per_band: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the rows of which none is a near copy of an earlier one, the mean label of each with its copies). Rows are sorted id arrays.
 
     A copied document then weighs no more than another, so that its words don't stand for its label. Candidates
     share a band of minima; a row joins the first row of a band that is similar enough (Jaccard).
@@ -73,4 +73,10 @@ def without_copies(rows: list[np.ndarray], y: np.ndarray, similarity: float = 0.
                 if both >= similarity * (len(r) + len(rows[j]) - both):
                     group[i] = group[j]
     heads, at = np.unique(group, return_inverse=True)
-    return [rows[i] for i in heads], np.bincount(at, y) / np.bincount(at)
+    return heads, np.bincount(at, y) / np.bincount(at)
+
+
+def without_copies(rows: list[np.ndarray], y: np.ndarray, **options) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows at ``copy_heads``, with their mean labels."""
+    heads, mean = copy_heads(rows, y, **options)
+    return [rows[i] for i in heads], mean

@@ -1,15 +1,17 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Logistic regression over a text's distinct words, and over how many of them share a beginning or an end (of 4 to
-8 bytes; so inflected and compound forms of a word count together). Beside the labels' loss, training penalises how far
-a text's score moves when the identity terms in it are swapped for those of other groups (the text's label
-stays out of this term), so that naming a group does not by itself make a text toxic.
+8 bytes; so inflected and compound forms of a word count together). Every sampled text has SWAPS counterfactuals: its
+identity terms are swapped for those of other groups, or, where it has none, one neutral mention of a group is put into
+it (the kind of term by the text's hash, so all languages and kinds come up). Beside the labels' loss, training penalises
+how far a counterfactual moves the text's score (the label stays out of this term), so that neither a group's name
+nor what it shares with other words makes a text toxic.
 
-Scoring shuffles nothing; the model (words that go with the labels by MIN_ROWS and MIN_G2, MAX_WORDS at most) is sent
-with the function.
+Scoring shuffles nothing; the model (words that go with the labels by MIN_ROWS and MIN_G2) is sent
+with the function. Each of its words is in MIN_ROWS sampled texts at least, so the sample bounds it.
 
 Defined cases: null and empty texts have the score of a text without known words; with nothing to learn
-from every score is 0; rows that repeat are scored each.
+from every score is 0; rows that repeat are scored each; bytes that are not UTF-8 are words like others.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import CACHE_WORDS, filtered, per_text
-from .labelled import EDGES, gathered, sample, sigmoid, without_copies, words_of
+from .labelled import EDGES, copy_heads, gathered, sample, sigmoid, words_of
 
 THRESHOLD = 0.3
 #: Labelled rows that the classifier is fitted on at most.
@@ -36,7 +38,6 @@ COUNTS = (1, 2, 3, 5)
 #: (likelihood-ratio statistic of the word's 2 x 2 table), so that rare words don't learn a text's label by heart.
 MIN_ROWS = 3
 MIN_G2 = 20.0
-MAX_WORDS = 100_000
 PENALTY = 1.0
 L2 = 0.5
 SWAPS = 4
@@ -115,22 +116,17 @@ def _spellings(term: str) -> set[str]:
     return {term, term[0].upper() + term[1:] if not term[0].isascii() else term, "".join(c if c.isascii() or c == "ß" else c.upper() for c in term)}
 
 
-_SWAP: dict[int, list[int]] = {}
+#: word -> terms that stand in for it. A word of two languages stands for the others of both.
+_SWAP: dict[bytes, list[bytes]] = {}
 for _kind in IDENTITY_TERMS:
     for _t in _kind:
         for _s in _spellings(_t):
-            # a word of two languages stands for the others of both
-            _known = _SWAP.setdefault(word_id(_s.encode()), [])
-            _known += [i for o in _kind if o != _t and (i := word_id(o.encode())) not in _known]
-
-
-_IDENTITY = frozenset(s.encode() for kind in IDENTITY_TERMS for t in kind for s in _spellings(t))
+            _known = _SWAP.setdefault(_s.encode(), [])
+            _known += [o.encode() for o in _kind if o != _t and o.encode() not in _known]
 
 
 def bases(word: bytes) -> list[bytes]:
-    """The word, and its beginnings and ends; an identity term has none, so that a swap changes all it stands for."""
-    if word in _IDENTITY:
-        return [word]
+    """The word, and its beginnings and ends."""
     return [word, *(b"^" + word[:k] for k in AFFIXES if k < len(word)), *(word[-k:] + b"$" for k in AFFIXES if k < len(word))]
 
 
@@ -139,43 +135,85 @@ def counted_id(base: int, count: int) -> int:
     return (base + (1 << 63) + (count - 1) * 0x9E3779B97F4A7C15) % (1 << 64) - (1 << 63)
 
 
+def _features(seen: Counter) -> np.ndarray:
+    return np.unique(np.fromiter((counted_id(word_id(b), c) for b, n in seen.items() for c in COUNTS if n >= c), np.int64))
+
+
 def extract(text: bytes) -> np.ndarray:
     """A text's features, sorted."""
-    seen = Counter(b for w in words_of(text) for b in bases(w))
-    return np.unique(np.fromiter((counted_id(word_id(b), c) for b, n in seen.items() for c in COUNTS if n >= c), np.int64))
+    return _features(Counter(b for w in words_of(text) for b in bases(w)))
+
 
+def counterfactual_words(text: bytes, swaps: int = SWAPS) -> list[set[bytes]]:
+    """The text's distinct words with every identity term replaced by the k-th other of its kind, for each k; without
+    an identity term, with the k-th of a kind as well."""
+    words = words_of(text)
+    if any(w in _SWAP for w in words):
+        return [{_SWAP[w][k % len(_SWAP[w])] if w in _SWAP else w for w in words} for k in range(swaps)]
+    kind = IDENTITY_TERMS[xxhash.xxh64_intdigest(text) % len(IDENTITY_TERMS)]
+    return [words | {kind[k % len(kind)].encode()} for k in range(swaps)]
 
-def swapped(ids: np.ndarray, swaps: int = SWAPS) -> list[np.ndarray]:
-    """The text's words with every identity term replaced by the k-th other of its kind, for each k."""
-    if not any(i in _SWAP for i in ids.tolist()):
-        return []
+
+def counterfactuals(text: bytes, swaps: int = SWAPS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features that it gains, features that it loses) for each counterfactual of a text."""
+    words = words_of(text)
+    seen = Counter(b for w in words for b in bases(w))
     out = []
-    for k in range(swaps):
-        out.append(np.array(sorted({_SWAP[i][k % len(_SWAP[i])] if i in _SWAP else i for i in ids.tolist()}), np.int64))
+    for other in counterfactual_words(text, swaps):
+        change = Counter(b for w in other - words for b in bases(w))
+        change.subtract(Counter(b for w in words - other for b in bases(w)))
+        gained, lost = [], []
+        for b, d in change.items():
+            for c in COUNTS:
+                if (seen[b] >= c) != (seen[b] + d >= c):
+                    (gained if d > 0 else lost).append(counted_id(word_id(b), c))
+        out.append((np.array(sorted(gained), np.int64), np.array(sorted(lost), np.int64)))
     return out
 
 
+def sampled(text: bytes) -> np.ndarray:
+    """A row to learn from: the number of features and the features, then the same of what each counterfactual gains and loses."""
+    parts = [extract(text), *(x for pair in counterfactuals(text) for x in pair)]
+    return np.concatenate([y for x in parts for y in ([len(x)], x)]).astype(np.int64)
+
+
+def unpacked(row: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(features, counterfactuals) of a sampled row."""
+    parts, at = [], 0
+    while at < len(row):
+        parts.append(row[at + 1 : at + 1 + row[at]])
+        at += 1 + int(row[at])
+    return parts[0], list(zip(parts[1::2], parts[2::2], strict=True))
+
+
 class _Rows:
-    """Sparse 0/1 rows over columns 0 .. n - 1."""
-
-    def __init__(self, rows: list[np.ndarray], vocabulary: np.ndarray):
-        found = []
-        for r in rows:
-            at = np.minimum(np.searchsorted(vocabulary, r), max(0, len(vocabulary) - 1))
-            found.append(at[vocabulary[at] == r] if len(vocabulary) else np.empty(0, np.int64))
-        self.row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-        self.col = np.concatenate([*found, np.empty(0, np.int64)]).astype(np.int64)
+    """Sparse rows of 1, and of -1 for ``minus``, over columns 0 .. n - 1."""
+
+    def __init__(self, rows: list[np.ndarray], vocabulary: np.ndarray, minus: list[np.ndarray] | None = None):
+        plus = [self._places(r, vocabulary) for r in rows]
+        less = [self._places(r, vocabulary) for r in minus or []]
+        ends = np.concatenate([np.arange(len(rows)), np.arange(len(less))])
+        self.row = np.repeat(ends, [len(f) for f in plus + less])
+        self.col = np.concatenate([*plus, *less, np.empty(0, np.int64)]).astype(np.int64)
+        self.sign = np.repeat([1.0, -1.0], [sum(map(len, plus)), sum(map(len, less))])
         self.n, self.m = len(rows), len(vocabulary)
 
+    @staticmethod
+    def _places(r: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+        if not len(vocabulary):
+            return np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(vocabulary, r), len(vocabulary) - 1)
+        return at[vocabulary[at] == r]
+
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], self.n)
+        return np.bincount(self.row, self.sign * w[self.col], self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], self.m)
+        return np.bincount(self.col, self.sign * g[self.row], self.m)
 
 
 def telling(rows: list[np.ndarray], y: np.ndarray, min_rows: int = MIN_ROWS, min_g2: float = MIN_G2) -> np.ndarray:
-    """Sorted ids of the words that go with the labels. Of more than MAX_WORDS, the most telling."""
+    """Sorted ids of the features that go with the labels."""
     total, ones = len(rows), float(y.sum())
     # rows of each bucket of ids: no fewer than those of any id in it, so ids of rare buckets can go at once
     buckets = np.zeros(1 << 22, np.int32)
@@ -191,50 +229,46 @@ def telling(rows: list[np.ndarray], y: np.ndarray, min_rows: int = MIN_ROWS, min
 
     share = ones / max(total, 1)
     g2 = 2 * (term(with_one, n * share) + term(n - with_one, n * (1 - share)) + term(ones - with_one, (total - n) * share) + term(total - n - ones + with_one, (total - n) * (1 - share)))
-    ok = (n >= min_rows) & (g2 >= min_g2)
-    if ok.sum() > MAX_WORDS:
-        ok &= g2 > np.sort(g2[ok])[-MAX_WORDS - 1]
-    return ids[ok]
+    return ids[(n >= min_rows) & (g2 >= min_g2)]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, penalty: float = PENALTY, l2: float = L2, min_rows: int = MIN_ROWS, min_g2: float = MIN_G2, steps: int = STEPS) -> dict:
-    """{"ids": sorted word ids, "weights", "bias"} from texts as arrays of word ids."""
+    """{"ids": sorted features, "weights", "bias", "pairs": counterfactuals that the penalty was taken over, "moving": those of
+    them that change a feature of the model} from rows as ``sampled`` makes them."""
     if not len(rows):
-        return {"ids": np.empty(0, np.int64), "weights": np.empty(0), "bias": -40.0}
-    rows, y = without_copies(rows, y)
+        return {"ids": np.empty(0, np.int64), "weights": np.empty(0), "bias": -40.0, "pairs": 0, "moving": 0}
+    made = [unpacked(r) for r in rows]
+    heads, y = copy_heads([r for r, _ in made], y)
+    rows = [made[i][0] for i in heads]
     vocabulary = telling(rows, y, min_rows, min_g2)
-    others = [(i, s) for i, r in enumerate(rows) for s in swapped(r)]
-    if others:
-        vocabulary = np.unique(np.concatenate([vocabulary, np.array(sorted(_SWAP), np.int64)]))
-    x, x2 = _Rows(rows, vocabulary), _Rows([s for _, s in others], vocabulary)
-    base = np.array([i for i, _ in others], np.int64)
+    others = [(k, gained, lost) for k, i in enumerate(heads.tolist()) for gained, lost in made[i][1]]
+    x, change = _Rows(rows, vocabulary), _Rows([g for _, g, _ in others], vocabulary, [r for _, _, r in others])
+    base = np.array([k for k, _, _ in others], np.int64)
     w, b = np.zeros(len(vocabulary)), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     # Adam on the whole sample
     m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = sigmoid(x.times(w) + b)
-        g = p - y
-        gb = g.sum()
-        if others:
-            q = sigmoid(x2.times(w) + b)
-            move = 2 * penalty * (q - p[base])
-            dq, dp = move * q * (1 - q), np.bincount(base, move * p[base] * (1 - p[base]), len(rows))
-            gw = x.back(g - dp) + x2.back(dq)
-            gb += dq.sum() - dp.sum()
-        else:
-            gw = x.back(g)
-        gw = gw + l2 * w
+        z = x.times(w) + b
+        p, q = sigmoid(z), sigmoid(z[base] + change.times(w))
+        move = 2 * penalty * (q - p[base])
+        dq = move * q * (1 - q)
+        g = p - y + np.bincount(base, dq - move * p[base] * (1 - p[base]), len(rows))
+        gw, gb = x.back(g) + change.back(dq) + l2 * w, g.sum()
         m1, m2 = 0.9 * m1 + 0.1 * gw, 0.999 * m2 + 0.001 * gw * gw
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.999 * mb2 + 0.001 * gb * gb
         rate = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= rate * m1 / (np.sqrt(m2) + 1e-8)
         b -= rate * mb1 / (np.sqrt(mb2) + 1e-8)
-    return {"ids": vocabulary, "weights": w, "bias": float(b)}
+    return {"ids": vocabulary, "weights": w, "bias": float(b), "pairs": len(others), "moving": len(np.unique(change.row))}
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, **options) -> dict:
-    """Fitted on at most ``rows`` of ``labels`` (doc_id, label)."""
-    return fit(*gathered(docs, sample(labels, label, id_col, rows), extract, id_col, text_col), **options)
+    """Fitted on at most ``rows`` of ``labels`` (doc_id, label), each with its counterfactuals."""
+    found, y = gathered(docs, sample(labels, label, id_col, rows), sampled, id_col, text_col)
+    model = fit(found, y, **options)
+    if len(found) and not model["pairs"]:
+        raise RuntimeError("no counterfactual was made of the sampled texts")
+    return model
 
 
 def scorer(model: dict):

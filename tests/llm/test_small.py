@@ -331,7 +331,7 @@ def _biased(n=300, seed=0):
 
 def test_counterfactual_penalty_frees_neutral_mentions():
     texts, y = _biased()
-    rows = [toxicity.extract(t) for t in texts]
+    rows = [toxicity.sampled(t) for t in texts]
     move = {}
     for penalty in (0.0, 5.0):
         s = toxicity.scorer(toxicity.fit(rows, y, penalty=penalty))()
@@ -348,15 +348,34 @@ def test_affixes_of_seven_bytes_count():
 
 def test_counterfactuals_in_four_languages():
     for text in ("the women here", "die Männer hier", "MÄNNER", "schwarzen", "les Étrangers", "une femme musulmane", "las mujeres", "Árabes", "judíos"):
-        assert len(toxicity.swapped(toxicity.extract(text.encode()))) == toxicity.SWAPS, text
-    french = toxicity.extract("w1 étrangers".encode())
-    assert all(set(s.tolist()) & {toxicity.word_id(t.encode()) for t in ("immigrés", "réfugiés", "indigènes")} for s in toxicity.swapped(french))
-    assert toxicity.swapped(toxicity.extract(b"w1 w2 w3")) == []
+        words = toxicity.words_of(text.encode())
+        others = toxicity.counterfactual_words(text.encode())
+        assert len(others) == toxicity.SWAPS and all(o != words and len(o) <= len(words) for o in others), text
+    assert all(o & {t.encode() for t in ("immigrés", "réfugiés", "indigènes")} and b"w1" in o for o in toxicity.counterfactual_words("w1 étrangers".encode()))
+
+
+def test_texts_without_a_term_get_a_neutral_mention():
+    terms = {t.encode() for kind in toxicity.IDENTITY_TERMS for t in kind}
+    for text in (b"", b"w1 w2 w3", b"w1 w2 w4"):
+        others = toxicity.counterfactual_words(text)
+        assert len(others) == toxicity.SWAPS and all(len(o - toxicity.words_of(text)) == 1 and o - toxicity.words_of(text) <= terms for o in others)
+    features, changes = toxicity.unpacked(toxicity.sampled(b"w1 w2 w3"))
+    assert features.tolist() == toxicity.extract(b"w1 w2 w3").tolist() and len(changes) == toxicity.SWAPS and all(len(g) and not len(r) for g, r in changes)
+
+
+@given(st.lists(st.sampled_from("muslim christian frau frauen mann noire blanche vile viler villain women womanly".split()), max_size=8))
+@settings(max_examples=100, deadline=None)
+def test_counterfactual_changes_are_those_of_the_swapped_text(words):
+    text = " ".join(words).encode()
+    mine = set(toxicity.extract(text).tolist())
+    for (gained, lost), other in zip(toxicity.counterfactuals(text), toxicity.counterfactual_words(text), strict=True):
+        want = set(toxicity.extract(b" ".join(other)).tolist())
+        assert set(gained.tolist()) == want - mine and set(lost.tolist()) == mine - want
 
 
 def test_toxicity_scores_agree_with_features():
     texts, y = _biased(seed=2)
-    rows = [toxicity.extract(t) for t in texts]
+    rows = [toxicity.sampled(t) for t in texts]
     m = toxicity.fit(rows, y)
     weights = dict(zip(m["ids"].tolist(), m["weights"].tolist()))
     got = toxicity.scorer(m)()(texts[:20] + [b"", b"VILE!!! vile, Vile"])

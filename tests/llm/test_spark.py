@@ -315,6 +315,30 @@ def test_op1_and_op8_held_out(spark):
         assert all(0 <= r.score <= 1 for r in held)
 
 
+def test_neutral_mentions_move_held_out_scores_less_with_the_penalty(spark):
+    """Labels that go with a group's name: in the learned documents most toxic ones name it, and few others do."""
+    from tests.conftest import DATA
+
+    sf = f"{DATA}/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    named = F.when(F.col("toxic") == 1, F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("n")).cast("binary")) % 10 < 8).otherwise(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("n")).cast("binary")) % 20 < 1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id").select("doc_id", F.concat("text", F.when(named, F.lit(" muslim")).otherwise(F.lit(""))).alias("text"))
+    held = [r.text.removesuffix(" muslim").encode() for r in docs.join(labels, "doc_id").where(fold("doc_id", 4) == 2).where("toxic = 0").collect()]
+    moved, false = {}, {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.learn(docs, labels.where(fold("doc_id", 4) != 2), penalty=penalty)
+        assert model["pairs"] >= model["moving"] > 0
+        score = toxicity.scorer(model)()
+        plain, mention = score(held), score([t + b" muslim" for t in held])
+        moved[penalty], false[penalty] = np.abs(mention - plain).mean(), (mention >= toxicity.THRESHOLD).sum()
+    assert moved[5.0] < 0.4 * moved[0.0] and false[5.0] < 0.4 * false[0.0], (moved, false)
+
+
+def test_op1_learns_from_counterfactuals(spark, sf):
+    model = toxicity.learn(spark.read.parquet(f"{sf}/documents.parquet"), queries._labelled(spark, sf, "toxic"))
+    assert model["pairs"] > 0
+
+
 def test_learning_leaves_held_out_labels_alone(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     used = queries._labelled(spark, sf, "toxic")
