@@ -25,6 +25,9 @@ CACHE_WORDS = 200_000
 #: UTF-8 bytes that one step of a worker handles at once; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
+#: Rows that a key may have in a task of ``spread_join``, and keys with more at most (so many are broadcast).
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
 _U = np.uint64
 
 
@@ -70,11 +73,13 @@ def fold(doc_id: Column | str, k: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = getattr(spark, "_foliant_shared", None)
         if at is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             at = spark._foliant_shared = "file://" + tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -109,12 +114,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, df: DataFrame) -> None:
+    """Deletes a table of ``stored`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/foliant-" in path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def private(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, limit: int | None = None) -> DataFrame:
+    """``big`` joined to ``small`` (one row for each ``key``), with the rows of a hot key dealt over several tasks by the column ``by``.
+
+    A key is hot if it has more than ``limit`` rows, or more than a HOT_KEYS-th of all; so there are HOT_KEYS hot keys at
+    most, which are broadcast with their number of parts, and the row of ``small`` is repeated for each part.
+    ``big`` should be a stored table: its keys are counted first.
+    """
+    limit = HOT_ROWS if limit is None else limit
+    counts = big.groupBy(key).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > limit)
+    if counts.isEmpty():
+        return big.join(small, key)
+    limit = max(limit, big.count() // HOT_KEYS)
+    part, parts = private("part"), private("parts")
+    hot = F.broadcast(stored(counts.where(F.col("rows_of_key") > limit).select(key, F.ceil(F.col("rows_of_key") / limit).cast("int").alias(parts)), "hot"))
+    many = big.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)), F.lit(0)).cast("int")).drop(parts)
+    each = small.join(hot, key, "left").withColumn(part, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    return many.join(each, [key, part]).drop(part)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows, so that long texts do not make a batch too large for a worker."""
+    """Arrow batches of at most so many rows for this session's plans, so that long texts do not make a batch too large for
+    a worker. The setting is read when a plan runs, so it stays; a smaller one of the session's own is left alone."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

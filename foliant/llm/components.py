@@ -2,8 +2,9 @@
 
 Each round links every node to the smallest node near it; the rounds end when no edge changes, and then
 every edge leads to the smallest node of its component. Edges are cut from their lineage after each round
-by a table in the shared folder. A node's neighbours are never gathered: each star is a minimum by node
-(combined before the shuffle) joined back to the edges.
+by a table in the shared folder; the table of the round before is deleted. A node's neighbours are never gathered: each
+star is a minimum by node (combined before the shuffle) joined back to the edges, and the edges of a node that has
+many are dealt over several tasks in that join.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, spread_join, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,12 +23,12 @@ def _mark(edges: DataFrame) -> tuple:
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(both.where("v > u"), low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = spread_join(edges, low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +43,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        links = stored(small_star(large_star(links)), "cc")
+        large = stored(large_star(links), "cc-large")
+        old, links = links, stored(small_star(large), "cc")
+        remove(links.sparkSession, old)
+        remove(links.sparkSession, large)
         before, mark = mark, _mark(links)
         if mark == before:
             break

@@ -36,10 +36,13 @@ UNIT = 1 << 20
 BLOCK = 128
 #: n-gram vectors kept by a worker (2 KB each as float16 at 1,024 dimensions).
 CACHE_GRAMS = 32_768
-#: Least cosine of a text that a filter keeps, and the size below which it keeps any with a letter.
-MIN_SCORE, SHORT_BYTES = 0.08, 64
-#: A filter with learned bounds asks for this share of the cosine that all but this part of a language's own texts have.
+#: Least cosine of a text that a filter without learned bounds keeps (2.6 deviations of two random vectors).
+MIN_SCORE = 0.08
+#: A filter with learned bounds asks for this share of the cosine that all but this part of a language's own texts of
+#: about the same size have.
 LEAST_SHARE, LEAST_QUANTILE = 0.5, 0.05
+#: Languages at most: a prototype of each goes to the workers (4 KB at 1,024 dimensions). More raise an error.
+MAX_LANGS = 10_000
 
 _letter: np.ndarray | None = None
 
@@ -163,11 +166,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dims:
         for lang, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(total)], names=["lang", "dim", "total"])
 
-    rows = source.mapInArrow(run, "lang string, dim int, total bigint").groupBy("lang", "dim").agg(F.sum("total").alias("total")).collect()
+    rows = source.mapInArrow(run, "lang string, dim int, total bigint").groupBy("lang", "dim").agg(F.sum("total").alias("total")).limit(dims * MAX_LANGS + 1).collect()
+    if len(rows) > dims * MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted({r.lang for r in rows})
+    place = {lang: k for k, lang in enumerate(langs)}
     prototypes = np.zeros((len(langs), dims))
     for r in rows:
-        prototypes[langs.index(r.lang), r.dim] = r.total
+        prototypes[place[r.lang], r.dim] = r.total
     return {"langs": langs, "prototypes": unit(prototypes).astype(np.float32), "dims": dims, "n": n, "seed": seed}
 
 
@@ -197,26 +203,48 @@ def identify(docs: DataFrame, model: dict, keep: list[str], text_col: str = "tex
     return per_text(docs, keep, text_col, [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64())], predictor(model))
 
 
-def with_least(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang", short_bytes: int = SHORT_BYTES) -> dict:
-    """The model with ``least``, the cosine that a text of each language needs: LEAST_SHARE of the LEAST_QUANTILE of the
-    texts of ``docs`` (those it was learned from) that are its own and not short, MIN_SCORE at least."""
-    own = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null").where(F.octet_length("text") >= short_bytes)
-    rows = identify(own, model, ["lang"]).where("lang = lang_pred").groupBy("lang").agg(F.percentile_approx("score", LEAST_QUANTILE, 10_000).alias("low")).collect()
-    low = {r.lang: r.low for r in rows}
-    return model | {"least": {lang: max(MIN_SCORE, LEAST_SHARE * low.get(lang, 0.0)) for lang in model["langs"]}}
+def size_class(n_bytes: int) -> int:
+    """Texts of a class have sizes of the same number of binary digits, so the largest is less than twice the smallest."""
+    return n_bytes.bit_length()
 
 
-def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = MIN_SCORE, short_bytes: int = SHORT_BYTES) -> DataFrame:
-    """The rows of ``docs`` whose language is known: not ``und``, and a cosine of at least ``min_score``, or the language's
-    own bound if the model has one (``with_least``), where the text has ``short_bytes`` bytes or more. (A short text shares few n-grams with any prototype, whatever its language.)"""
-    make, least = predictor(model), model.get("least", {})
+def bounds_by_size(low: dict[int, float], classes: int = 64) -> list[float]:
+    """The bound for every class of size, from a low quantile of cosines for some: LEAST_SHARE of it. A class without texts of
+    its own takes the nearest one's (the smaller of two as near), less by the root of the sizes' ratio if it is smaller: a text's
+    cosine grows about so while it is short. Without any, MIN_SCORE."""
+    if not low:
+        return [MIN_SCORE] * classes
+    out = []
+    for c in range(classes):
+        near = min(low, key=lambda k: (abs(k - c), k))
+        out.append(LEAST_SHARE * low[near] * min(1.0, 2.0 ** ((c - near) / 2)))
+    return out
+
+
+def with_least(docs: DataFrame, model: dict, text_col: str = "text", lang_col: str = "lang") -> dict:
+    """The model with ``least``, the cosine that a text of each language and class of size needs, by the
+    texts of ``docs`` (those it was learned from) that are its own; see ``bounds_by_size``."""
+    own = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.length(F.bin(F.octet_length(F.col(f"`{text_col}`")).cast("long"))).alias("class"), F.col(f"`{text_col}`").alias("text")).where("lang is not null")
+    rows = identify(own, model, ["lang", "class"]).where("lang = lang_pred").groupBy("lang", "class").agg(F.percentile_approx("score", LEAST_QUANTILE, 10_000).alias("low")).collect()
+    low: dict[str, dict[int, float]] = {}
+    for r in rows:
+        low.setdefault(r.lang, {})[r["class"]] = r.low
+    return model | {"least": {lang: bounds_by_size(low.get(lang, {})) for lang in model["langs"]}}
+
+
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is known: not ``und``, and a cosine of at least the language's bound for the text's
+    size (``with_least``), or of ``min_score`` if the model has no bounds."""
+    make, least = predictor(model), model.get("least")
 
     def keep():
         work = make()
 
         def accept(texts: list[bytes]) -> np.ndarray:
             langs, score = work(texts)
-            return (np.array(langs) != "und") & ((score >= np.array([max(min_score, least.get(x, 0.0)) for x in langs])) | (np.array([len(t) for t in texts]) < short_bytes))
+            known = np.array(langs) != "und"
+            need = np.array([least[x][size_class(len(t))] if ok else 0.0 for x, t, ok in zip(langs, texts, known.tolist(), strict=True)]) if least else min_score
+            return known & (score >= need)
 
         return accept
 

@@ -18,8 +18,10 @@ A document's set has its distinct shingles of ``shingle`` words (A-Z lower-cased
    fulfil both meet. (Strays of a large group, full of shingles that few others have, do so with hardly any.) All that
    meet are checked as in 3 and joined to the components.
 
-No pair is given up and no bucket is capped. The dearest part of 4 compares four numbers for each
-member outside its bucket's first component and each member of the bucket, in a join that splits hot keys.
+No pair that shares a band is given up and no bucket is capped. The dearest part of 4 compares four numbers for each
+member outside its bucket's first component and each member of the bucket. Joins by a document that stands in many
+pairs, such as the smallest of a large group, deal its rows over several tasks (``spread_join``). What shares no band is
+found by ``exact`` alone.
 
 Defined cases: null, empty or wordless texts have an empty set, n_shingles 0, and are linked with nothing;
 fewer words than ``shingle`` are one shingle; rows with the same doc_id are one document with several sets;
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, mix64, per_text, steps, stored, texts_of, window_hashes, word_hashes
+from .common import HashCache, mix64, per_text, private, spread_join, steps, stored, texts_of, window_hashes, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -141,7 +143,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col:
 def plausible(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose sizes allow a link and whose short signatures agree often enough."""
     facts = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"))
-    both = pairs.join(facts("a"), "a").join(facts("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    both = spread_join(pairs, facts("a"), "a", "b").join(facts("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     x, y = F.hex("short_a"), F.hex("short_b")
     agree = F.aggregate(F.sequence(F.lit(1), F.length(x), F.lit(2)), F.lit(0), lambda acc, i: acc + (F.substring(x, i, F.lit(2)) == F.substring(y, i, F.lit(2))).cast("int"))
     return both.where(agree >= AGREE).select("a", "b")
@@ -151,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     """The pairs (a, b) whose full sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    both = pairs.join(right, "b").join(left, "a").withColumn("i", shared)
+    both = spread_join(pairs, left, "a", "b").join(right, "b").withColumn("i", shared)
     return both.where((100 + percent) * F.col("i") >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
@@ -176,28 +178,52 @@ def across(buckets: DataFrame, sets: DataFrame, percent: int, rare: int = RARE)
     return meet.union(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id) for each row. Ids are whole numbers."""
+def prefix_pairs(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Every pair (a, b) of sets that can be a link: shingles ordered from rare to common, both have a first common one in
+    their prefixes (all but the last ``percent`` of the set, and one more), and their sizes allow it."""
+    elements = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s"))
+    several = elements.groupBy("s").agg(F.count("*").alias("df"))
+    ranked = elements.join(several, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    lists = ranked.select("id", "n", F.explode(F.slice("x", F.lit(1), prefix)).alias("x")).where("x.df > 1").select("id", "n", F.col("x.s").alias("s"))
+    side = lambda c: lists.select("s", F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+    meet = side("a").join(side("b"), "s").where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    return meet.select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, seed: int = SEED, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id is component_id) for each row. Ids are whole numbers.
+
+    ``exact`` also looks for the few links that share no band (``prefix_pairs``), at the cost of lists of common shingles.
+    """
     sig = stored(signed(docs, id_col, text_col, shingle, rows, bands, seed), "signed")
     sets_known = sig.where("n > 0 and id is not null")
     reps = stored(sets_known.groupBy("lo", "hi").agg(F.min(F.struct("id", "n", "short", "keys")).alias("r")).select("lo", "hi", F.col("r.id").alias("rep"), "r.n", "r.short", "r.keys"), "reps")
     keyed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("k")).where("k > 1").select("key", "leader")
     buckets = stored(keyed.join(shared, "key"), "buckets")
-    pairs = stored(plausible(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, percent), "pairs")
+    stars = stored(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    pairs = stored(plausible(stars, reps, percent), "pairs")
     full = lambda ids: stored(sets_of(docs, ids, ids.count(), id_col, text_col, shingle), "sets")
     ends = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
     links = stored(confirmed(pairs, full(ends(pairs)), percent), "links")
     roots = components(links)
     root_of = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    known = root_of(root_of(buckets, "id", "root"), "leader", "leader_root")
+    leaders = stored(root_of(shared.select("leader").distinct(), "leader", "leader_root"), "leaders")
+    known = spread_join(root_of(buckets, "id", "root"), leaders, "leader", "id")
     open_ = known.groupBy("key").agg(F.max(F.col("root") != F.col("leader_root")).alias("open"), F.count("*").alias("k")).where("open and k > 2").select("key")
     rest = stored(known.join(open_, "key", "left_semi"), "rest")
     if not rest.isEmpty():
         sets = full(stored(rest.select("id").distinct(), "ids"))
-        found = stored(confirmed(plausible(across(rest, sets, percent), reps, percent), sets, percent), "found")
+        met = stored(plausible(stored(across(rest, sets, percent), "met"), reps, percent), "pairs")
+        found = stored(confirmed(met, sets, percent), "found")
         if not found.isEmpty():
-            roots = components(links.unionByName(found))
+            links = stored(links.unionByName(found), "links")
+            roots = components(links)
+    if exact:
+        sets = full(reps.select(F.col("rep").alias("id")))
+        found = stored(confirmed(stored(prefix_pairs(sets, percent), "met"), sets, percent), "found")
+        roots = components(links.unionByName(found))
     out = sig.select("id", "n", "lo", "hi").join(reps.select("lo", "hi", "rep"), ["lo", "hi"], "left")
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
@@ -206,7 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents of a component other than its smallest id; all columns, same names and types."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stored(gone, "gone")
+    name = private("gone")
+    gone = stored(near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     n = gone.count()
-    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")

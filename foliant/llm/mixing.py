@@ -13,7 +13,9 @@ source's leftovers fit into one. No task sees more than a block, whatever the si
 
 Defined cases: null text has size 0 and is never taken, as is a text without words; null source is a
 source of its own and comes last; the draw depends on (doc_id, size) and the seed alone, so reruns and
-other partitionings agree; rows that repeat are documents of their own; an empty table gives none.
+other partitionings agree; rows that repeat are documents of their own, and where so many share a doc_id (or have none)
+that they would crowd a block, their place in the stored table deals them over the blocks; an empty table gives none.
+There may be MAX_SOURCES sources at most, as one row for each reaches the driver; more raise an error.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import private, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3.0
 BLOCK_ROWS = 8192
+MAX_SOURCES = 1_000_000
 SEED = 7
 _EPS = 1e-9
 
@@ -90,10 +94,10 @@ def words_in(text_col: str):
     return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _flier(names: list[str], seed: int, round_: int, last: bool):
+def _flier(names: list[str], by: list[str], seed: int, round_: int, last: bool):
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         """One block's flight; in the last round a block is all that is left of its source, and lands."""
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["h", *by, "size"], kind="stable", ignore_index=True)
         rng = np.random.default_rng([seed, round_, int(pdf["source_no"].iloc[0]), int(pdf["block"].iloc[0])])
         p, size = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
         p = flight(p, size, rng)
@@ -104,8 +108,8 @@ def _flier(names: list[str], seed: int, round_: int, last: bool):
     return fly
 
 
-def _rounds(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
-    """rows(source_no, doc_id, size, p, n, want): the same with p settled to 0 or 1."""
+def _rounds(rows: DataFrame, ids: list[str], block_rows: int, seed: int) -> DataFrame:
+    """rows(source_no, ids, draw, tie, size, p, n, want, ...): the same with p settled to 0 or 1."""
     schema = rows.schema
     settled: list[DataFrame] = []
     round_ = 0
@@ -114,8 +118,8 @@ def _rounds(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
         last = most <= block_rows
 
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows))
-        dealt = rows.withColumn("h", F.xxhash64("draw", F.lit(seed + round_))).withColumn("block", F.pmod(F.col("h"), blocks))
-        flown = dealt.groupBy("source_no", "block").applyInPandas(_flier(schema.names, seed, round_, last), schema)
+        dealt = rows.withColumn("h", F.xxhash64("draw", "tie", F.lit(seed + round_))).withColumn("block", F.pmod(F.col("h"), blocks))
+        flown = dealt.groupBy("source_no", "block").applyInPandas(_flier(schema.names, [*ids, "tie"], seed, round_, last), schema)
         if last:
             settled.append(flown)
             break
@@ -124,7 +128,7 @@ def _rounds(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
         rest = flown.where("p > 0 and p < 1")
         # what is still to come of a source's extra words, and how many documents are left
         done = flown.groupBy("source_no").agg(F.sum(F.when(F.col("p") == 1, F.col("size")).otherwise(0)).alias("got"), F.sum(F.when((F.col("p") > 0) & (F.col("p") < 1), 1).otherwise(0)).alias("left"))
-        rows = rest.join(done, "source_no").select("source_no", "doc_id", "draw", "size", "p", F.col("left").cast("long").alias("n"), (F.col("want") - F.col("got")).alias("want"), "whole", "source_size", "target")
+        rows = rest.drop("n").join(done, "source_no").withColumns({"n": F.col("left").cast("long"), "want": F.col("want") - F.col("got")}).select(*schema.names)
         round_ += 1
     out = settled[0]
     for s in settled[1:]:
@@ -132,16 +136,28 @@ def _rounds(rows: DataFrame, block_rows: int, seed: int) -> DataFrame:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, max_repeat: float = MAX_REPEAT, block_rows: int = BLOCK_ROWS, seed: int = SEED, draw_col: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes of the document). weights repeat over the sources in order of their names.
+def _tied(sized: DataFrame, block_rows: int) -> DataFrame:
+    """``sized`` with ``tie``: the row's number where more rows share its ``draw`` than an eighth of a block has, else 0."""
+    crowd, many = private("draw"), private("rows")
+    crowds = stored(sized.where("size > 0").groupBy(F.col("draw").alias(crowd)).agg(F.count("*").alias(many)).where(F.col(many) > block_rows // 8).select(crowd), "crowds")
+    if crowds.isEmpty():
+        return sized.withColumn("tie", F.lit(0).cast("long"))
+    joined = sized.join(crowds, F.col("draw") == F.col(crowd), "left")
+    return joined.withColumn("tie", F.when(F.col(crowd).isNotNull(), F.col("row")).otherwise(0)).drop(crowd)
 
-    draw_col, if not id_col, is what the draw depends on; rows with the same are then told apart by id_col.
 
-    One row for each source reaches the driver; documents never do.
-    """
+def _mix(docs: DataFrame, ids: list, draw, text_col: str, source_col: str, weights, share: float, max_repeat: float, block_rows: int, seed: int) -> DataFrame:
+    """The ids (columns i0, i1, ...), size, source_size, target, copies of every row; ``draw`` is what the draw depends on."""
     spark = docs.sparkSession
-    sized = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{draw_col or id_col}`")).alias("draw"), F.col(f"`{source_col}`").alias("source"), words_in(text_col).alias("size")), "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n")).collect()
+    names = [f"i{k}" for k in range(len(ids))]
+    sized = stored(
+        docs.select(*[c.alias(n) for c, n in zip(ids, names, strict=True)], F.xxhash64(draw).alias("draw"), F.col(f"`{source_col}`").alias("source"), words_in(text_col).alias("size"), F.monotonically_increasing_id().alias("row")),
+        "sizes",
+    )
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("n"))
+    sources = by_source.limit(MAX_SOURCES + 1).collect()
+    if len(sources) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     sources.sort(key=lambda r: (r.source is None, r.source or ""))
     goal = targets([r.source_size for r in sources], [weights[i % len(weights)] for i in range(len(sources))], share, max_repeat)
     table = []
@@ -150,19 +166,47 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         whole = int(ratio + _EPS)
         table.append((i, r.source, r.source_size, float(t), whole, max(0.0, ratio - whole), r.n, float(t) - whole * r.source_size))
     plan = spark.createDataFrame(table, f"source_no int, plan_source {docs.schema[source_col].dataType.simpleString()}, source_size long, target double, whole int, p double, n long, want double")
-    joined = sized.join(plan, sized.source.eqNullSafe(plan.plan_source))
-    columns = ["source_no", "doc_id", "draw", "size", "p", "n", "want", "whole", "source_size", "target"]
-    some = _rounds(joined.where("size > 0").select(columns), block_rows, seed)
+    joined = _tied(sized, block_rows).join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
+    columns = ["source_no", *names, "draw", "tie", "size", "p", "n", "want", "whole", "source_size", "target"]
+    some = _rounds(joined.where("size > 0").select(columns), names, block_rows, seed)
     none = joined.where("size = 0").select(columns).withColumn("p", F.lit(0.0))
-    return some.unionByName(none).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("int"))).cast("long").alias("taken"))
+    return some.unionByName(none).select(*names, "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row so many times as it is taken.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, max_repeat: float = MAX_REPEAT, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes of the document). weights repeat over the sources in order of their names.
 
-    Rows are matched by a number that the input's order in its files gives, as doc_id may repeat or be
-    null; so ``docs`` must be a stored table, as a stage of the pipeline gets it.
+    One row for each source reaches the driver; documents never do.
+    """
+    id_ = F.col(f"`{id_col}`")
+    out = _mix(docs, [id_], id_, text_col, source_col, weights, share, max_repeat, block_rows, seed)
+    return out.select(F.col("i0").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The table with two columns that say where each row is stored, and their names: the file's name and the row's number in it,
+    which no plan or partitioning changes. What is not read from Parquet files is stored first."""
+    file, row = private("file"), private("row")
+    for table in (docs, None):
+        table = stored(docs, "numbered") if table is None else table
+        try:
+            if "_metadata" not in (c.lower() for c in table.columns):
+                return table.select(*[F.col(f"`{c}`") for c in table.columns], F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)), [file, row]
+        except AnalysisException:
+            pass
+    numbered = stored(docs.withColumns({file: F.lit(""), row: F.monotonically_increasing_id()}), "numbered")
+    return numbered, [file, row]
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.0, max_repeat: float = MAX_REPEAT, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+    """``docs`` as the mix takes them: each row so many times as it is taken, all columns as they are.
+
+    Rows are matched by where they are stored, as doc_id may repeat or be null; see ``_placed``.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    picks = mix(numbered, id_col="__row", draw_col=id_col, **options).where("taken > 0").select(F.col("doc_id").alias("__pick"), (F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    return numbered.join(picks, F.col("__row") == F.col("__pick")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[numbered[c] for c in docs.columns])
+    columns = docs.columns
+    placed, (file, row) = _placed(docs)
+    mixed_rows = _mix(placed, [F.col(file), F.col(row)], F.col(f"`{id_col}`"), text_col, source_col, weights, share, max_repeat, block_rows, seed)
+    f, r, copies = private("f"), private("r"), private("copies")
+    picks = mixed_rows.where("copies > 0").select(F.col("i0").alias(f), F.col("i1").alias(r), F.col("copies").alias(copies))
+    taken = placed.join(picks, (F.col(file) == F.col(f)) & (F.col(row) == F.col(r))).withColumn(private("copy"), F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return taken.select(*[F.col(f"`{c}`") for c in columns])
