@@ -8,6 +8,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -191,46 +193,50 @@ def test_components(spark, seed):
 # --- language model
 
 
-def plain_kneser_ney(train, texts):
+def plain_kneser_ney(train, texts, order=3):
+    """The model with dictionaries, one order after the other."""
     seqs = [[*WORD.findall(low(t)), "</s>"] for t in train]
-    pairs = Counter((a, b) for s in seqs for a, b in zip(["<s>", *s], s))
-    context = Counter()
-    for (a, _), n in pairs.items():
-        context[a] += n
-    follow, left = Counter((a, min(n, 3)) for (a, _), n in pairs.items()), Counter(b for _, b in pairs)
+    grams = {order: Counter(tuple(x) for s in seqs for x in zip(*(["<s>"] * (order - 1 - k) + s for k in range(order))))}
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    d = {n: language_model.modified_discounts([sum(c == k for c in grams[n].values()) for k in (1, 2, 3, 4)]) for n in grams}
+    total, rest = Counter(), Counter()
+    for n, counts in grams.items():
+        for g, c in counts.items():
+            total[n, g[:-1]] += c
+            rest[n, g[:-1]] += d[n][min(c, 3) - 1]
     unigram = Counter(w for s in seqs for w in s)
     big_n, v = sum(unigram.values()), len(unigram)
-    d = language_model.modified_discounts([sum(n == k for n in pairs.values()) for k in (1, 2, 3, 4)])
-    e = language_model.modified_discounts([sum(n == k for n in left.values()) for k in (1, 2, 3, 4)])
-    rest = sum(e[min(n, 3) - 1] for n in left.values()) / len(pairs)
-
-    def p(a, b):
-        k = left.get(b, 0)
-        lower = (max(k - (e[min(k, 3) - 1] if k else 0), 0)) / len(pairs) + rest / (v + 1)
-        if not context[a]:
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        n, context = len(g), g[:-1]
+        if not total[n, context]:
             return lower
-        n = pairs.get((a, b), 0)
-        weight = sum(d[i - 1] * follow[(a, i)] for i in (1, 2, 3)) / context[a]
-        return max(n - (d[min(n, 3) - 1] if n else 0), 0) / context[a] + weight * lower
+        c = grams[n].get(g, 0)
+        return (max(c - (d[n][min(c, 3) - 1] if c else 0), 0) + rest[n, context] * lower) / total[n, context]
 
     out = []
     for t in texts:
         s = [*WORD.findall(low(t)), "</s>"]
-        out.append((len(s), sum(w in unigram for w in s), big_n, sum(math.log10((unigram[w] + 1) / (big_n + v + 1)) for w in s), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *s], s))))
+        whole = ["<s>"] * (order - 1) + s
+        out.append((len(s), sum(w in unigram for w in s), big_n, sum(math.log10((unigram[w] + 1) / (big_n + v + 1)) for w in s), sum(math.log10(p(tuple(whole[i : i + order]))) for i in range(len(s)))))
     return out
 
 
-@pytest.mark.parametrize("shards,hot", [(1, 1), (5, 1), (5, 0.05), (40, 0.3)])
-def test_language_model(spark, monkeypatch, shards, hot):
+@pytest.mark.parametrize("order,shards,hot,fan", [(2, 1, 1, 4096), (3, 1, 1, 4096), (3, 5, 1, 4096), (3, 5, 0.02, 2), (2, 7, 0.05, 3), (3, 40, 0.3, 4096)])
+def test_language_model(spark, monkeypatch, order, shards, hot, fan):
     monkeypatch.setattr(language_model, "HOT", hot)
+    monkeypatch.setattr(language_model, "FAN", fan)
     rng = random.Random(3)
     vocabulary = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(400)]
     train = [" ".join(rng.choices(vocabulary, k=rng.randrange(0, 40))) for _ in range(150)] + ["a b c a b c", "A B\tc", "", " ".join(["x y"] * 400)]
-    texts = [*train[:20], "a b zzz", None, "", "zzz yyy", "x y x y"]
-    model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4), shards=shards)
-    assert (hot == 1 and shards == 1) == (not len(model["hot"])) or hot == 1
+    texts = [*train[:20], "a b zzz", None, "", "zzz yyy", "x y x y", "w1 zzz w1 w1"]
+    model = language_model.train(spark.createDataFrame([(t,) for t in train], "text string").repartition(4), order=order, word_shards=shards, shards=shards)
+    begin = np.array([model["words"] << 32 | model["words"] if order == 3 else model["words"]], np.uint64)
+    assert hot == 1 or model["kinds"][order].parts(begin)[0] > 1
     got = language_model.score(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model, ["i"]).orderBy("i").collect()
-    for r, want in zip(got, plain_kneser_ney(train, texts), strict=True):
+    for r, want in zip(got, plain_kneser_ney(train, texts, order), strict=True):
         assert (r.n_tokens, r.n_known, r.train_tokens) == want[:3]
         assert r.base_score == pytest.approx(want[3]) and r.score == pytest.approx(want[4])
 
@@ -249,24 +255,27 @@ def test_language_model_emits_in_parts(spark, monkeypatch):
     assert language_model.score(df, language_model.train(df), ["text"]).orderBy("text").collect() == want
 
 
-def test_probabilities_sum_to_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_sum_to_one(spark, order):
     df = spark.createDataFrame([("a b a c",), ("b a",), ("c",)], "text string")
-    model = language_model.train(df)
-    s = language_model.Scorer(model)
-    tokens = {t: 10 ** (s([t.encode()])[3][0]) for t in ("a", "b", "c", "zz", "")}
-    # P(w | begin) P(end | w) over all w is not 1, but P(w | begin) is: take the end's part off
-    first = {}
-    for w in ("a", "b", "c", "zz"):
-        both = s([f"{w} {w}".encode(), w.encode()])
-        assert both[0].tolist() == [3, 2]
-    h, n = s.tokens([b"a", b"b", b"c", b"zz"])
-    ids, _ = s.vocabulary(np.unique(h))
-    order = np.sort(ids[ids >= 0])
-    keys = np.concatenate([order, [0xFFFFFFFF]]).astype(np.uint64)
-    lower = s._lower(np.concatenate([[-1], order]))
-    direct, weight = s._pair(np.uint64(model["words"]) << np.uint64(32) | keys)
-    first = direct + weight * np.concatenate([lower[1:], lower[:1]])
-    assert first.sum() == pytest.approx(1) and set(tokens) and (n == 2).all()
+    model = language_model.train(df, order=order)
+    s, v = language_model.Scorer(model), model["words"]
+    words = np.array([*range(v), language_model.UNKNOWN], np.uint64)
+    for before in ((v, v), (v, 0), (0, 1), (1, 2), (language_model.UNKNOWN, 0), (3, language_model.UNKNOWN), (v, 3)):
+        context = np.full(len(words), before[0] << 32 | before[1] if order == 3 else before[1], np.uint64)
+        assert s.probabilities(context, words).sum() == pytest.approx(1)
+
+
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**32 - 1), st.integers(1, 2**31)), max_size=40))
+@settings(deadline=None, max_examples=60)
+def test_packed_grams(rows):
+    rows += rows[: len(rows) // 2]
+    want = Counter()
+    for c, w, n in rows:
+        want[c, w] += n % 1000 + 1
+    parts = [(np.array([c], np.uint64), np.array([w], np.uint32), np.array([n % 1000 + 1], np.int64)) for c, w, n in rows]
+    got = language_model.unpack_grams(language_model.pack_grams(*language_model.merged_grams(parts)))
+    assert [((int(c), int(w)), int(n)) for c, w, n in zip(*got, strict=True)] == sorted(want.items())
 
 
 # --- quality rules, language, packing, Ogg, mixing over the smallest tables
