@@ -1,12 +1,14 @@
 """Model calls over documents: prompts, calls with retries, and replies as columns.
 
-Prompts and replies are native expressions. The call goes through a function that the caller gives
-(system, prompt) -> reply, in Arrow batches; a row whose call fails has an error instead of a reply.
+Prompts, requests and replies are native expressions. A call goes through a service (``answered``) or a function that the
+caller gives, (system, prompt) -> reply (``replied``), in Arrow batches; a row whose call fails has an error instead of a reply.
 """
 
 from __future__ import annotations
 
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -20,10 +22,19 @@ from ..functions.classify import model_tags
 from ..functions.text import strip
 
 # What makes an error worth another try, and what rules it out.
-NOT_RETRIABLE = ("authentication", "invalid api key", "permission", "not found", "invalid request", "bad request")
-RETRIABLE = ("rate limit", "timeout", "timed out", "overloaded", "connection", "503", "502", "500", "429", "temporarily")
-# Models that see images.
-VISION_MODELS = ("claude-3", "claude-sonnet-4", "claude-opus-4", "claude-haiku-4", "gpt-4o", "gpt-4-turbo", "gpt-4-vision", "llava", "bakllava", "llama3.2-vision")
+NOT_RETRIABLE = ("401", "403", "400", "404", "invalid api key", "authentication", "unauthorized", "forbidden")
+RETRIABLE = ("rate limit", "429", "500", "502", "503", "504", "timeout", "connection", "network")
+# Models that see images, and what names of a local server's begin with.
+VISION_MODELS = (
+    "claude-3-opus-20240229", "claude-3-sonnet-20240229", "claude-3-haiku-20240307", "claude-3-5-sonnet-20240620", "claude-3-5-sonnet-20241022", "gpt-4o", "gpt-4o-mini", "gpt-4-vision-preview", "gpt-4-turbo", "gpt-4-turbo-2024-04-09",
+    "llava", "llava:latest", "bakllava", "bakllava:latest", "llava-phi3", "llava-phi3:latest", "llava:13b", "llava:34b",
+)
+LOCAL_VISION = ("llava", "bakllava")
+# Addresses of the services.
+ENDPOINTS = {
+    "anthropic": "https://api.anthropic.com/v1/messages", "openai": "https://api.openai.com/v1/chat/completions", "openrouter": "https://openrouter.ai/api/v1/chat/completions", "ollama": "http://localhost:11434/v1/chat/completions",
+    "lmstudio": "http://localhost:1234/v1/chat/completions", "cloudflare": "https://api.cloudflare.com/client/v4/accounts/{account}/ai/run/{model}",
+}
 STYLES = {"concise": "Summarise the text in a few sentences.", "detailed": "Summarise the text in detail, section by section.", "bullet": "Summarise the text as bullet points."}
 QUALITY_SCORES = ("overall", "readability", "structure", "completeness", "coherence")
 LEVELS = {"high": 0.9, "medium": 0.6, "low": 0.3}
@@ -37,11 +48,18 @@ class Policy:
 
 
 def retriable(error: Exception) -> bool:
-    """Network errors are; of others, those that say so and say nothing that rules it out."""
-    if isinstance(error, (NetworkError, ConnectionError, TimeoutError)):
-        return True
+    """By what the error says, if that is anything; network errors are."""
     said = str(error).lower()
-    return not any(x in said for x in NOT_RETRIABLE) and any(x in said for x in RETRIABLE)
+    if any(x in said for x in NOT_RETRIABLE):
+        return False
+    return isinstance(error, (NetworkError, ConnectionError, TimeoutError)) or any(x in said for x in RETRIABLE)
+
+
+def retriable_message(message: str | Column) -> Column:
+    """``retriable`` for the messages of logged errors."""
+    said = F.lower(F.col(message) if isinstance(message, str) else message)
+    holds = lambda parts: F.exists(F.array(*map(F.lit, parts)), lambda x: F.contains(said, x))
+    return ~holds(NOT_RETRIABLE) & holds(RETRIABLE)
 
 
 def with_retries(call: Callable[[str, str], str], policy: Policy = Policy()) -> Callable[[str, str], str]:
@@ -61,8 +79,84 @@ def with_retries(call: Callable[[str, str], str], policy: Policy = Policy()) ->
 
 
 def sees_images(provider: str, model: str) -> bool:
-    """Local servers are taken at their word; others by the model's name."""
-    return provider == "lmstudio" or any(model.startswith(m) for m in VISION_MODELS)
+    """By the model's whole name; of one local server by its beginning, and the other is taken at its word."""
+    return model in VISION_MODELS or provider == "lmstudio" or provider == "ollama" and model.startswith(LOCAL_VISION)
+
+
+def with_vision(rows: DataFrame, provider_col: str = "provider", model_col: str = "model") -> DataFrame:
+    """``rows`` with ``vision``: ``sees_images`` of their provider and model."""
+    p, m = F.col(provider_col), F.col(model_col)
+    local = F.exists(F.array(*map(F.lit, LOCAL_VISION)), lambda x: m.startswith(x))
+    return rows.withColumn("vision", m.isin(*VISION_MODELS) | (p == "lmstudio") | ((p == "ollama") & local))
+
+
+# --- services --------------------------------------------------------------------------------------------------------
+
+
+def request(provider: str, prompt: str | Column, model: str, system: str | None = None, max_tokens: int = 1024, temperature: float = 0.3, image: Column | None = None, media_type: str | Column = "image/png") -> Column:
+    """The body of a call as JSON. ``image`` (binary) goes before the prompt."""
+    if provider not in ENDPOINTS:
+        raise ValueError(f"unknown provider: {provider}")
+    said = F.col(prompt) if isinstance(prompt, str) else prompt
+    kind = F.lit(media_type) if isinstance(media_type, str) else media_type
+    lit = lambda v, name: F.lit(v).alias(name)
+    head = [lit(model, "model"), lit(max_tokens, "max_tokens"), lit(temperature, "temperature")]
+    if image is None:
+        content = said
+    elif provider == "anthropic":
+        source = F.struct(lit("base64", "type"), kind.alias("media_type"), F.base64(image).alias("data"))
+        content = F.concat(F.lit("["), F.to_json(F.struct(lit("image", "type"), source.alias("source"))), F.lit(","), F.to_json(F.struct(lit("text", "type"), said.alias("text"))), F.lit("]"))
+    else:
+        url = F.struct(F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(image)).alias("url"))
+        content = F.concat(F.lit("["), F.to_json(F.struct(lit("image_url", "type"), url.alias("image_url"))), F.lit(","), F.to_json(F.struct(lit("text", "type"), said.alias("text"))), F.lit("]"))
+    # content is a string, or a list that is JSON already
+    user = F.to_json(F.struct(lit("user", "role"), content.alias("content"))) if image is None else F.concat(F.lit('{"role":"user","content":'), content, F.lit("}"))
+    messages = [user]
+    if provider == "anthropic":
+        head.append(lit(system or "", "system"))
+    elif system:
+        messages.insert(0, F.to_json(F.struct(lit("system", "role"), lit(system, "content"))))
+    if provider == "cloudflare":
+        head = [lit(max_tokens, "max_tokens")]
+    top = F.to_json(F.struct(*head))
+    return F.concat(F.substring(top, F.lit(1), F.length(top) - 1), F.lit(',"messages":['), F.concat_ws(",", *messages), F.lit("]}"))
+
+
+def response_text(provider: str, body: str | Column) -> Column:
+    """The text of a service's answer; null if it has none of the form."""
+    if provider == "anthropic":
+        return F.get_json_object(body, "$.content[0].text")
+    if provider == "cloudflare":
+        ok = F.get_json_object(body, "$.success") == "true"
+        return F.when(ok, F.coalesce(F.get_json_object(body, "$.result.response"), F.get_json_object(body, "$.result")))
+    return F.when(F.get_json_object(body, "$.choices[0].message").isNotNull(), F.coalesce(F.get_json_object(body, "$.choices[0].message.content"), F.lit("")))
+
+
+def headers(provider: str, key: str | None) -> dict[str, str]:
+    out = {"Content-Type": "application/json"}
+    if provider == "anthropic":
+        return out | {"x-api-key": key or "", "anthropic-version": "2023-06-01"}
+    return out | ({"Authorization": f"Bearer {key}"} if key else {})
+
+
+def post(url: str, head: dict[str, str], body: str, timeout: float = 60) -> str:
+    """One call over the network; a status of 400 or more is an error that names it."""
+    call = urllib.request.Request(url, body.encode(), head)
+    try:
+        with urllib.request.urlopen(call, timeout=timeout) as answer:
+            return answer.read().decode("utf-8", "replace")
+    except urllib.error.HTTPError as e:
+        raise NetworkError(f"{e.code} {e.reason}") from e
+
+
+def answered(rows: DataFrame, provider: str, model: str, key: str | None = None, account: str = "", prompt_col: str = "prompt", system: str | None = None, policy: Policy = Policy(), send: Callable[[str, dict, str], str] = post, **options) -> DataFrame:
+    """``rows`` with ``reply`` and ``error`` from a service. Null prompts are not sent; an answer without text is an error."""
+    url, head = ENDPOINTS[provider].format(account=account, model=model), headers(provider, key)
+    asked = rows.withColumn("request", F.when(F.col(prompt_col).isNotNull(), request(provider, prompt_col, model, system, **options)))
+    out = replied(asked, lambda _, body: send(url, head, body), "", "request", policy)
+    said = response_text(provider, "reply")
+    error = F.coalesce("error", F.when(F.col("reply").isNotNull() & said.isNull(), F.concat(F.lit("no text in the answer: "), F.substring("reply", 1, 200))))
+    return out.withColumn("error", error).withColumn("reply", said).drop("request")
 
 
 def replied(rows: DataFrame, call: Callable[[str, str], str], system: str, prompt_col: str = "prompt", policy: Policy = Policy()) -> DataFrame:

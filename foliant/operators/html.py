@@ -176,6 +176,8 @@ def to_markdown(root: Node, links: bool = True, images: bool = True) -> str:
         if t in ("ul", "ol"):
             items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
             return "\n" + "".join(f"{f'{i}.' if t == 'ol' else '-'} {inner(x).strip()}\n" for i, x in enumerate(items, 1)) + "\n"
+        if t == "li":  # one outside a list
+            return f"- {inner(node).strip()}\n"
         if t == "blockquote":
             return "\n" + "\n".join(f"> {x.strip()}" for x in inner(node).split("\n") if x.strip()) + "\n\n"
         if t == "table":

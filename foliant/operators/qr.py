@@ -11,13 +11,16 @@ import time
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import classify
 from ..functions.text import minutes_down, strip, word_count
 
-#: Least characters of a page for its fetch to count; most that are kept.
+#: Least characters of a page for its fetch to count; most that are kept (a note says so).
 LEAST_CONTENT, MOST_CONTENT = 50, 500_000
 
 
@@ -79,7 +82,7 @@ def first_success(tries: DataFrame, key: list[str]) -> DataFrame:
     best = F.min_by(F.when(good, F.struct("try_url", "content")), F.when(good, F.col("try_no")))
     notes = F.transform(F.array_sort(F.collect_list(F.struct("try_no", F.concat_ws(" ", "try_url", F.col("status").cast("string")).alias("note")))), lambda x: x["note"])
     out = tries.groupBy(*key).agg(best.alias("best"), notes.alias("fetch_notes"))
-    return out.select(*key, F.when(F.col("best").isNotNull(), "success").otherwise("failed").alias("fetch_status"), F.substring("best.content", 1, MOST_CONTENT).alias("fetched_content"), F.col("best.try_url").alias("final_url"), "fetch_notes")
+    return out.select(*key, F.when(F.col("best").isNotNull(), "success").otherwise("failed").alias("fetch_status"), F.substring("best.content", 1, MOST_CONTENT).alias("fetched_content"), F.col("best.try_url").alias("final_url"), F.when(F.length("best.content") > MOST_CONTENT, F.concat("fetch_notes", F.array(F.lit(f"content cut at {MOST_CONTENT} characters")))).otherwise(F.col("fetch_notes")).alias("fetch_notes"))
 
 
 def fetched(tries: DataFrame, fetch: Callable[[str], tuple[int, str, str]], url_col: str = "try_url", delay: float = 0.0) -> DataFrame:
@@ -139,6 +142,46 @@ def merged(docs: DataFrame, codes: DataFrame) -> DataFrame:
     return out.withColumns({"content": F.concat("content", F.coalesce("__added", F.lit(""))), "word_count": n, "estimated_reading_time": minutes, "qr_codes": F.coalesce("qr_codes", F.lit(0))}).drop("__added", "__words")
 
 
+def decoded(images: DataFrame, decode: Callable[[bytes], list[dict]], id_cols: tuple[str, ...] = ("doc_id", "page_number"), content_col: str = "content") -> DataFrame:
+    """Codes in images as ``numbered`` takes them: the id columns, decoder_idx, symbology, raw_data, x, y, width, height, warning.
+
+    ``decode`` (image bytes -> dictionaries with type, data, and x, y, width, height) is the caller's; data that is no UTF-8 is
+    read as Latin-1 with a warning, and an image that it fails on is a row without a code and with a warning.
+    """
+    fields = "decoder_idx int, symbology string, raw_data string, x int, y int, width int, height int, warning string"
+    source = images.select(*id_cols, F.col(content_col).alias("__content"))
+    schema = T.StructType([*[source.schema[c] for c in id_cols], *T.StructType.fromDDL(fields)])
+    names = schema.fieldNames()[len(id_cols) :]
+
+    def rows_of(data: bytes) -> Iterator[dict]:
+        try:
+            found = list(decode(data))
+        except Exception as e:  # one image that can't be decoded is no failed job
+            yield {"warning": f"{type(e).__name__}: {e}"}
+            return
+        for i, code in enumerate(found):
+            raw, note = code["data"], None
+            if isinstance(raw, bytes):
+                try:
+                    raw = raw.decode()
+                except UnicodeDecodeError:
+                    raw, note = raw.decode("latin-1"), f"code {i} is not UTF-8, read as Latin-1"
+            yield {"decoder_idx": i, "symbology": code.get("type", "QRCODE"), "raw_data": raw, "warning": note, **{k: code.get(k) for k in ("x", "y", "width", "height")}}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            at, rows = [], []
+            for i, data in enumerate(batch.column(len(id_cols)).to_pylist()):
+                for row in rows_of(data) if data else ():
+                    at.append(i)
+                    rows.append(row)
+            picks = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[c.take(picks) for c in batch.columns[: len(id_cols)]], *[pa.array([r.get(n) for r in rows], kinds.field(n).type) for n in names]], schema=kinds)
+
+    return source.mapInArrow(run, schema)
+
+
 def numbered(raw: DataFrame) -> DataFrame:
     """Decoder results (doc_id, page_number, decoder_idx, symbology, raw_data, ...) as codes: QR only, but ids count every barcode of the image."""
     w = Window.partitionBy("doc_id").orderBy("page_number", "decoder_idx")

@@ -12,14 +12,21 @@ MB = 1024 * 1024
 #: Most bytes of a file, by parser, before a warning.
 LARGE = {"text": 50 * MB, "markdown": 50 * MB, "epub": 500 * MB, "docx": 500 * MB}
 MOST_BYTES = 500 * MB
+#: Parsers that only warn above MOST_BYTES.
+READ_ON = ("epub", "docx")
 
 
 def scan(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int | None = MOST_BYTES, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content). The size filter reaches the source, so larger files are never opened.
-    Spark's file scan leaves out empty files."""
+    """(path, modificationTime, length, content). Of larger files only those of READ_ON are opened; the others are rows with null
+    content, which ``validated`` turns into errors. The size filter reaches the source. Spark's file scan leaves out empty files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return files.where(F.col("length") <= max_bytes) if max_bytes else files
+    if not max_bytes:
+        return files
+    large = files.where(F.col("length") > max_bytes)
+    read_on = classify.suffix("path").isin(*[f".{p}" for p in READ_ON])
+    unread = large.where(~read_on).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("length") <= max_bytes).unionByName(large.where(read_on)).unionByName(unread)
 
 
 def identified(files: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def validated(files: DataFrame) -> DataFrame:
     large = F.lit(None).cast("bigint")
     for parser, n in LARGE.items():
         large = F.when(F.col("parser") == parser, n).otherwise(large)
-    error = F.when(F.col("parser").isNull(), F.concat(F.lit("unsupported format: "), F.col("suffix"))).when(F.col("length") == 0, "file is empty")
+    error = F.when(F.col("parser").isNull(), F.concat(F.lit("unsupported format: "), F.col("suffix"))).when(F.col("length") == 0, "file is empty").when((F.col("length") > MOST_BYTES) & ~F.col("parser").isin(*READ_ON), F.concat(F.lit("file too large: "), text.byte_size("length")))
     warnings = F.array_compact(F.array(F.when(F.col("length") > large, F.concat(F.lit("large file: "), text.byte_size("length")))))
     return files.withColumns({"error": error, "warnings": warnings})
 

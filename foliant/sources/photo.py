@@ -21,7 +21,33 @@ TAGS = {
 }
 GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 29: "GPSDateStamp", 18: "GPSMapDatum"}
 # Code tables of EXIF.
-ORIENTATION = {1: "Normal", 2: "Mirrored horizontal", 3: "Rotated 180", 4: "Mirrored vertical", 5: "Mirrored horizontal, rotated 270", 6: "Rotated 90", 7: "Mirrored horizontal, rotated 90", 8: "Rotated 270"}
+ORIENTATION = {
+    1: "Normal", 2: "Mirrored horizontal", 3: "Rotated 180°", 4: "Mirrored vertical", 5: "Mirrored horizontal, rotated 270° CW", 6: "Rotated 90° CW", 7: "Mirrored horizontal, rotated 90° CW", 8: "Rotated 270° CW",
+}
+FLASH = {
+    0x0: "No flash",
+    0x1: "Flash fired",
+    0x5: "Flash fired, strobe return not detected",
+    0x7: "Flash fired, strobe return detected",
+    0x9: "Flash fired, compulsory",
+    0xD: "Flash fired, compulsory, return not detected",
+    0xF: "Flash fired, compulsory, return detected",
+    0x10: "Flash did not fire, compulsory",
+    0x18: "Flash did not fire, auto",
+    0x19: "Flash fired, auto",
+    0x1D: "Flash fired, auto, return not detected",
+    0x1F: "Flash fired, auto, return detected",
+    0x20: "No flash function",
+    0x41: "Flash fired, red-eye reduction",
+    0x45: "Flash fired, red-eye reduction, return not detected",
+    0x47: "Flash fired, red-eye reduction, return detected",
+    0x49: "Flash fired, compulsory, red-eye reduction",
+    0x4D: "Flash fired, compulsory, red-eye reduction, return not detected",
+    0x4F: "Flash fired, compulsory, red-eye reduction, return detected",
+    0x59: "Flash fired, auto, red-eye reduction",
+    0x5D: "Flash fired, auto, red-eye reduction, return not detected",
+    0x5F: "Flash fired, auto, red-eye reduction, return detected",
+}
 METERING = {0: "Unknown", 1: "Average", 2: "Center-weighted average", 3: "Spot", 4: "Multi-spot", 5: "Pattern", 6: "Partial", 255: "Other"}
 EXPOSURE_MODE = {0: "Auto", 1: "Manual", 2: "Auto bracket"}
 EXPOSURE_PROGRAM = {0: "Not defined", 1: "Manual", 2: "Normal program", 3: "Aperture priority", 4: "Shutter priority", 5: "Creative program", 6: "Action program", 7: "Portrait mode", 8: "Landscape mode"}
@@ -96,19 +122,19 @@ def ratio(c: Column) -> Column:
     return F.try_divide(a.try_cast("double"), F.when(b == "", F.lit(1.0)).otherwise(b.try_cast("double")))
 
 
-def _decoded(c: Column, table: dict[int, str]) -> Column:
-    out = F.when(c.isNotNull(), F.concat(F.lit("Unknown ("), c, F.lit(")")))
-    for code, name in table.items():
-        out = F.when(c == str(code), name).otherwise(out)
-    return out
+def _decoded(c: Column, table: dict[int, str], other: Column | None = None) -> Column:
+    """A code's name; ``other``, or null, for one that the table does not have."""
+    names = F.create_map(*[F.lit(x) for code, name in table.items() for x in (str(code), name)])
+    return F.coalesce(F.try_element_at(names, c), F.when(c.isNotNull(), other) if other is not None else F.lit(None).cast("string"))
 
 
 def flash(c: Column) -> Column:
-    """What the bits of the flash code say."""
-    n = c.try_cast("int")
-    bit = lambda mask, want: n.bitwiseAND(mask) == want
-    parts = F.concat_ws(", ", F.when(bit(32, 32), "No flash function").when(bit(1, 1), "Fired").otherwise("Did not fire"), F.when(bit(24, 24), "auto").when(bit(24, 8), "compulsory on").when(bit(24, 16), "compulsory off"), F.when(bit(6, 4), "return not detected").when(bit(6, 6), "return detected"), F.when(bit(64, 64), "red-eye reduction"))
-    return F.when(n.isNotNull(), parts)
+    return _decoded(c, FLASH, F.concat(F.lit("Unknown ("), c, F.lit(")")))
+
+
+def orientation(c: Column) -> Column:
+    """Photos without the tag, or with 0, stand as they are."""
+    return _decoded(F.coalesce(F.nullif(c, F.lit("0")), F.lit("1")), ORIENTATION, F.lit("Unknown"))
 
 
 def shutter(c: Column) -> Column:
@@ -140,9 +166,9 @@ def described(photos: DataFrame) -> DataFrame:
     lat, lon = degrees(t("GPSLatitude"), t("GPSLatitudeRef")), degrees(t("GPSLongitude"), t("GPSLongitudeRef"))
     return photos.select(
         "photo_id", "width", "height", "format", "warnings", "exif",
-        F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(F.lit(0.0)).alias("aspect_ratio"), (F.col("width").cast("double") * F.col("height") / 1e6).alias("megapixels"), _decoded(t("Orientation"), ORIENTATION).alias("orientation"),
+        F.when(F.col("height") > 0, F.col("width") / F.col("height")).otherwise(F.lit(0.0)).alias("aspect_ratio"), (F.col("width").cast("double") * F.col("height") / 1e6).alias("megapixels"), orientation(t("Orientation")).alias("orientation"),
         t("Make").alias("make"), t("Model").alias("model"), t("LensMake").alias("lens_make"), t("LensModel").alias("lens_model"), t("Software").alias("software"), t("Artist").alias("artist"), t("Copyright").alias("copyright"), t("ImageDescription").alias("description"),
-        F.nullif(strip(F.translate(F.when(comment.rlike(r"(?s)\A(?:ASCII|UNICODE|JIS)\x00"), F.substring(comment, 9, 100_000)).otherwise(comment), "\x00", "")), F.lit("")).alias("user_comment"),
+        F.nullif(strip(F.translate(F.when(comment.rlike(r"(?s)\A(?:ASCII|UNICODE|JIS)\x00"), F.substring(comment, F.lit(9), F.length(comment))).otherwise(comment), "\x00", "")), F.lit("")).alias("user_comment"),
         shutter(t("ExposureTime")).alias("shutter_speed"), ratio(t("FNumber")).alias("aperture"), t("ISOSpeedRatings").try_cast("int").alias("iso"), ratio(t("FocalLength")).alias("focal_length"), t("FocalLengthIn35mmFilm").try_cast("int").alias("focal_length_35mm"), ratio(t("ExposureBiasValue")).alias("exposure_bias"),
         _decoded(t("MeteringMode"), METERING).alias("metering_mode"), _decoded(t("ExposureMode"), EXPOSURE_MODE).alias("exposure_mode"), _decoded(t("ExposureProgram"), EXPOSURE_PROGRAM).alias("exposure_program"), _decoded(t("WhiteBalance"), WHITE_BALANCE).alias("white_balance"), flash(t("Flash")).alias("flash"),
         F.coalesce(when("DateTimeOriginal"), when("DateTimeDigitized"), when("DateTime")).alias("taken"), lat.alias("latitude"), lon.alias("longitude"), F.when(t("GPSAltitudeRef") == "1", -ratio(t("GPSAltitude"))).otherwise(ratio(t("GPSAltitude"))).alias("altitude"),

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import classify
 from ..plans.documents import parse_files
-from ..sources.files import MOST_BYTES, identified, validated
+from ..sources.files import MOST_BYTES, READ_ON, identified, validated
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def arriving(spark: SparkSession, folder: str, files_per_trigger: int = 1000, max_bytes: int = MOST_BYTES) -> DataFrame:
     stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
-    return stream.where(F.col("length") <= max_bytes)
+    readable = (F.col("length") <= max_bytes) | classify.suffix("path").isin(*[f".{p}" for p in READ_ON])
+    return stream.withColumn("content", F.when(readable, F.col("content")))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, options: dict | None = None, formats: list[str] | None = None, files_per_trigger: int = 1000) -> StreamingQuery:

@@ -181,7 +181,7 @@ def test_photo(spark, parsed):
     assert "# ph.jpg" in d.content and "640 x 480" in d.content and d.metadata.publication_date.year == 2022
     rows = photo.described(photo.read_photos(spark.createDataFrame([("p", bytearray(make_jpeg())), ("q", bytearray(b"x")), ("r", None)], "path string, content binary")))
     p = rows.where("photo_id = 'p'").first()
-    assert (p.make, p.orientation, p.shutter_speed, p.aperture, p.coordinates) == ("Maker", "Rotated 90", "1/250", 2.8, "-33.500000, 151.210000") and p.flash == "Fired, auto"
+    assert (p.make, p.orientation, p.shutter_speed, p.aperture, p.coordinates) == ("Maker", "Rotated 90° CW", "1/250", 2.8, "-33.500000, 151.210000") and p.flash == "Flash fired, auto"
     assert p.coordinates_dms == "33°30'0.00\"S 151°12'36.00\"E" and rows.where("photo_id = 'r'").first().warnings == ["no image"]
 
 
@@ -206,9 +206,10 @@ def test_stream(spark, folder, tmp_path):
 
 
 def test_empty_files_are_refused(spark):
-    rows = spark.createDataFrame([("file:/a.txt", 0), ("file:/b.txt", 60 << 20), ("file:/c.zip", 5)], "path string, length bigint")
+    rows = spark.createDataFrame([("file:/a.txt", 0), ("file:/b.txt", 60 << 20), ("file:/c.zip", 5), ("file:/d.md", 501 << 20), ("file:/e.epub", 501 << 20)], "path string, length bigint")
     got = {r.path: (r.error, r.warnings) for r in files.validated(files.identified(rows)).collect()}
     assert got["file:/a.txt"] == ("file is empty", []) and got["file:/b.txt"] == (None, ["large file: 60.0 MB"]) and got["file:/c.zip"][0] == "unsupported format: .zip"
+    assert got["file:/d.md"][0] == "file too large: 501.0 MB" and got["file:/e.epub"] == (None, ["large file: 501.0 MB"])
 
 
 def test_registry(spark):
@@ -225,6 +226,8 @@ def test_registry(spark):
 def test_size_filter_reaches_the_source(spark, folder):
     plan = files.scan(spark, folder, max_bytes=100)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,100)" in plan
+    rows = {r.path.rsplit("/", 1)[1]: r.content for r in files.scan(spark, folder, max_bytes=100).collect()}
+    assert rows["n.md"] is None and rows["book.epub"] and rows["readme"] and len(rows) == len({p.name for p in __import__("pathlib").Path(folder).rglob("*.*")} | {"readme"}) - 1
 
 
 def test_epub_reader_rows(spark):
