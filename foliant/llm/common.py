@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -107,10 +108,30 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within leave no shuffle files behind; the setting is as before afterwards."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage is cut, and columns are still pruned."""
+    """df written as a table in the shared folder and read again: lineage is cut, and columns are still pruned. The shuffle files
+    of the write go with it, as nothing reads them any more."""
     spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, name))
+    with shuffles_removed(spark):
+        df.write.parquet(path := scratch(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

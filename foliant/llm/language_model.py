@@ -5,7 +5,8 @@ stand ORDER - 1 begin marks.
 
 Counting reads the texts twice. The first pass counts words: each task adds up its own counts and sends them, sorted
 and packed, to the shard of their hash; a shard writes its sorted hash array with the counts beside it. A
-word's number is its place in these arrays. The second pass counts the n-grams of the highest order, as (context, word),
+word's number comes from its place in these arrays, frequent words first (in CLASSES steps), so that packed n-grams are
+small. The second pass counts the n-grams of the highest order, as (context, word),
 the same way, by shard of the context's hash. What a shard has merged are the distinct n-grams; each
 counts once for the n-gram without its first word, so the next lower order is counted from them (continuation counts), and
 the lowest from that, without reading a text again.
@@ -43,7 +44,7 @@ from pyspark.sql import types as T
 
 from . import arrays
 from .arrays import mapped, merged, pack, put, slices, unpack
-from .common import HashCache, mix64, per_text, scratch, small_batches, steps, stored, texts_of, word_hashes
+from .common import HashCache, mix64, per_text, remove, scratch, shuffles_removed, small_batches, steps, stored, texts_of, word_hashes
 
 ORDER = 3
 #: Spaces occur in no word, so these are no word's hash but by accident.
@@ -57,6 +58,8 @@ FAN, SALTS = 4096, 16
 HOT, TOLD = 1, 64
 #: Following words of a context up to which its totals are added up when it is looked up.
 FEW = 3
+#: Classes of words by frequency: each takes words 16 times as frequent as the one before.
+CLASSES = 8
 #: The number of a word that training has not seen; numbers are less.
 UNKNOWN = 0xFFFFFFFF
 _U = np.uint64
@@ -261,11 +264,11 @@ class Tokens:
 
 
 class Vocabulary:
-    """Word numbers and counts from the mapped shards."""
+    """Word numbers and counts from the mapped shards. A number is the first of the word's class and shard, and its rank in these."""
 
     def __init__(self, model: dict):
         self.bounds = hash_bounds(model["word_shards"])
-        self.base = model["base"]
+        self.first, self.sizes = model["first"], model["sizes"]
         self.files: list = [None] * model["word_shards"]
         self.root = model["root"]
 
@@ -273,13 +276,13 @@ class Vocabulary:
         """(numbers, UNKNOWN where unknown; counts) of sorted distinct hashes."""
         ids, counts = np.full(len(hashes), UNKNOWN, np.uint64), np.zeros(len(hashes), np.int64)
         for s, a, b in ranges(hashes, self.bounds):
-            if self.base[s] == self.base[s + 1]:
+            if not self.sizes[s]:
                 continue
             f = self.files[s] = self.files[s] or mapped(f"{self.root}/words-{s}")
             at = np.minimum(np.searchsorted(f["keys"], hashes[a:b]), len(f["keys"]) - 1)
             ok = f["keys"][at] == hashes[a:b]
-            ids[a:b][ok] = (at[ok] + self.base[s]).astype(np.uint64)
-            counts[a:b][ok] = f["counts"][at[ok]]
+            counts[a:b][ok] = n = f["counts"][at[ok]]
+            ids[a:b][ok] = (f["rank"][at[ok]] + self.first[word_classes(n), s]).astype(np.uint64)
         return ids, counts
 
 
@@ -291,6 +294,11 @@ def ranges(keys: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int
         yield s, int(at[s]), int(ends[s])
 
 
+def word_classes(counts: np.ndarray) -> np.ndarray:
+    """0 for the most frequent words."""
+    return CLASSES - 1 - np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) // 4, CLASSES - 1)
+
+
 def numbered(hashes: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers, word counts) of tokens in order."""
     distinct, place = np.unique(hashes, return_inverse=True)
@@ -337,18 +345,25 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, word_shar
     def write_words(table: pa.Table) -> pa.Table:
         s = table["shard"][0].as_py()
         keys, counts = merged([unpack(b.as_py()) for b in table["blob"]])
-        put(f"{root}/words-{s}", {"keys": keys, "counts": counts})
+        kinds = word_classes(counts)
+        order = np.argsort(kinds, kind="stable")
+        sizes = np.bincount(kinds, minlength=CLASSES)
+        rank = np.empty(len(keys), np.uint32)
+        rank[order] = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        put(f"{root}/words-{s}", {"keys": keys, "counts": counts, "rank": rank})
         top = np.argsort(-counts, kind="stable")[:TOLD]
-        end = int(counts[keys == END].sum())
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)]), "total": pa.array([int(counts.sum())]), "texts": pa.array([end]), "top": pa.array([top.tolist()], pa.list_(pa.int64())), "top_n": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
+        row = {"shard": s, "sizes": sizes.tolist(), "total": int(counts.sum()), "texts": int(counts[keys == END].sum()), "kinds": kinds[top].tolist(), "ranks": rank[top].tolist(), "counts": counts[top].tolist()}
+        return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), ("sizes", pa.list_(pa.int64())), ("total", pa.int64()), ("texts", pa.int64()), *[(n, pa.list_(pa.int64())) for n in ("kinds", "ranks", "counts")]]))
 
-    out = "shard int, n long, total long, texts long, top array<bigint>, top_n array<bigint>"
-    rows = _arrived(source.mapInArrow(count_words, _BLOBS), kind).groupBy("shard").applyInArrow(write_words, out).collect()
-    sizes = np.zeros(kind.shards + 1, np.int64)
+    out = "shard int, sizes array<bigint>, total long, texts long, kinds array<bigint>, ranks array<bigint>, counts array<bigint>"
+    with shuffles_removed(spark):
+        rows = _arrived(source.mapInArrow(count_words, _BLOBS), kind).groupBy("shard").applyInArrow(write_words, out).collect()
+    sizes = np.zeros((CLASSES, kind.shards), np.int64)
     for r in rows:
-        sizes[r.shard + 1] = r.n
-    model = {"root": root, "order": order, "word_shards": kind.shards, "base": np.cumsum(sizes), "tokens": sum(r.total for r in rows)}
-    v = model["words"] = int(model["base"][-1])
+        sizes[:, r.shard] = r.sizes
+    first = (np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(sizes.shape)
+    model = {"root": root, "order": order, "word_shards": kind.shards, "first": first, "sizes": sizes.sum(0), "tokens": sum(r.total for r in rows)}
+    v = model["words"] = int(sizes.sum())
     if not v:
         return model
     if v > UNKNOWN - 2:
@@ -356,7 +371,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, word_shar
     begin = v  # the begin mark's number
     shards = shards or max(1, -(-model["tokens"] // SHARD_TOKENS))
     share = max(1, int(HOT * model["tokens"] // shards))
-    often = {int(model["base"][r.shard]) + i: n for r in rows for i, n in zip(r.top, r.top_n, strict=True) if n > share} | {begin: sum(r.texts for r in rows) * (order - 1)}
+    often = {int(first[k, r.shard]) + i: n for r in rows for k, i, n in zip(r.kinds, r.ranks, r["counts"], strict=True) if n > share} | {begin: sum(r.texts for r in rows) * (order - 1)}
     often = (np.array(sorted(often), np.uint64), np.array([often[k] for k in sorted(often)], np.int64))
     kinds = model["kinds"] = {n: Grams(n, shards, often, share) for n in range(2, order + 1)}
 
@@ -411,7 +426,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, word_shar
         put(f"{root}/lowest-{s}", {"k": dense})
         return pa.table({"n": pa.array([int((counts >= 3).sum())]), **{f"c{i + 1}": pa.array([x]) for i, x in enumerate(_classes(counts))}})
 
-    blobs = source.mapInArrow(count_grams, _BLOBS)
+    blobs, before = source.mapInArrow(count_grams, _BLOBS), None
     model["shards"], model["d"], model["there"] = shards, {}, {}
     for n in range(order, 1, -1):
         out = "shard int, part int, n long, c1 long, c2 long, c3 long, c4 long, blob binary"
@@ -420,8 +435,12 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER, word_shar
         model["d"][n] = modified_discounts([sum(r[c] for r in told) for c in ("c1", "c2", "c3", "c4")])
         model["there"][n] = {r.part for r in told}
         model["types"] = sum(r.n for r in told)  # at last the pairs
-        blobs = made.where("shard >= 0").select("shard", "blob")
-    lowest = blobs.groupBy("shard").applyInArrow(write_lowest, "n long, c1 long, c2 long, c3 long, c4 long").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).first()
+        if before is not None:
+            remove(spark, before)
+        blobs, before = made.where("shard >= 0").select("shard", "blob"), made
+    with shuffles_removed(spark):
+        lowest = blobs.groupBy("shard").applyInArrow(write_lowest, "n long, c1 long, c2 long, c3 long, c4 long").agg(*[F.sum(c).alias(c) for c in ("n", "c1", "c2", "c3", "c4")]).first()
+    remove(spark, before)
     d = model["d"][1] = modified_discounts([lowest.c1, lowest.c2, lowest.c3, lowest.c4])
     model["rest"] = (d[0] * lowest.c1 + d[1] * lowest.c2 + d[2] * lowest.n) / model["types"]
     return model
