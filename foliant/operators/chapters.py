@@ -45,24 +45,33 @@ def heading_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Native: the headings of a document are one array, so no join or shuffle is needed.
     """
-    found = found_with_places(F.col("text"), HEADING)
-    kept = F.filter(
-        F.transform(found, lambda h: F.struct(h["position"].alias("position"), F.length(F.regexp_extract(h["match"], r"\A(#{1,6})", 1)).alias("level"), strip(F.regexp_replace(h["match"], rf"\A#{{1,6}}{SPACE}+", "")).alias("title"))),
-        lambda h: h["level"].between(min_level, max_level),
-    )
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~is_blank("text")).withColumn("kept", kept)
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(~is_blank("text")).withColumn("kept", heading_marks(F.col("text"), min_level, max_level))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("position"), F.lit(1).alias("level"), F.lit("Full Document").alias("title")))
     base = base.withColumn("auto", F.size("kept") == 0).withColumn("kept", F.when(F.size("kept") == 0, whole).otherwise(F.col("kept")))
-    rows = base.select("id", "text", "auto", F.posexplode("kept").alias("i", "h"), F.transform("kept", lambda h: h["position"]).alias("starts"))
-    end = F.coalesce(F.get("starts", F.col("i") + 1), F.length("text").cast("long"))
-    start = F.col("h.position")
-    content = F.when(F.col("auto"), F.col("text")).otherwise(strip(F.expr("substring(text, cast(h.position as int) + 1, cast(coalesce(get(starts, i + 1), length(text)) - h.position as int))")))
+    # each chapter's text is cut out before the rows are made, so no row carries the whole text
+    cut = """transform(kept, (h, i) -> struct(h.position AS start, coalesce(get(kept, i + 1).position, cast(length(text) AS bigint)) AS end, h.level AS level, h.title AS title,
+        substring(text, cast(h.position AS int) + 1, cast(coalesce(get(kept, i + 1).position, length(text)) - h.position AS int)) AS content))"""
+    rows = base.select("id", "auto", F.posexplode(F.expr(cut)).alias("i", "c"))
+    content = F.when(F.col("auto"), F.col("c.content")).otherwise(strip(F.col("c.content")))
     return rows.select(
-        F.col("id").alias(id_col), (F.col("i") + 1).cast("long").alias("chapter_id"), F.col("h.title").alias("title"), content.alias("content"), start.alias("start_position"), end.alias("end_position"),
-        word_count(content).alias("word_count"), F.col("h.level").alias("level"), F.col("auto").alias("auto_generated"),
+        F.col("id").alias(id_col), (F.col("i") + 1).cast("long").alias("chapter_id"), F.col("c.title").alias("title"), content.alias("content"), F.col("c.start").alias("start_position"), F.col("c.end").alias("end_position"),
+        word_count(content).alias("word_count"), F.col("c.level").alias("level"), F.col("auto").alias("auto_generated"),
     )
 
 
+def heading_marks(text: Column, min_level: int = 1, max_level: int = 2) -> Column:
+    """array<struct<position, level, title>> of the # headings of the levels."""
+    title = lambda h: strip(F.regexp_replace(h["match"], rf"\A#{{1,6}}{SPACE}+", ""))
+    level = lambda h: F.length(F.regexp_extract(h["match"], r"\A(#{1,6})", 1))
+    found = F.transform(found_with_places(text, HEADING), lambda h: F.struct(h["position"].alias("position"), level(h).alias("level"), title(h).alias("title")))
+    return F.filter(found, lambda h: h["level"].between(min_level, max_level))
+
+
+def heading_chapter_count(text: Column, min_level: int = 1, max_level: int = 2) -> Column:
+    """How many chapters ``heading_chapters`` makes of a text."""
+    return F.when(is_blank(text) | text.isNull(), F.lit(0)).otherwise(F.greatest(F.size(heading_marks(text, min_level, max_level)), F.lit(1))).cast("long")
+
+
 def marker_type(line: Column) -> Column:
     """Type of the first marker that the stripped line begins with; null if none."""
     out = F.when(strip(line) == "", F.lit(None).cast("string"))
@@ -94,13 +103,13 @@ def text_chapters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lambda acc, m: _after(acc, m["line"]),
     )["all"]
     many = base.where("size(marks) > 1").withColumn("starts", starts)
-    rows = many.select("id", "lines", "starts", "marks", F.posexplode("marks").alias("i", "m"), F.length("text").alias("n"))
-    first, following = F.col("m.line"), F.expr("coalesce(get(marks, i + 1).line, size(lines))")
-    content = strip(F.array_join(F.slice("lines", first + 1, following - first), "\n"))
-    start = F.expr("get(starts, i)")
-    end = F.expr("coalesce(get(starts, i + 1), cast(n + 1 as bigint))")
+    # each segment's lines are joined before the rows are made, so no row carries all lines
+    cut = """transform(marks, (m, i) -> struct(m.line AS line, m.title AS title, m.type AS type, get(starts, i) AS start, coalesce(get(starts, i + 1), cast(length(text) + 1 AS bigint)) AS end,
+        array_join(slice(lines, m.line + 1, coalesce(get(marks, i + 1).line, size(lines)) - m.line), '\n') AS content))"""
+    rows = many.select("id", F.posexplode(F.expr(cut)).alias("i", "m"))
+    content = strip(F.col("m.content"))
     segments = rows.select(
-        "id", (F.col("i") + 1).cast("long").alias("chapter_id"), F.col("m.title").alias("title"), content.alias("content"), start.alias("start_position"), end.alias("end_position"),
+        "id", (F.col("i") + 1).cast("long").alias("chapter_id"), F.col("m.title").alias("title"), content.alias("content"), F.col("m.start").alias("start_position"), F.col("m.end").alias("end_position"),
         word_count(content).alias("word_count"), F.lit(1).alias("level"), F.col("m.type").alias("chapter_type"), F.col("m.line").cast("long").alias("line_number"),
     )
     whole = base.where("size(marks) < 2").select(

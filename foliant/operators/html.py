@@ -256,9 +256,11 @@ _FIELDS = [
 SCHEMA = "title string, lang string, metas array<struct<name:string,value:string>>, links array<struct<href:string,text:string>>, images array<struct<src:string,alt:string,width:string,height:string>>, markdown string, plain string, main_text string, warnings array<string>"
 
 
-def read_page(html: str) -> dict:
+def read_page(html: str, fields: frozenset[str] | None = None) -> dict:
+    """The fields of a page, or those of them that are named: what nobody asks for is not made."""
+    fields = frozenset(n for n, _ in _FIELDS) if fields is None else fields
     root = tree(html)
-    out: dict = {"title": None, "lang": None, "metas": [], "links": [], "images": []}
+    out: dict = {"title": None, "lang": None, "metas": [], "links": [], "images": [], "warnings": []}
     for n in root.walk():
         if n.tag == "title" and out["title"] is None:
             out["title"] = n.text().strip()
@@ -272,28 +274,32 @@ def read_page(html: str) -> dict:
             out["links"].append({"href": n.attrs["href"], "text": n.text().strip()})
         elif n.tag == "img" and n.attrs.get("src"):
             out["images"].append({k: n.attrs.get(k) for k in ("src", "alt", "width", "height")})
-    node, warnings = main_content(root)
-    out["markdown"] = to_markdown(node) if node is not None else ""
-    out["plain"] = plain_text(root)
-    out["main_text"] = node.text(UNWANTED | MUTE).strip() if node is not None else None
-    return out | {"warnings": warnings}
-
-
-def read_pages(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
-    """The columns ``keep`` and all fields of ``read_page``. A page that can't be read, or null, has nulls and a warning."""
-    names = [n for n, _ in _FIELDS]
+    if "plain" in fields:
+        out["plain"] = plain_text(root)
+    if fields & {"markdown", "main_text", "warnings"}:
+        node, out["warnings"] = main_content(root)
+        out["markdown"] = to_markdown(node) if node is not None and "markdown" in fields else ""
+        out["main_text"] = node.text(UNWANTED | MUTE).strip() if node is not None else None
+    return out
+
+
+def read_pages(pages: DataFrame, keep: list[str], html_col: str = "html", fields: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` and the fields of ``read_page``, all or those named. A page that can't be read, or null, has nulls and a warning."""
+    picked = [(n, t) for n, t in _FIELDS if fields is None or n in fields]
+    names, wanted = [n for n, _ in picked], frozenset(n for n, _ in picked)
     source = pages.select(*keep, F.col(html_col).alias("__html"))
-    schema = T.StructType([*[source.schema[c] for c in keep], *T.StructType.fromDDL(SCHEMA)])
+    made = T.StructType.fromDDL(SCHEMA)
+    schema = T.StructType([*[source.schema[c] for c in keep], *[made[n] for n in names]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for html in batch.column(len(keep)).to_pylist():
                 try:
-                    rows.append(read_page(html) if html is not None else {"warnings": ["null page"]})
+                    rows.append(read_page(html, wanted) if html is not None else {"warnings": ["null page"]})
                 except Exception as e:  # one bad page is a row with a warning, not a failed job
                     rows.append({"warnings": [f"{type(e).__name__}: {e}"]})
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([r.get(n) for r in rows], t) for n, t in _FIELDS]], names=[*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array([r.get(n) for r in rows], t) for n, t in picked]], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -131,7 +132,107 @@ def extension_of_type(content_type: Column | str) -> Column:
     return out
 
 
-__all__ = ["checked", "extension_of_type", "image_size", "markdown_images", "references", "resolved_path", "sized", "suffix"]
+def extracted(read: DataFrame, id_col: str, least: int = 1, most: int = MOST_BYTES, base: str | None = None) -> DataFrame:
+    """A row for each image that a reader gave (``images``: idx, file_name, content): image_id img_<nnn> by its number, position 0, width, height,
+    format, ``file_name`` to save it by (below its folder as in the container, or <base>_<nnn>.<format>), content, and ``problem`` if it
+    should be left out."""
+    rows = sized(read.select(id_col, F.inline("images")))
+    kind = F.when(F.col("format") == "unknown", F.lit("png")).otherwise(F.col("format"))
+    number = F.format_string("%03d", "idx")
+    name = F.concat(F.lit(f"{base}_"), number, F.lit("."), kind) if base else F.regexp_replace("file_name", r"\A(?:\.?\.?/)+", "")
+    out = rows.withColumns({"image_id": F.concat(F.lit("img_"), number), "position": F.lit(0).cast("long"), "file_name": name})
+    return checked(out, least=least)
+
+
+def dominant_colours(pixels, count: int = 5) -> list[str]:
+    """``#rrggbb`` of at most ``count`` colours by median cut: the box of pixels that spreads most is cut at the median of its longest side,
+    and each box gives its mean. ``pixels``: n x 3 numbers of 0 to 255."""
+    import numpy as np
+
+    p = np.asarray(pixels, np.int64).reshape(-1, 3)
+    if not len(p):
+        return []
+    boxes = [p]
+    while len(boxes) < count:
+        spread = [int((np.ptp(b, axis=0)).max()) if len(b) > 1 else 0 for b in boxes]
+        k = max(range(len(boxes)), key=lambda i: (spread[i], len(boxes[i])))
+        if not spread[k]:
+            break
+        box = boxes.pop(k)
+        side = int(np.ptp(box, axis=0).argmax())
+        values = box[:, side]
+        cut = np.median(values)
+        low = values <= cut if (values > cut).any() else values < cut
+        boxes += [box[low], box[~low]]
+    boxes.sort(key=lambda b: (-len(b), b.mean(0).tolist()))
+    return ["#{:02x}{:02x}{:02x}".format(*(int(x + 0.5) for x in b.mean(0))) for b in boxes]
+
+
+def png_pixels(data: bytes, step_to: int = 150):
+    """Pixels (n x 3) of an 8-bit PNG without interlacing (grey, RGB, palette, with or without alpha), about every k-th so that no more than ``step_to``
+    are left on a side; None for others."""
+    import numpy as np
+
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        return None
+    at, body, palette, head = 8, b"", None, None
+    while at + 8 <= len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", part)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            body += part
+        at += 12 + size
+    w, h, bits, colour, _, _, interlace = head
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if bits != 8 or interlace or not channels:
+        return None
+    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+    rows = np.zeros((h, w * channels), np.uint8)
+    before = np.zeros(w * channels, np.int64)
+    for y in range(h):
+        f, x = raw[y, 0], raw[y, 1:].astype(np.int64)
+        if f == 1:
+            x = np.cumsum(x.reshape(w, channels), axis=0).ravel() & 255
+        elif f == 2:
+            x = x + before & 255
+        elif f in (3, 4):
+            for i in range(len(x)):
+                a, b = (x[i - channels] if i >= channels else 0), before[i]
+                if f == 3:
+                    x[i] = x[i] + (a + b) // 2 & 255
+                else:
+                    c = before[i - channels] if i >= channels else 0
+                    x[i] = x[i] + min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] & 255
+        rows[y] = before = x
+    cut = rows.reshape(h, w, channels)[:: max(1, h // step_to), :: max(1, w // step_to)].reshape(-1, channels)
+    if colour == 3:
+        return palette[cut[:, 0]]
+    return np.repeat(cut[:, :1], 3, axis=1) if channels < 3 else cut[:, :3]
+
+
+def coloured(rows: DataFrame, content_col: str = "content", count: int = 5, pixels=png_pixels) -> DataFrame:
+    """``rows`` with ``colours``: ``dominant_colours`` of every image that ``pixels`` (bytes -> n x 3, or None) reads; empty for others."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("colours", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for data in batch.column(batch.schema.get_field_index(content_col)).to_pylist():
+                try:
+                    seen = pixels(data) if data else None
+                except Exception:  # an image that can't be read has no colours
+                    seen = None
+                out.append([] if seen is None else dominant_colours(seen, count))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], names=schema.fieldNames())
+
+    return rows.mapInArrow(run, schema)
+
+
+__all__ = ["coloured", "dominant_colours", "extracted", "png_pixels", "checked", "extension_of_type", "image_size", "markdown_images", "references", "resolved_path", "sized", "suffix"]
 
 
 def named(rows: DataFrame, id_col: str, order_col: str, base: str = "image", original_col: str | None = None) -> DataFrame:

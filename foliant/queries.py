@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import file_queries
 from .functions import classify, markdown, text
 from .operators import ai, chapters, frontmatter, html, images, qr
 from .plans import registry
@@ -252,8 +253,8 @@ def scanned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- web pages -------------------------------------------------------------------------------------------------------
 
 
-def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.read_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
+def pages_of(spark: SparkSession, sf_dir: str, fields: list[str]) -> DataFrame:
+    return html.read_pages(table(spark, sf_dir, "pages"), ["page_id", "url"], fields=fields)
 
 
 _UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -263,7 +264,7 @@ _UNESCAPE = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;',
     SELECT page_id, {_STRIP.format(_UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title and language of every page, by the precedence of its metadata."""
-    return html.metadata(pages_of(spark, sf_dir), ["page_id"]).select("page_id", "title", "language")
+    return html.metadata(pages_of(spark, sf_dir, ["title", "lang", "metas"]), ["page_id"]).select("page_id", "title", "language")
 
 
 @query("""
@@ -272,22 +273,21 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT page_id, link_no::BIGINT AS link_no, CASE WHEN href LIKE 'http%' THEN href WHEN href LIKE '//%' THEN o.s || ':' || href ELSE o.s || '://' || o.h || href END AS url FROM r""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page with their addresses resolved."""
-    return html.link_rows(pages_of(spark, sf_dir), "page_id", "url").select("page_id", "link_no", "url")
+    return html.link_rows(pages_of(spark, sf_dir, ["links"]), "page_id", "url").select("page_id", "link_no", "url")
 
 
 @query()
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a document: Markdown of its main content, words, reading time, chapters."""
-    read = pages_of(spark, sf_dir)
+    read = pages_of(spark, sf_dir, ["markdown", "warnings"])
     n = text.word_count("markdown")
-    ch = chapters.heading_chapters(read, "page_id", "markdown").groupBy("page_id").agg(F.count("*").alias("chapters"))
-    return read.select("page_id", F.md5("markdown").alias("content_md5"), n.alias("word_count"), text.minutes_even(n).alias("reading_minutes"), F.size("warnings").alias("n_warnings")).join(ch, "page_id", "left").fillna(0, ["chapters"])
+    return read.select("page_id", F.md5("markdown").alias("content_md5"), n.alias("word_count"), text.minutes_even(n).alias("reading_minutes"), F.size("warnings").alias("n_warnings"), chapters.heading_chapter_count(F.col("markdown")).alias("chapters"))
 
 
 @query()
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every page, white space tidied."""
-    return pages_of(spark, sf_dir).select("page_id", html.tidy_plain("plain").alias("text")).select("page_id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
+    return pages_of(spark, sf_dir, ["plain"]).select("page_id", html.tidy_plain("plain").alias("text")).select("page_id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
 
 
 @query("""
@@ -510,7 +510,7 @@ def formats_united(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT page_id, link_no, url FROM (SELECT page_id, unnest(range(len(h)))::BIGINT AS link_no, unnest(h) AS url FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS h FROM pages)) WHERE link_no < 3""")
 def first_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most three links a page, as they stand: a limit within each group."""
-    rows = html.link_rows(pages_of(spark, sf_dir), "page_id")
+    rows = html.link_rows(pages_of(spark, sf_dir, ["links"]), "page_id")
     w = Window.partitionBy("page_id").orderBy("link_no")
     return rows.withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n", "text").select("page_id", "link_no", "url")
 
@@ -524,3 +524,7 @@ def documents_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (text.word_count("text") % 101).alias("overall_score"))
     pairs = scored.select(F.col("document_id").alias("first"), (F.col("document_id") + 1).alias("second"))
     return ai.compared(scored, pairs)
+
+
+QUERIES |= file_queries.QUERIES
+ORACLES |= file_queries.ORACLES

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import signal
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +34,26 @@ def scan(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int
     return files.where(F.col("length") <= max_bytes).unionByName(large.where(read_on)).unionByName(unread)
 
 
+@contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """TimeoutError after so many seconds (never, for None). Only where the platform has alarms, and in a process's main thread, as in a
+    worker's; elsewhere there is no limit."""
+    if not seconds or not hasattr(signal, "setitimer") or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise TimeoutError(f"not done after {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def identified(files: DataFrame) -> DataFrame:
     """Files with parser, file name, stem and suffix."""
     name = F.element_at(F.split("path", "/"), -1)

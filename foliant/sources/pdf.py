@@ -1,4 +1,4 @@
-"""Page-described documents: text spans with font size and weight, the information dictionary, image sizes.
+"""Page-described documents: text spans with font size and weight, ruled tables, images, the information dictionary.
 
 A small reader over the standard library: it finds objects without the cross-reference table (also those in object
 streams), follows the page tree, inflates streams and runs the text operators. Fonts are read by their ToUnicode
@@ -9,19 +9,26 @@ function that the caller gives.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions import classify
+from ..functions import classify, markdown
+from ..operators import qr
+from .files import time_limit
 
 SCHEMA = """doc_id string, pages int, spans array<struct<page_num:int,span_idx:int,text:string,font_size:double,is_bold:boolean>>,
-images array<struct<page_num:int,idx:int,width:int,height:int>>, info map<string,string>, version string, warnings array<string>"""
+images array<struct<page_num:int,idx:int,width:int,height:int,content:binary>>, tables array<struct<page_num:int,idx:int,rows:array<array<string>>>>,
+info map<string,string>, version string, warnings array<string>"""
+#: How near lines of a table must come to each other to meet, in units of the page.
+TOUCH = 2.0
 _OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
 _TOKEN = re.compile(rb"%[^\r\n]*|<<|>>|\[|\]|/[^\s<>\[\](){}/%]*|\d+\s+\d+\s+R\b|[+-]?(?:\d+\.?\d*|\.\d+)|<[0-9A-Fa-f\s]*>|\(|[^\s<>\[\](){}/%]+")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -130,7 +137,8 @@ class File:
             v = self.cache[int(v)]
         return None
 
-    def stream(self, ref) -> bytes | None:
+    def stream(self, ref, coded: tuple[str, ...] = ()) -> bytes | None:
+        """A stream's bytes, inflated; those of a filter in ``coded`` as they are, of any other null."""
         raw = self.raw.get(int(ref), b"") if isinstance(ref, Ref) else b""
         head, at = value_at(raw)
         m = re.compile(rb"stream\r?\n").search(raw, at)
@@ -143,10 +151,24 @@ class File:
         for f in filters if isinstance(filters, list) else [filters]:
             if f in ("FlateDecode", "Fl"):
                 body = zlib.decompressobj().decompress(body)
-            elif f is not None:
+            elif f is not None and f not in coded:
                 return None
         return body
 
+    def image(self, ref) -> bytes | None:
+        """An image as a file: JPEG as it is stored, 8-bit grey and RGB as PNG; of other kinds null."""
+        head = self.get(ref)
+        filters = self.get(head.get("Filter"))
+        if "DCTDecode" in (filters if isinstance(filters, list) else [filters]):
+            return self.stream(ref, ("DCTDecode",))
+        parms, space, bits, w, h = (self.get(head.get(k)) for k in ("DecodeParms", "ColorSpace", "BitsPerComponent", "Width", "Height"))
+        channels = {"DeviceGray": 1, "DeviceRGB": 3}.get(space if isinstance(space, str) else "")
+        if parms or bits != 8 or not channels or not (body := self.stream(ref)) or len(body) < w * h * channels:
+            return None
+        chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+        lines = b"".join(b"\0" + body[channels * w * y : channels * w * (y + 1)] for y in range(h))
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2 if channels == 3 else 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+
     def pages(self) -> list[dict]:
         roots = [self.get(t.get("Root")) for t in self.trailers if isinstance(t, dict) and "Root" in t] or [self.get(Ref(n)) for n in self.raw]
         root = next((r for r in reversed(roots) if isinstance(r, dict) and "Pages" in r), {})
@@ -193,15 +215,60 @@ def unicode_map(cmap: bytes) -> tuple[dict[int, str], int]:
     return out, width
 
 
-def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
-    """Pages, spans and information of one file. A span is a run of text of one font, up to a change of line or font."""
+def _near(values: list[float]) -> list[float]:
+    """Sorted values, of those nearer than TOUCH to the one before only the first."""
+    out: list[float] = []
+    for v in sorted(values):
+        if not out or v - out[-1] > TOUCH:
+            out.append(v)
+    return out
+
+
+def ruled_tables(lines: list[tuple[float, float, float, float]], words: list[tuple[float, float, str]]) -> list[list[list[str]]]:
+    """Cells of every ruled grid of a page, from its straight lines (x1, y1, x2, y2) and texts with their places. Lines that meet are
+    one grid; it is a table with two rows or more, and texts without a cell are left out. Grids come from top to bottom."""
+    level = sorted((y1, min(x1, x2), max(x1, x2)) for x1, y1, x2, y2 in lines if abs(y1 - y2) <= TOUCH < abs(x1 - x2))
+    steep = [(x1, min(y1, y2), max(y1, y2)) for x1, y1, x2, y2 in lines if abs(x1 - x2) <= TOUCH < abs(y1 - y2)]
+    parent = list(range(len(level) + len(steep)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    heights = [y for y, _, _ in level]
+    for k, (x, low, high) in enumerate(steep):
+        for i in range(bisect_left(heights, low - TOUCH), bisect_right(heights, high + TOUCH)):
+            if level[i][1] - TOUCH <= x <= level[i][2] + TOUCH:
+                parent[find(i)] = find(len(level) + k)
+    grids: dict[int, tuple[list[float], list[float]]] = {}
+    for i, (y, _, _) in enumerate(level):
+        grids.setdefault(find(i), ([], []))[1].append(y)
+    for k, (x, _, _) in enumerate(steep):
+        grids.setdefault(find(len(level) + k), ([], []))[0].append(x)
+    out = []
+    for xs, ys in grids.values():
+        xs, ys = _near(xs), _near(ys)[::-1]
+        if len(xs) < 2 or len(ys) < 3:
+            continue
+        cells: list[list[list[str]]] = [[[] for _ in xs[1:]] for _ in ys[1:]]
+        for x, y, t in words:
+            c, r = bisect_right(xs, x) - 1, sum(y <= e for e in ys) - 1
+            if 0 <= c < len(xs) - 1 and 0 <= r < len(ys) - 1:
+                cells[r][c].append(t)
+        out.append((-ys[0], [[" ".join(c) for c in r] for r in cells]))
+    return [rows for _, rows in sorted(out, key=lambda x: x[0])]
+
+
+def read_pdf(data: bytes, max_pages: int | None = None, images: bool = True) -> dict:
+    """Pages, spans, images, ruled tables and information of one file. A span is a run of text of one font, up to a change of line or font."""
     if b"%PDF-" not in data[:1024]:
         raise ValueError("no PDF header")
     f = File(data)
     if any(isinstance(t, dict) and "Encrypt" in t for t in f.trailers):
         raise ValueError("encrypted")
     pages = f.pages()
-    spans, pictures, warnings = [], [], []
+    spans, pictures, tables, warnings = [], [], [], []
     for number, page in enumerate(pages if max_pages is None else pages[:max_pages], 1):
         resources = f.get(page.get("Resources")) or {}
         fonts = {}
@@ -213,7 +280,12 @@ def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
         for i, (_, ref) in enumerate((f.get(resources.get("XObject")) or {}).items(), 1):
             x = f.get(ref)
             if isinstance(x, dict) and x.get("Subtype") == "Image":
-                pictures.append({"page_num": number, "idx": i, "width": f.get(x.get("Width")), "height": f.get(x.get("Height"))})
+                try:
+                    content = f.image(ref) if images else None
+                except (zlib.error, TypeError) as e:
+                    content = None
+                    warnings.append(f"page {number}, image {i}: {e}")
+                pictures.append({"page_num": number, "idx": i, "width": f.get(x.get("Width")), "height": f.get(x.get("Height")), "content": content})
         contents = page.get("Contents")
         parts = contents if isinstance(contents, list) else f.get(contents) if isinstance(f.get(contents), list) else [contents]
         try:
@@ -222,16 +294,27 @@ def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
             warnings.append(f"page {number}: {e}")
             continue
         font, size, scale, run, count = (None, 1, False), 0.0, 1.0, [], 0
+        matrix, kept, leading = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0), [], 0.0
+        line, began = [1.0, 1.0, 0.0, 0.0], (0.0, 0.0)  # the text line's scales and place; where the run began
+        path, ruled, words = [], [], []
+
+        def placed(x, y):
+            a, b, c, d, e, g = matrix
+            return a * x + c * y + e, b * x + d * y + g
 
         def flush():
             nonlocal run, count
             t = "".join(run).strip()
             if t:
+                words.append((*began, t))
                 spans.append({"page_num": number, "span_idx": count, "text": t, "font_size": round(abs(size * scale), 3), "is_bold": font[2]})
                 count += 1
             run = []
 
         def show(b):
+            nonlocal began
+            if not run:
+                began = placed(line[2], line[3])
             table, width, _ = font
             if table is None:
                 run.append(b.decode("latin-1"))
@@ -248,12 +331,45 @@ def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
             if op == "Tf" and len(stack) > 1:
                 flush()
                 font, size = fonts.get(stack[-2], (None, 1, False)), float(numbers[-1] if numbers else 0)
+            elif op == "q":
+                kept.append(matrix)
+            elif op == "Q" and kept:
+                matrix = kept.pop()
+            elif op == "cm" and len(numbers) >= 6:
+                a, b, c, d, e, g = numbers[-6:]
+                m = matrix
+                matrix = (a * m[0] + b * m[2], a * m[1] + b * m[3], c * m[0] + d * m[2], c * m[1] + d * m[3], e * m[0] + g * m[2] + m[4], e * m[1] + g * m[3] + m[5])
+            elif op in ("m", "l") and len(numbers) >= 2:
+                at = placed(*numbers[-2:])
+                if op == "l" and path:
+                    path[-1].append(at)
+                else:
+                    path.append([at])
+            elif op == "re" and len(numbers) >= 4:
+                x, y, w, h = numbers[-4:]
+                path.append([placed(*p) for p in ((x, y), (x + w, y), (x + w, y + h), (x, y + h), (x, y))])
+            elif op in ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n"):
+                ruled += [(*p, *q) for part in path if op != "n" for p, q in zip(part, part[1:])]
+                path = []
+            elif op == "TL" and numbers:
+                leading = numbers[-1]
             elif op == "Tm" and len(numbers) >= 6:
                 flush()
                 scale = numbers[-3] or 1.0
+                line = [numbers[-6] or 1.0, scale, numbers[-2], numbers[-1]]
             elif op in ("Td", "TD", "T*", "BT", "ET"):
                 if op == "BT":
-                    scale = 1.0
+                    scale, line = 1.0, [1.0, 1.0, 0.0, 0.0]
+                elif op == "T*":
+                    flush()
+                    line[3] -= leading * line[1]
+                elif op != "ET" and len(numbers) > 1:
+                    if numbers[-1]:
+                        flush()
+                    if op == "TD":
+                        leading = -numbers[-1]
+                    line[2] += numbers[-2] * line[0]
+                    line[3] += numbers[-1] * line[1]
                 if op not in ("Td", "TD") or not numbers or numbers[-1]:
                     flush()
                 else:
@@ -261,6 +377,7 @@ def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
             elif op in ("Tj", "'", '"'):
                 if op != "Tj":
                     flush()
+                    line[3] -= leading * line[1]
                 for b in stack[-1:]:
                     if isinstance(b, bytes):
                         show(b)
@@ -278,26 +395,33 @@ def read_pdf(data: bytes, max_pages: int | None = None) -> dict:
                         run.append(" ")
             stack = []
         flush()
+        tables += [{"page_num": number, "idx": i, "rows": rows} for i, rows in enumerate(ruled_tables(ruled, words), 1)]
     info = next((f.get(t["Info"]) for t in reversed(f.trailers) if isinstance(t, dict) and "Info" in t), None) or {}
     as_text = lambda b: b[2:].decode("utf-16-be", "replace") if b[:2] == b"\xfe\xff" else b.decode("latin-1")
     version = re.search(rb"%PDF-(\d\.\d)", data[:1024])
-    return {"pages": len(pages), "spans": spans, "images": pictures, "info": {str(k): as_text(v) for k, v in ((k, f.get(v)) for k, v in info.items()) if isinstance(v, bytes)}, "version": version[1].decode() if version else None, "warnings": warnings}
+    return {"pages": len(pages), "spans": spans, "images": pictures, "tables": tables, "info": {str(k): as_text(v) for k, v in ((k, f.get(v)) for k, v in info.items()) if isinstance(v, bytes)}, "version": version[1].decode() if version else None, "warnings": warnings}
 
 
-def read_pdfs(files: DataFrame, id_col: str = "path", content_col: str = "content", max_pages: int | None = None, ocr: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """A row for each file; one that can't be read has a warning. ``ocr`` (bytes -> text of each page) steps in where no text is found."""
-    kinds, names = to_arrow_schema(StructType.fromDDL(SCHEMA)), ["pages", "spans", "images", "info", "version", "warnings"]
+def read_pdfs(files: DataFrame, id_col: str = "path", content_col: str = "content", max_pages: int | None = None, ocr: Callable[[bytes], list[str]] | None = None, images: bool = True, seconds: float | None = None, ocr_seconds: float | None = None) -> DataFrame:
+    """A row for each file; one that can't be read, or not within ``seconds``, has a warning. ``ocr`` (bytes -> text of each page) steps in
+    where no text is found, for ``ocr_seconds`` at most."""
+    kinds, names = to_arrow_schema(StructType.fromDDL(SCHEMA)), ["pages", "spans", "images", "tables", "info", "version", "warnings"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    row = read_pdf(data or b"", max_pages)
+                    with time_limit(seconds):
+                        row = read_pdf(data or b"", max_pages, images)
                     if ocr is not None and not row["spans"]:
-                        row["spans"] = [{"page_num": i, "span_idx": 0, "text": t, "font_size": 0.0, "is_bold": False} for i, t in enumerate(ocr(data), 1) if t.strip()]
-                        row["warnings"].append("text recognised")
+                        try:
+                            with time_limit(ocr_seconds):
+                                row["spans"] = [{"page_num": i, "span_idx": 0, "text": t, "font_size": 0.0, "is_bold": False} for i, t in enumerate(ocr(data), 1) if t.strip()]
+                            row["warnings"].append("text recognised")
+                        except Exception as e:  # the file stays, without text
+                            row["warnings"].append(f"text recognition: {type(e).__name__}: {e}")
                 except Exception as e:  # a bad file is a row with a warning
-                    row = {"pages": 0, "spans": [], "images": [], "info": {}, "version": None, "warnings": [f"{type(e).__name__}: {e}"]}
+                    row = {"pages": 0, "spans": [], "images": [], "tables": [], "info": {}, "version": None, "warnings": [f"{type(e).__name__}: {e}"]}
                 row["info"] = list(row["info"].items())
                 yield pa.RecordBatch.from_arrays([pa.array([doc], pa.string()), *[pa.array([row[n]], kinds.field(n).type) for n in names]], names=["doc_id", *names])
 
@@ -309,10 +433,32 @@ def spans(read: DataFrame) -> DataFrame:
 
 
 def images(read: DataFrame, least: int = 100) -> DataFrame:
-    """Images of ``least`` pixels or more on either side; ids count the kept ones."""
+    """Images of ``least`` pixels or more on either side; ids count the kept ones. Places are 1000 for each page before, and the image's on its page."""
     kept = F.filter("images", lambda x: (x["width"] >= least) & (x["height"] >= least))
     rows = read.select("doc_id", F.posexplode(kept).alias("i", "x"))
-    return rows.select("doc_id", F.format_string("img_%04d", F.col("i") + 1).alias("image_id"), (F.col("x.page_num") * 1000 + F.col("x.idx")).cast("long").alias("position"), F.col("x.width").alias("width"), F.col("x.height").alias("height"))
+    return rows.select(
+        "doc_id", F.format_string("img_%04d", F.col("i") + 1).alias("image_id"), ((F.col("x.page_num") - 1) * 1000 + F.col("x.idx") - 1).cast("long").alias("position"), F.concat(F.lit("Image on page "), F.col("x.page_num")).alias("alt_text"),
+        F.col("x.width").alias("width"), F.col("x.height").alias("height"), F.col("x.content").alias("content"),
+    )
+
+
+def tables(read: DataFrame) -> DataFrame:
+    """(doc_id, page_num, idx, markdown) of every table."""
+    rows = read.select("doc_id", F.inline("tables"))
+    return rows.select("doc_id", "page_num", "idx", markdown.table(F.col("rows"), escape=False).alias("markdown"))
+
+
+def tables_text(c: Column | str = "tables") -> Column:
+    """All tables of a file as Markdown, each below its page's number; empty without any."""
+    one = lambda t: F.concat(F.lit("**Table from page "), t["page_num"].cast("string"), F.lit("**\n\n"), markdown.table(t["rows"], escape=False))
+    return F.array_join(F.transform(c, one), "\n\n")
+
+
+def scanned_codes(read: DataFrame, decode: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Codes in the images of every page, as ``qr.numbered`` gives them; ``decode`` as in ``qr.decoded``."""
+    pictures = read.select("doc_id", F.inline("images")).where("content is not null").select("doc_id", F.col("page_num").alias("page_number"), F.col("idx").alias("image_no"), "content")
+    found = qr.decoded(pictures, decode, ("doc_id", "page_number", "image_no")).where("raw_data is not null")
+    return qr.numbered(found.withColumns({"source_image": F.concat(F.lit("page_"), "page_number"), "decoder_idx": F.col("image_no") * 1000 + F.col("decoder_idx")})).drop("image_no")
 
 
 def metadata(read: DataFrame) -> DataFrame:
