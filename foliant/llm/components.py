@@ -20,15 +20,15 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, total: int | None = None) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    return spread_join(both.where("v > u"), low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return spread_join(both.where("v > u"), low, "u", "v", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int | None = None) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = spread_join(edges, low, "u", "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rest = spread_join(edges, low, "u", "v", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,8 +43,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        large = stored(large_star(links), "cc-large")
-        old, links = links, stored(small_star(large), "cc")
+        large = stored(large_star(links, mark[0]), "cc-large")
+        old, links = links, stored(small_star(large, mark[0]), "cc")
         remove(links.sparkSession, old)
         remove(links.sparkSession, large)
         before, mark = mark, _mark(links)
