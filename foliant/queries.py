@@ -267,6 +267,31 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.metadata(pages_of(spark, sf_dir, ["title", "lang", "metas"]), ["page_id"]).select("page_id", "title", "language")
 
 
+_H1 = _STRIP.format(_UNESCAPE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))
+
+
+@query(f"""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'OG ' || page_id WHEN page_id % 3 = 1 THEN 'DC ' || page_id ELSE {_STRIP.format(_UNESCAPE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} END AS title, CASE WHEN page_id % 2 = 0 THEN 'og a' WHEN page_id % 5 = 0 THEN 'dc a' ELSE 'std a' END AS author,
+        CASE WHEN page_id % 4 = 0 THEN 'P' || page_id % 9 END AS publisher, CASE WHEN page_id % 7 = 0 THEN NULL ELSE (2000 + page_id % 20) || '-0' || (page_id % 9 + 1) || '-11 01:02:03' END AS published, {_H1} AS description,
+        CASE WHEN page_id % 6 = 0 THEN 'x|y' || page_id % 4 ELSE 'k1|k' || page_id % 8 END AS tags, 'http://e.org/' || page_id || '.png' AS image FROM pages""")
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages say of themselves in Open Graph, Dublin Core and standard tags, which are put into their heads; the description is the page's heading."""
+    i = F.col("page_id")
+    s = lambda c: c.cast("string")
+    meta = lambda kind, name, value: F.concat(F.lit(f'<meta {kind}="{name}" content="'), value, F.lit('">'))
+    date = F.concat(s(2000 + i % 20), F.lit("-0"), s(i % 9 + 1), F.lit("-11T01:02:03Z"))
+    none = F.lit("")
+    tags = F.concat(
+        F.when(i % 3 == 0, meta("property", "og:title", F.concat(F.lit("OG "), s(i)))).otherwise(none), F.when(i % 3 < 2, meta("name", "DC.title", F.concat(F.lit("DC "), s(i)))).otherwise(none), F.when(i % 2 == 0, meta("property", "og:article:author", F.lit("og a"))).otherwise(none),
+        F.when(i % 5 == 0, meta("name", "DC.creator", F.lit("dc a"))).otherwise(none), meta("name", "author", F.lit("std a")), F.when(i % 4 == 0, meta("name", "DC.publisher", F.concat(F.lit("P"), s(i % 9)))).otherwise(none), F.when(i % 7 != 0, meta("property", "og:article:published_time", date)).otherwise(none),
+        meta("name", "Description", F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), '"', "&quot;")), F.when(i % 6 == 0, F.concat(meta("property", "og:article:tag", F.lit("x")), meta("property", "og:article:tag", F.concat(F.lit("y"), s(i % 4))))).otherwise(none),
+        meta("name", "keywords", F.concat(F.lit("k1, k"), s(i % 8))), meta("property", "og:image", F.concat(F.lit("http://e.org/"), s(i), F.lit(".png"))),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), tags)).alias("html"))
+    read = html.metadata(html.read_pages(rows, ["page_id"], fields=["title", "lang", "metas"]), ["page_id"])
+    return read.select("page_id", "title", "author", "publisher", F.date_format(F.to_utc_timestamp("publication_date", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("published"), "description", F.array_join("tags", "|").alias("tags"), "image")
+
+
 @query("""
     WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]+)"', 1) AS hrefs FROM pages),
     r AS (SELECT page_id, unnest(hrefs) AS href, unnest(range(len(hrefs))) AS link_no, regexp_extract(url, '^([a-z]+)://([^/?#]*)', ['s', 'h']) AS o FROM l)
@@ -276,7 +301,24 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.link_rows(pages_of(spark, sf_dir, ["links"]), "page_id", "url").select("page_id", "link_no", "url")
 
 
-@query()
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+#: Pages have headings, closed paragraphs, and paragraphs that begin bold and end at a break, unclosed.
+_MD_SQL = f"regexp_replace(regexp_replace(regexp_replace({_ARTICLE}, '<h1>\\s*([^<]*?)\\s*</h1>', chr(10) || '# \\1' || chr(10) || chr(10), 'g'), '<p><b>([^<]*)<br>', chr(10) || '**\\1' || chr(10) || '**' || chr(10) || chr(10), 'g'), '<p>([^<]*)</p>', chr(10) || '\\1' || chr(10) || chr(10), 'g')"
+_MD_SQL = _STRIP.format(f"regexp_replace(array_to_string(list_transform(string_split({_UNESCAPE.format(_MD_SQL)}, chr(10)), lambda x: regexp_replace(x, '\\s+\\z', '')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+_PLAIN_SQL = "html"
+for _p, _r in (("(?s)<style>.*?</style>", "''"), ("(?s)<script>.*?</script>", "''"), ("(?s)<!--.*?-->", "''"), ("<li>", "'• '"), ("</li>|</div>", "chr(10)"), ("<p><b>([^<]*)<br>", "'\\1' || chr(10) || chr(10) || chr(10)"), ("</p>|</h1>", "chr(10) || chr(10)"), ("<[^>]*>", "''")):
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, '{_p}', {_r}, 'g')"
+_PLAIN_SQL = _UNESCAPE.format(f"replace(replace({_PLAIN_SQL}, '&copy;', '©'), '&middot;', '·')")
+_PLAIN_SQL = _STRIP.format(f"regexp_replace(regexp_replace(array_to_string(list_transform(string_split({_PLAIN_SQL}, chr(10)), lambda x: {_STRIP.format('x')}), chr(10)), ' {{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query(f"""
+    WITH a AS (SELECT page_id, {_MD_SQL} AS md, {_STRIP.format(_UNESCAPE.format(f"regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g')"))} AS t,
+        list_max(list_transform(regexp_extract_all({_ARTICLE}, '<p>(?:<b>)?([^<]*)', 1), lambda x: length({_STRIP.format(_UNESCAPE.format('x'))}))) AS longest FROM pages),
+    m AS (SELECT page_id, CASE WHEN length(t) < 50 THEN '' ELSE md END AS md, CASE WHEN length(t) < 50 THEN 2 WHEN length(t) < 100 OR longest IS NULL OR longest < 25 THEN 1 ELSE 0 END AS n FROM a),
+    w AS (SELECT *, {WORDS.format('md')}::BIGINT AS k FROM m)
+    SELECT page_id, md5(md) AS content_md5, k AS word_count, greatest(1, CAST(CASE WHEN (k / 225.0) % 1 = 0.5 THEN 2 * round(k / 450.0) ELSE round(k / 225.0) END AS BIGINT)) AS reading_minutes, n::INT AS n_warnings,
+        CASE WHEN md = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(md, '(?m)^#{{1,2}}\\s+\\S'))) END::BIGINT AS chapters FROM w""")
 def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a document: Markdown of its main content, words, reading time, chapters."""
     read = pages_of(spark, sf_dir, ["markdown", "warnings"])
@@ -284,7 +326,7 @@ def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", F.md5("markdown").alias("content_md5"), n.alias("word_count"), text.minutes_even(n).alias("reading_minutes"), F.size("warnings").alias("n_warnings"), chapters.heading_chapter_count(F.col("markdown")).alias("chapters"))
 
 
-@query()
+@query(f"SELECT page_id, length({_PLAIN_SQL}) AS characters, md5({_PLAIN_SQL}) AS text_md5 FROM pages")
 def page_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text of every page, white space tidied."""
     return pages_of(spark, sf_dir, ["plain"]).select("page_id", html.tidy_plain("plain").alias("text")).select("page_id", F.length("text").cast("long").alias("characters"), F.md5("text").alias("text_md5"))
@@ -345,11 +387,12 @@ def payload_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)) IS NOT NULL AS has_tags,
-           len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)))::BIGINT AS n_tags FROM documents""")
+           len(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50)))::BIGINT AS n_tags,
+           md5(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(text, '[,\\n]'), lambda x: lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g'), '\\A(?:[-*•]|\\d+[.)])\\s*', ''), '["''\\[\\]]', '', 'g'), '\\A\\s+|\\s+\\z', '', 'g'))), lambda x: x <> '' AND length(x) <= 50))), '|')) AS tags_md5 FROM documents""")
 def reply_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of a model's reply: cut, bared, lower-cased, each once."""
     tags = classify.model_tags("text", 1_000_000)
-    return table(spark, sf_dir, "documents").select("doc_id", tags.isNotNull().alias("has_tags"), F.size(tags).cast("long").alias("n_tags"))
+    return table(spark, sf_dir, "documents").select("doc_id", tags.isNotNull().alias("has_tags"), F.size(tags).cast("long").alias("n_tags"), F.md5(F.array_join(F.array_sort(tags), "|")).alias("tags_md5"))
 
 
 IPS = "ips AS (SELECT c_custkey AS id, (c_custkey * 7919 % 256) || '.' || (c_custkey * 104729 % 256) || '.' || (c_custkey % 256) || '.1' AS ip FROM customer)"
@@ -377,20 +420,20 @@ def front_matter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Markdown images, tables, front matter ---------------------------------------------------------------------------
 
-IMAGED = """imaged AS (SELECT doc_id, '![a' || doc_id || '](i' || doc_id % 3 || '.png) x ![b](http://h/' || doc_id % 5 || '.jpg "t") ![c][R' || doc_id % 2 || '] ![d](i' || doc_id % 3 || '.png)' || chr(10) || '[r0]: z.svg' || chr(10) || '[r1]: first.gif' || chr(10) || '[R1]: last.gif "l"' AS text FROM documents)"""
+IMAGED = """imaged AS (SELECT doc_id, regexp_extract(text, '[a-z]+') AS word, text || chr(10) || '![a' || doc_id || '](i' || doc_id % 3 || '.png) x ![b](http://h/' || doc_id % 5 || '.jpg "t") ![c][R' || doc_id % 2 || '] ![d](i' || doc_id % 3 || '.png)' || chr(10) || '[r0]: ' || regexp_extract(text, '[a-z]+') || '.svg' || chr(10) || '[r1]: first.gif' || chr(10) || '[R1]: last.gif "l"' AS text FROM documents)"""
 
 
 def imaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     s = lambda x: x.cast("string")
-    made = F.concat(F.lit("![a"), s(i), F.lit("](i"), s(i % 3), F.lit(".png) x ![b](http://h/"), s(i % 5), F.lit('.jpg "t") ![c][R'), s(i % 2), F.lit("] ![d](i"), s(i % 3), F.lit('.png)\n[r0]: z.svg\n[r1]: first.gif\n[R1]: last.gif "l"'))
+    made = F.concat("text", F.lit("\n![a"), s(i), F.lit("](i"), s(i % 3), F.lit(".png) x ![b](http://h/"), s(i % 5), F.lit('.jpg "t") ![c][R'), s(i % 2), F.lit("] ![d](i"), s(i % 3), F.lit(".png)\n[r0]: "), F.regexp_extract("text", "[a-z]+", 0), F.lit('.svg\n[r1]: first.gif\n[R1]: last.gif "l"'))
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("text"))
 
 
 @query(f"""
     WITH {IMAGED},
     i AS (SELECT doc_id, 0 AS kind, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^\\s\\)]+)(?:\\s+"[^"]*")?\\)', 2)) AS path, unnest(regexp_extract_all(text, '!\\[([^\\]]*)\\]\\(([^\\s\\)]+)(?:\\s+"[^"]*")?\\)', 1)) AS alt FROM imaged),
-    r AS (SELECT doc_id, 1 AS kind, CASE WHEN doc_id % 2 = 0 THEN 'z.svg' ELSE 'last.gif' END AS path, 'c' AS alt FROM imaged),
+    r AS (SELECT doc_id, 1 AS kind, CASE WHEN doc_id % 2 = 0 THEN word || '.svg' ELSE 'last.gif' END AS path, 'c' AS alt FROM imaged),
     a AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind) AS n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, path ORDER BY kind, alt) AS k FROM (SELECT * FROM i UNION ALL SELECT * FROM r)) WHERE k = 1)
     SELECT doc_id, path AS file_path, alt AS alt_text, regexp_extract(path, '\\.([a-z]+)$', 1) AS format FROM a""")
 def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,7 +442,7 @@ def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT DISTINCT doc_id, ref, CASE ref WHEN 'r0' THEN 'z.svg' ELSE 'last.gif' END AS url FROM documents, (VALUES ('r0'), ('r1')) t(ref)""")
+    SELECT DISTINCT doc_id, ref, CASE ref WHEN 'r0' THEN regexp_extract(text, '[a-z]+') || '.svg' ELSE 'last.gif' END AS url FROM documents, (VALUES ('r0'), ('r1')) t(ref)""")
 def image_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference definitions; the last of a name counts."""
     return images.references(imaged(spark, sf_dir)).select("doc_id", "ref", "url")
@@ -415,23 +458,24 @@ def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['a' || doc_id % 4, 'b'] AS tags, make_timestamp(2024, (1 + doc_id % 12)::BIGINT, 5, 0, 0, 0) AS publication_date FROM documents""")
+    SELECT doc_id, 'T ' || regexp_extract(text, '[A-Za-z]+') AS title, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['a' || doc_id % 4, 'b'] AS tags, make_timestamp(2024, (1 + doc_id % 12)::BIGINT, 5, 0, 0, 0) AS publication_date, md5(regexp_replace(text, '\\A\\s+|\\s+\\z', '', 'g')) AS body_md5 FROM documents""")
 def front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of Markdown with a YAML head."""
     i = F.col("doc_id")
-    head = F.concat(F.lit("---\ntitle: T"), i.cast("string"), F.lit("\n"), F.when(i % 2 == 0, "lang: de").otherwise("language: en"), F.lit("\ntags: a"), (i % 4).cast("string"), F.lit("; b\ndate: 2024-"), F.lpad((1 + i % 12).cast("string"), 2, "0"), F.lit("-05\n---\nbody"))
+    head = F.concat(F.lit("---\ntitle: T "), F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("\n"), F.when(i % 2 == 0, "lang: de").otherwise("language: en"), F.lit("\ntags: a"), (i % 4).cast("string"), F.lit("; b\ndate: 2024-"), F.lpad((1 + i % 12).cast("string"), 2, "0"), F.lit("-05\n---\n"), "text")
     docs = table(spark, sf_dir, "documents").select("doc_id", head.alias("text"))
-    return frontmatter.metadata(frontmatter.extracted(docs)).select("doc_id", "title", "language", "tags", F.col("publication_date").cast("timestamp_ntz").alias("publication_date"))
+    return frontmatter.metadata(frontmatter.extracted(docs)).select("doc_id", "title", "language", "tags", F.col("publication_date").cast("timestamp_ntz").alias("publication_date"), F.md5(text.strip("body")).alias("body_md5"))
 
 
 @query("""
-    SELECT doc_id, greatest(0, least(100, doc_id % 150))::INT AS overall_score, (doc_id % 7)::BIGINT AS n_strengths FROM documents""")
+    WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\\A\\s+|\\s+\\z', '', 'g')), lambda x: x <> '') AS l FROM documents)
+    SELECT doc_id, greatest(0, least(100, doc_id % 150))::INT AS overall_score, len(l)::BIGINT AS n_strengths, md5(array_to_string(l, chr(10))) AS strengths_md5 FROM l""")
 def quality_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and lists out of a model's replies."""
     i = F.col("doc_id")
-    reply = F.concat(F.lit("**Overall:** "), (i % 150).cast("string"), F.lit("\nReadability: 5\nStrengths:\n"), F.repeat(F.lit("- good\n"), (i % 7).cast("int")), F.lit("Suggestions:\n- none\n"))
+    reply = F.concat(F.lit("**Overall:** "), (i % 150).cast("string"), F.lit("\nReadability: 5\nStrengths:\n"), F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("Suggestions:\n- none\n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", reply.alias("reply"))
-    return ai.quality(docs).select("doc_id", "overall_score", F.size("strengths").cast("long").alias("n_strengths"))
+    return ai.quality(docs).select("doc_id", "overall_score", F.size("strengths").cast("long").alias("n_strengths"), F.md5(F.array_join("strengths", "\n")).alias("strengths_md5"))
 
 
 @query("""
