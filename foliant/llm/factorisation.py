@@ -1,7 +1,7 @@
 """Document quality by a factorisation machine.
 
 A text is a sparse vector: its distinct words hashed to ``BUCKETS`` columns (scaled to length 1 together), its
-structure statistics, and metadata (its length in characters). The score is the logistic of
+structure statistics, and metadata (its length in bytes, in characters, in lines and in paragraphs). The score is the logistic of
 
     w0 + sum w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 
@@ -36,11 +36,14 @@ BATCH = 256
 RATE = 0.02
 L2_W, L2_V = 1e-3, 1e-3
 SEED = 5
-STATS = ("chars", "words", "word_length", "upper", "digits", "symbols", "punctuation", "pipes", "stops", "line_words", "dup_lines", "distinct_words", "loud_words", "marked_words")
+STATS = ("chars", "words", "word_length", "upper", "digits", "symbols", "punctuation", "pipes", "stops", "line_words", "dup_lines", "distinct_words", "loud_words", "marked_words", "characters", "lines", "paragraphs", "wide_characters")
 #: A statistic, 0 to 1, is kept in a sampled row as a whole number of this unit.
 UNIT = 1_000_000
 
 _UPPER, _DIGIT, _SYMBOL, _PUNCT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>^~=+\\/_@{}[]", b".,;:!?'\"()-"
+#: Bytes of UTF-8 that don't begin a character.
+_REST = bytes(range(0x80, 0xC0))
+_GAP = re.compile(rb"\n\s*\n")
 _MARKED = re.compile(rb"[#*$%&<>]{2,}|!{2,}")
 
 
@@ -55,10 +58,13 @@ def statistics(text: bytes) -> list[float]:
     count = lambda kind: size - len(text.translate(None, kind))
     full = [x for x in lines if x.strip()]
     chars = sum(map(len, words))
+    characters = size - count(_REST)
+    paragraphs = sum(1 for x in _GAP.split(text) if x.strip())
     return [
         min(1.0, math.log1p(size) / 14), min(1.0, math.log1p(len(words)) / 12), min(1.0, _share(chars, len(words)) / 20), _share(count(_UPPER), chars), _share(count(_DIGIT), chars), _share(count(_SYMBOL), chars), _share(count(_PUNCT), chars),
         min(1.0, _share(text.count(b"|"), len(words))), min(1.0, _share(text.count(b"."), len(words))), min(1.0, _share(len(words), len(full)) / 100), _share(len(full) - len(set(full)), len(full)),
         _share(len(set(words)), len(words)), _share(sum(w.isupper() for w in words), len(words)), min(1.0, _share(len(_MARKED.findall(text)), len(words))),
+        min(1.0, math.log1p(characters) / 14), min(1.0, math.log1p(len(full)) / 10), min(1.0, math.log1p(paragraphs) / 8), _share(size - characters, size),
     ]
 
 

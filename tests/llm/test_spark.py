@@ -304,6 +304,70 @@ def test_op3(spark, sf, texts):
     assert sum(r.kept for r in rows) > 0.6 * len(rows)
 
 
+def plain_verdicts(docs, order=4):
+    """Perplexity, band and verdict of (id, text, lang) with dictionaries and loops."""
+    from tests.llm.test_small import plain_counts
+
+    def classes(t):
+        out = []
+        for c in re.sub(r"\s+", " ", (t or "").strip() + " " if (t or "").strip() else ""):
+            if c.isalpha():
+                low = c.lower()[0]
+                out += ["upper"] * c.isupper() + [low if "a" <= low <= "z" else f"letter{ord(low) % 18}"]
+            else:
+                out.append("space" if c == " " else "digit" if c.isdigit() else c if c in "#$%&*|<>.,!?" else "other")
+        return out
+
+    codes = {i: classes(t) for i, t, _ in docs}
+    grams = {order: Counter(tuple(x) for s in codes.values() for x in zip(*((["space"] * (order - 1) + s)[k:] for k in range(order))))}
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    d = {n: language_model.modified_discounts([sum(c == k for c in grams[n].values()) for k in (1, 2, 3, 4)]) for n in grams}
+    total, rest = Counter(), Counter()
+    for n, counts in grams.items():
+        for g, c in counts.items():
+            total[n, g[:-1]] += c
+            rest[n, g[:-1]] += d[n][min(c, 3) - 1]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / 60
+        n, c = len(g), grams[len(g)].get(g, 0)
+        return lower if not total[n, g[:-1]] else (max(c - (d[n][min(c, 3) - 1] if c else 0), 0) + rest[n, g[:-1]] * lower) / total[n, g[:-1]]
+
+    bits, words = {}, {}
+    for i, t, _ in docs:
+        words[i] = plain_counts(t or "")
+        if words[i][0]:
+            whole = ["space"] * (order - 1) + codes[i]
+            letters = sum(c not in ("space", "upper", "other", *"#$%&*|<>.,!?") for c in codes[i])
+            bits[i] = -sum(math.log2(p(tuple(whole[k : k + order]))) for k in range(len(codes[i]))) / max(letters, len(codes[i]) / 16)
+    at = lambda values, q: sorted(values)[math.ceil(q * len(values)) - 1]
+    out = {}
+    for lang in {x for _, _, x in docs}:
+        mine = [i for i, _, x in docs if x == lang]
+        if not (some := [i for i in mine if i in bits]):
+            continue
+        mid = at([bits[i] for i in some], 0.5)
+        off = [(bits[i] - mid) * math.sqrt(words[i][0]) for i in some]
+        below, above = max(0, -at(off, 0.25) / 0.6745), max(0, at(off, 0.75) / 0.6745)
+        for i in some:
+            low, high = (mid + s * 5 * w / math.sqrt(words[i][0]) + s * 1e-6 for s, w in ((-1, below), (1, above)))
+            failed = words[i][0] < 10 or 100 * words[i][4] > 20 * words[i][0]
+            out[i] = (2 ** bits[i], 2**low, 2**high, not failed and low <= bits[i] <= high)
+    return out
+
+
+def test_op3_verdicts_are_the_plain_ones(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.where("doc_id < 70").collect()] + [(1000, None, "en"), (1001, "", None), (1002, "ÀÉ ß 12 #$ 漢字 " * 9, None), (1003, "# | # " * 40, "en"), (1004, "...", "de")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    want = plain_verdicts(rows)
+    assert {i for i, r in got.items() if r.perplexity is not None} == set(want) and len(got) == len(rows)
+    for i, (perplexity, low, high, kept) in want.items():
+        r = got[i]
+        assert r.perplexity == pytest.approx(perplexity) and r.min_perplexity == pytest.approx(low) and r.max_perplexity == pytest.approx(high) and r.kept == kept, i
+    assert not any(r.kept for i, r in got.items() if i not in want)
+
+
 def test_op3_rejects_junk_and_keeps_clean_texts(spark):
     from tests.conftest import DATA
 
