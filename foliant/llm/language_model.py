@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .arrays import mapped, merged, pack, put, slices, unpack
+from .arrays import Opened, merged, pack, put, slices, unpack
 from .common import HashCache, mix64, per_text, remove, scratch, shuffles_removed, small_batches, steps, stored, texts_of, word_hashes
 
 ORDER = 3
@@ -269,8 +269,7 @@ class Vocabulary:
     def __init__(self, model: dict):
         self.bounds = hash_bounds(model["word_shards"])
         self.first, self.sizes = model["first"], model["sizes"]
-        self.files: list = [None] * model["word_shards"]
-        self.root = model["root"]
+        self.files = Opened(model["root"])
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, UNKNOWN where unknown; counts) of sorted distinct hashes."""
@@ -278,7 +277,7 @@ class Vocabulary:
         for s, a, b in ranges(hashes, self.bounds):
             if not self.sizes[s]:
                 continue
-            f = self.files[s] = self.files[s] or mapped(f"{self.root}/words-{s}")
+            f = self.files(f"words-{s}")
             at = np.minimum(np.searchsorted(f["keys"], hashes[a:b]), len(f["keys"]) - 1)
             ok = f["keys"][at] == hashes[a:b]
             counts[a:b][ok] = n = f["counts"][at[ok]]
@@ -454,12 +453,7 @@ class Scorer:
 
     def __init__(self, model: dict):
         self.model, self.tokens, self.vocabulary = model, Tokens(), Vocabulary(model)
-        self.files: dict[tuple, dict] = {}
-
-    def _file(self, name: str, s: int) -> dict:
-        if (name, s) not in self.files:
-            self.files[name, s] = mapped(f"{self.model['root']}/{name}-{s}")
-        return self.files[name, s]
+        self.files = Opened(model["root"])
 
     def _lowest(self, ids: np.ndarray) -> np.ndarray:
         """P(w) of sorted distinct numbers."""
@@ -467,7 +461,7 @@ class Scorer:
         out = np.full(len(ids), m["rest"] / (m["words"] + 1))
         bounds = id_bounds(m["words"], m["shards"])
         for s, a, b in ranges(ids[ids < m["words"]], bounds):
-            k = self._file("lowest", s)["k"][(ids[a:b] - bounds[s]).astype(np.int64)].astype(np.int64)
+            k = self.files(f"lowest-{s}")["k"][(ids[a:b] - bounds[s]).astype(np.int64)].astype(np.int64)
             out[a:b] += np.maximum(k - discount(k, m["d"][1]), 0) / m["types"]
         return out
 
@@ -512,7 +506,7 @@ class Scorer:
             mine = order[a:b]
             if int(shard[mine[0]]) not in there:
                 continue
-            f = self._file(f"grams{n}", int(shard[mine[0]]))
+            f = self.files(f"grams{n}-{int(shard[mine[0]])}")
             runs = _runs(of[mine])
             here = of[mine[runs]]  # distinct contexts, by place
             at, ok = self._found(f, distinct[here])
@@ -520,14 +514,16 @@ class Scorer:
             totals[here[whole]] = self._totals(f, at[whole])
             each = np.repeat(np.arange(len(runs)), np.diff(runs, append=len(mine)))
             some = np.flatnonzero(ok[each])
-            # binary search for the word in each context's run, all n-grams at once
+            # binary search for the word in each context's run, all n-grams at once; most runs are short
             c, want, words = at[each[some]], word[mine[some]], f["word"]
             low, high = f["start"][c].astype(np.int64), f["start"][c + 1].astype(np.int64)
-            end = high
-            while (go := low < high).any():
-                middle = (low + high) >> 1
-                less = go & (words[np.minimum(middle, len(words) - 1)] < want)
-                low, high = np.where(less, middle + 1, low), np.where(go & ~less, middle, high)
+            end, open_ = high.copy(), np.arange(len(c))
+            while len(open_):
+                middle = (low[open_] + high[open_]) >> 1
+                less = words[middle] < want[open_]
+                low[open_[less]] = middle[less] + 1
+                high[open_[~less]] = middle[~less]
+                open_ = open_[low[open_] < high[open_]]
             hit = np.flatnonzero((low < end) & (words[np.minimum(low, len(words) - 1)] == want))
             count[mine[some[hit]]] = self._counts(f, low[hit])
         split = np.flatnonzero(parts > 1)
@@ -536,12 +532,12 @@ class Scorer:
             place = (home[mine] + j) % kind.shards
             for s in np.unique(place).tolist():
                 if s in there:
-                    some, f = mine[place == s], self._file(f"grams{n}", s)
+                    some, f = mine[place == s], self.files(f"grams{n}-{s}")
                     at, ok = self._found(f, distinct[some])
                     totals[some[ok]] += self._totals(f, at[ok])
-        total, d = totals[of, 0], m["d"][n]
-        direct = np.maximum(count - discount(count, d), 0) / np.maximum(total, 1)
-        return direct, np.where(total > 0, totals[of, 1:] @ np.array(d) / np.maximum(total, 1), 1.0)
+        total, d = np.maximum(totals[:, 0], 1), m["d"][n]
+        weight = np.where(totals[:, 0] > 0, (totals[:, 1] * d[0] + totals[:, 2] * d[1] + totals[:, 3] * d[2]) / total, 1.0)
+        return np.maximum(count - discount(count, d), 0) / total[of], weight[of]
 
     def probabilities(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """P(word | context) of numbers; a context holds the order's words less one, packed."""
