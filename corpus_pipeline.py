@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import langid, minhash, mixing, packing, toxicity
-from foliant.llm.common import documents, fold, scratch
+from foliant.llm.common import documents, fold, remove, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; each stage's result is written to the shared folder and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over the documents of a folder; each stage's result is written to the shared folder and read again, and deleted when
+    the next one's is written."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(path := scratch(spark, f"pipeline-{name}"))
-        docs = spark.read.parquet(path)
+        out = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            remove(spark, before)
+        docs = before = out
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

@@ -6,7 +6,6 @@ import io
 import mmap
 import os
 import sys
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +14,8 @@ import zstandard
 
 #: Entries that a task gathers before it emits them; bounds its memory (16 bytes each, a few copies).
 TASK_ENTRIES = 3_000_000
+#: Bytes of files that a worker holds in memory where it can't map them.
+OPEN_BYTES = 256 << 20
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -108,19 +109,14 @@ def local(uri: str) -> str:
 
 
 def mapped(uri: str) -> dict[str, np.ndarray]:
-    """A file of ``put`` as memory-mapped arrays. From a store that is no mounted folder, the worker maps a copy of its own."""
+    """A file of ``put`` as memory-mapped arrays. From a store that is no mounted folder, it is read into memory (see ``Opened``)."""
     if uri.startswith("file:"):
-        path = local(uri)
+        with open(local(uri), "rb") as f:
+            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
     else:
         fs, source = pafs.FileSystem.from_uri(uri)
-        path = os.path.join(tempfile.gettempdir(), uri.replace("/", "_"))
-        if not os.path.exists(path):
-            with fs.open_input_stream(source) as f, open(part := f"{path}.{uuid.uuid4().hex}", "wb") as out:
-                while chunk := f.read(1 << 22):
-                    out.write(chunk)
-            os.replace(part, path)
-    with open(path, "rb") as f:
-        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+        with fs.open_input_stream(source) as f:
+            m = f.read()
     n = int.from_bytes(m[:8], "little")
     start = 8 + n + -(8 + n) % 64
     out = {}
@@ -128,3 +124,18 @@ def mapped(uri: str) -> dict[str, np.ndarray]:
         name, kind, length, at = line.split(" ")
         out[name] = np.frombuffer(m, np.dtype(kind), int(length), start + int(at)) if int(length) else np.empty(0, np.dtype(kind))
     return out
+
+
+class Opened:
+    """Files of a folder, opened once; when they take more than OPEN_BYTES, all are closed and opened anew as they are wanted."""
+
+    def __init__(self, root: str):
+        self.root, self.files, self.bytes = root, {}, 0
+
+    def __call__(self, name: str) -> dict[str, np.ndarray]:
+        if (f := self.files.get(name)) is None:
+            if self.bytes > OPEN_BYTES:
+                self.files, self.bytes = {}, 0
+            f = self.files[name] = mapped(f"{self.root}/{name}")
+            self.bytes += 0 if self.root.startswith("file:") else sum(a.nbytes for a in f.values())
+        return f

@@ -83,7 +83,8 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             at = spark._foliant_shared = "file://" + tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)  # with its scheme, so that workers know a mounted folder
+    return str(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()).rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []

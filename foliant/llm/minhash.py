@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, mix64, per_text, private, spread_join, steps, stored, texts_of, window_hashes, word_hashes
+from .common import HashCache, mix64, per_text, private, remove, spread_join, steps, stored, texts_of, window_hashes, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -196,34 +196,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``exact`` also looks for the few links that share no band (``prefix_pairs``), at the cost of lists of common shingles.
     """
+    used: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Stored until the groups are known."""
+        used.append(stored(df, name))
+        return used[-1]
+
     sig = stored(signed(docs, id_col, text_col, shingle, rows, bands, seed), "signed")
     sets_known = sig.where("n > 0 and id is not null")
     reps = stored(sets_known.groupBy("lo", "hi").agg(F.min(F.struct("id", "n", "short", "keys")).alias("r")).select("lo", "hi", F.col("r.id").alias("rep"), "r.n", "r.short", "r.keys"), "reps")
     keyed = reps.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("k")).where("k > 1").select("key", "leader")
-    buckets = stored(keyed.join(shared, "key"), "buckets")
-    stars = stored(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    pairs = stored(plausible(stars, reps, percent), "pairs")
-    full = lambda ids: stored(sets_of(docs, ids, ids.count(), id_col, text_col, shingle), "sets")
-    ends = lambda p: stored(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
-    links = stored(confirmed(pairs, full(ends(pairs)), percent), "links")
+    buckets = kept(keyed.join(shared, "key"), "buckets")
+    stars = kept(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    pairs = kept(plausible(stars, reps, percent), "pairs")
+    full = lambda ids: kept(sets_of(docs, ids, ids.count(), id_col, text_col, shingle), "sets")
+    ends = lambda p: kept(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
+    links = kept(confirmed(pairs, full(ends(pairs)), percent), "links")
     roots = components(links)
     root_of = lambda df, c, out: df.join(roots.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-    leaders = stored(root_of(shared.select("leader").distinct(), "leader", "leader_root"), "leaders")
+    leaders = kept(root_of(buckets.select("leader").distinct(), "leader", "leader_root"), "leaders")
     known = spread_join(root_of(buckets, "id", "root"), leaders, "leader", "id")
     open_ = known.groupBy("key").agg(F.max(F.col("root") != F.col("leader_root")).alias("open"), F.count("*").alias("k")).where("open and k > 2").select("key")
-    rest = stored(known.join(open_, "key", "left_semi"), "rest")
+    rest = kept(known.join(open_, "key", "left_semi"), "rest")
     if not rest.isEmpty():
-        sets = full(stored(rest.select("id").distinct(), "ids"))
-        met = stored(plausible(stored(across(rest, sets, percent), "met"), reps, percent), "pairs")
-        found = stored(confirmed(met, sets, percent), "found")
+        sets = full(kept(rest.select("id").distinct(), "ids"))
+        met = kept(plausible(kept(across(rest, sets, percent), "met"), reps, percent), "pairs")
+        found = kept(confirmed(met, sets, percent), "found")
         if not found.isEmpty():
-            links = stored(links.unionByName(found), "links")
+            links = kept(links.unionByName(found), "links")
             roots = components(links)
     if exact:
         sets = full(reps.select(F.col("rep").alias("id")))
-        found = stored(confirmed(stored(prefix_pairs(sets, percent), "met"), sets, percent), "found")
+        found = kept(confirmed(kept(prefix_pairs(sets, percent), "met"), sets, percent), "found")
         roots = components(links.unionByName(found))
+    for table in used:
+        remove(docs.sparkSession, table)
     out = sig.select("id", "n", "lo", "hi").join(reps.select("lo", "hi", "rep"), ["lo", "hi"], "left")
     out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
