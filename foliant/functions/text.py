@@ -5,10 +5,14 @@ White space is what Unicode calls so, and the four separators 0x1C-0x1F. Lines e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\x1c-\x1f\p{IsWhite_Space}]"
+#: The characters; as a class of regular expressions, in ranges, they are matched faster than by their property.
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 # The removal rules of the cleaner, in their order.
 REMOVALS = (
@@ -39,11 +43,11 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"{SPACE}+\z", "")
+    return F.rtrim(col(c), F.lit(SPACES))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -89,17 +93,39 @@ def decoded(content: Column | str) -> Column:
     return unix_lines(F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "ISO-8859-1")))
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _where(c: Column, marks: tuple[str, ...], pattern: str, new: str) -> Column:
+    """A replacement for texts that hold one of ``marks``, without which the pattern can't match; others are not searched."""
+
+    def step(t: Column) -> Column:
+        some = F.contains(t, F.lit(marks[0]))
+        for m in marks[1:]:
+            some = some | F.contains(t, F.lit(m))
+        return F.when(some, F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    return _let(c, step)
+
+
+#: What a text must hold for each rule to match: for each removal, and for each replacement.
+_MARKS = (("[",), ("Page ",), ("Chapter ",), ("<",), ("***",), ("___",), ("---", "–", "—"))
+_REPLACED = (("—",), ("–",), ("…",), ("“", "”"), ("‘", "’"), ("\u00a0",), ("  ",), ("\t",))
+
+
 def removals(c: Column | str) -> Column:
     out = col(c)
-    for pattern in REMOVALS:
-        out = F.regexp_replace(out, pattern, "")
-    return out
+    for pattern, marks in zip(REMOVALS[:-1], _MARKS, strict=True):
+        out = _where(out, marks, pattern, "")
+    return F.regexp_replace(out, REMOVALS[-1], "")  # in any case of letters
 
 
 def replacements(c: Column | str) -> Column:
     out = col(c)
-    for pattern, new in REPLACEMENTS:
-        out = F.regexp_replace(out, pattern, new)
+    for (pattern, new), marks in zip(REPLACEMENTS, _REPLACED, strict=True):
+        out = _where(out, marks, pattern, new)
     return out
 
 
