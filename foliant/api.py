@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .config import parsing_options
 from .errors import FileReadError, NetworkError, ParsingError, UnsupportedFormatError
 from .functions.classify import is_url as _is_url
 from .plans import documents as plans
 from .plans.registry import Registry, builtin
 from .sources import files
+from .sources.web import Web
 
 REGISTRY: Registry = builtin()
 
@@ -45,7 +47,7 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html",
 
 
 def parse_document(spark: SparkSession, source: str, options: dict | None = None, fetch: Callable[[str], tuple[int, str, str]] | None = None) -> Row:
-    """One file, or one web address with a function that fetches it, as a document row.
+    """One file, or one web address, as a document row; ``fetch`` stands in for the network.
 
     Raises UnsupportedFormatError, FileReadError, NetworkError or ParsingError.
     """
@@ -53,7 +55,8 @@ def parse_document(spark: SparkSession, source: str, options: dict | None = None
         if not spark.range(1).select(_is_url(F.lit(source))).first()[0]:
             raise UnsupportedFormatError(f"no web address: {source}")
         if fetch is None:
-            raise NetworkError("a function that fetches web addresses is needed")
+            chosen = parsing_options("html", user=options)
+            fetch = Web(chosen["timeout"], chosen["rate_limit"], chosen["verify_ssl"]).get
         try:
             status, _, body = fetch(source)
         except Exception as e:

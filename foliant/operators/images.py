@@ -242,8 +242,12 @@ def named(rows: DataFrame, id_col: str, order_col: str, base: str = "image", ori
     return rows.withColumn("file_name", F.coalesce(F.regexp_replace(F.col(original_col), r"\A(?:\.?\.?/)+", ""), plain) if original_col else plain)
 
 
-def downloaded(rows: DataFrame, fetch, url_col: str = "file_path") -> DataFrame:
-    """``rows`` with the bytes that ``fetch`` (address -> bytes) gives; null where it fails, so ids keep their gaps."""
+def downloaded(rows: DataFrame, fetch=None, url_col: str = "file_path") -> DataFrame:
+    """``rows`` with the bytes that ``fetch`` (address -> bytes) gives, or the network (``web.Web``); null where it fails, so ids keep their gaps."""
+    if fetch is None:
+        from ..sources.web import Web
+
+        fetch = Web().bytes
     schema = T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())])
     at = rows.columns.index(url_col)
 

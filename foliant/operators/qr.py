@@ -85,8 +85,18 @@ def first_success(tries: DataFrame, key: list[str]) -> DataFrame:
     return out.select(*key, F.when(F.col("best").isNotNull(), "success").otherwise("failed").alias("fetch_status"), F.substring("best.content", 1, MOST_CONTENT).alias("fetched_content"), F.col("best.try_url").alias("final_url"), F.when(F.length("best.content") > MOST_CONTENT, F.concat("fetch_notes", F.array(F.lit(f"content cut at {MOST_CONTENT} characters")))).otherwise(F.col("fetch_notes")).alias("fetch_notes"))
 
 
-def fetched(tries: DataFrame, fetch: Callable[[str], tuple[int, str, str]], url_col: str = "try_url", delay: float = 0.0) -> DataFrame:
-    """``tries`` with status and content from ``fetch``; a partition waits ``delay`` seconds between calls. A call that fails is a row with status 0."""
+def fetched(tries: DataFrame, fetch: Callable[[str], tuple[int, str, str]] | None = None, url_col: str = "try_url", delay: float = 0.0, tasks: int | None = None) -> DataFrame:
+    """``tries`` with status and content from ``fetch``; without one, from the network (``web.Web``). A call that fails is a row with status 0.
+
+    A partition waits ``delay`` seconds between calls. With ``tasks``, calls go through so many partitions and each waits
+    so many times the delay, so all together keep to one call in ``delay`` seconds.
+    """
+    if fetch is None:
+        from ..sources.web import Web
+
+        fetch = Web().get
+    if tasks:
+        tries, delay = tries.coalesce(tasks), delay * tasks
     schema = tries.schema.simpleString()[7:-1] + ",status:int,content:string"
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,3 +212,11 @@ def archived(replies: DataFrame, reply_col: str = "content") -> DataFrame:
     """``replies`` of an archive's availability service with ``snapshot``: the address of the closest copy, null without one."""
     found = F.from_json(reply_col, "archived_snapshots struct<closest struct<available boolean, url string, status string>>")["archived_snapshots"]["closest"]
     return replies.withColumn("snapshot", F.when(found["available"], F.regexp_replace(found["url"], r"\Ahttp://", "https://")))
+
+
+def from_archive(urls: DataFrame, fetch: Callable[[str], tuple[int, str, str]] | None = None, url_col: str = "url", service: str = "https://archive.org/wayback/available?url=") -> DataFrame:
+    """``urls`` with ``snapshot`` (null without a copy), ``status`` and ``content`` of an archive's closest copy."""
+    asked = fetched(urls.withColumn("__ask", F.concat(F.lit(service), F.url_encode(url_col))), fetch, "__ask")
+    found = archived(asked).drop("__ask", "status", "content")
+    copies = fetched(found.where("snapshot is not null"), fetch, "snapshot")
+    return copies.unionByName(found.where("snapshot is null").withColumns({"status": F.lit(0), "content": F.lit(None).cast("string")}))

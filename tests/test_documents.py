@@ -3,14 +3,17 @@
 import io
 import json
 import struct
+import time
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliant import config, models
+from foliant import config, errors, models
+from foliant.operators import images
 from foliant.plans import documents, registry
-from foliant.sources import docx, epub, files, pdf, photo
+from foliant.sources import docx, epub, files, pdf, photo, web, writers
 from foliant.streaming.ingest import ingest
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -276,3 +279,106 @@ def test_images_described(spark, folder):
     pics = images.downloaded(models.images_of(docs), lambda u: png(9, 9) if u.endswith("png") else None)
     assert {r.image_id: r.content is not None for r in pics.collect()} == {"img_001": True, "img_002": False}
     assert {r.file_name for r in images.named(pics, "document_id", "position", "pic").collect()} == {"pic_001.png", "pic_002.svg"}
+
+
+def test_web():
+    import http.server
+    import threading
+
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            path, _, _ = self.path.partition("?")
+            if path in ("/there", "/out", "/loop"):
+                self.send_response(302)
+                self.send_header("Location", {"/there": "/page", "/out": "http://10.0.0.1/x", "/loop": "/loop"}[path])
+                self.end_headers()
+                return
+            self.send_response(200 if path == "/page" else 404)
+            self.send_header("Content-Type", "text/html; charset=iso-8859-1")
+            self.end_headers()
+            self.wfile.write("caf\u00e9 {}".format(self.headers["User-Agent"]).encode("latin-1"))
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    here = web.Web(timeout=5, agent="me", allowed=lambda u: u.startswith(at))
+    assert here.get(f"{at}/page") == here.get(f"{at}/there") == (200, "text/html; charset=iso-8859-1", "caf\u00e9 me")
+    assert here.get(f"{at}/none")[0] == 404 and here.bytes(f"{at}/page") == "caf\u00e9 me".encode("latin-1")
+    for bad in (f"{at}/out", "http://127.0.0.1:1/x"):
+        with pytest.raises(errors.NetworkError):
+            here.get(bad)
+    with pytest.raises(errors.NetworkError):
+        web.Web().get(f"{at}/page")  # of this machine
+    with pytest.raises(errors.NetworkError):
+        here.bytes(f"{at}/none")
+    started = time.monotonic()
+    slow = web.Web(delay=0.1, allowed=lambda u: True)
+    for _ in range(3):
+        slow.get(f"{at}/page")
+    assert time.monotonic() - started >= 0.2
+    server.shutdown()
+    assert not web.is_public("ftp://e.org") and not web.is_public("http://x.y", lambda h: ["169.254.169.254"]) and web.is_public("http://x.y", lambda h: ["93.184.216.34"]) and not web.is_public("http://x.y", lambda h: ["::1"])
+
+
+def test_time_limit():
+    with files.time_limit(None), files.time_limit(5):
+        pass
+    with pytest.raises(TimeoutError), files.time_limit(0.05):
+        time.sleep(2)
+
+
+def test_tables_and_images_of_pages(spark):
+    rows = [["a", "b"], ["1", "x y"], ["2", ""]]
+    made = writers.pdf([[("Heading", 20, True), ("body text", 10, False)], [("next", 10, False)]], {"Title": "T"}, {1: rows}, {0: [(120, 100), (5, 5)]})
+    read = pdf.read_pdf(made)
+    assert read["tables"] == [{"page_num": 2, "idx": 1, "rows": rows}] and [s["text"] for s in read["spans"][:2]] == ["Heading", "body text"]
+    assert [i["content"][:4] for i in read["images"]] == [b"\x89PNG"] * 2 and images.image_size(read["images"][0]["content"]) == (120, 100, "png")
+    found = files.validated(files.identified(spark.createDataFrame([("/x/p.pdf", bytearray(made), len(made))], "path string, content binary, length long")))
+    docs, _ = documents.parse_files(found, {"image_output_dir": "out"}, ["pdf"])
+    d = docs.first()
+    assert d.content.endswith("**Table from page 2**\n\n| a | b |\n| --- | --- |\n| 1 | x y |\n| 2 |  |") and [(i.image_id, i.file_path, i.alt_text, i.size.width) for i in d.images] == [("img_0001", "out/img_001.png", "Image on page 1", 120)]
+    without, _ = documents.parse_files(found, {"extract_tables": False, "extract_images": False}, ["pdf"])
+    assert "Table from" not in without.first().content and without.first().images == []
+    told = lambda data: [{"type": "QRCODE", "data": b"http://e.org/x"}, {"type": "EAN13", "data": b"1"}]
+    codes, _ = documents.parse_files(found, {"decode": told}, ["pdf"])
+    assert [(c.qr_id, c.data_type, c.source_image, c.fetch_status) for c in codes.first().qr_codes] == [("qr_000", "URL", "page_1", "pending"), ("qr_002", "URL", "page_1", "pending")]
+    # frames that do not meet are tables of their own; a single box is none
+    box = lambda x, y: [(x, y, x + 40, y), (x, y + 20, x + 40, y + 20), (x, y + 40, x + 40, y + 40), (x, y, x, y + 40), (x + 40, y, x + 40, y + 40)]
+    assert pdf.ruled_tables(box(0, 0) + box(100, 100) + [(300, 0, 340, 0), (300, 20, 340, 20), (300, 0, 300, 20), (340, 0, 340, 20)], [(5, 5, "low"), (105, 125, "high"), (500, 500, "out")]) == [[["high"], [""]], [[""], ["low"]]]
+
+
+def test_images_are_saved(spark, folder, tmp_path):
+    found = files.validated(files.identified(files.scan(spark, folder)))
+    rows = writers.save(documents.image_files(found), str(tmp_path / "out")).collect()
+    assert {r.file_path for r in rows} == {"OEBPS/i.png", "image_002.png"} or {r.file_path for r in rows} == {"OEBPS/i.png", "image_001.png"}
+    for r in rows:
+        assert open(r.saved_path, "rb").read() == bytes(r.content) and r.saved_path.startswith(str(tmp_path / "out"))
+    again = writers.save(spark.createDataFrame([("../../x.png", bytearray(b"1"))], "file_name string, content binary"), str(tmp_path / "out")).first()
+    assert again.saved_path == f"{tmp_path}/out/x.png"
+    with pytest.raises(Exception, match="FileExistsError"):
+        writers.save(spark.createDataFrame([("x.png", bytearray(b"2"))], "file_name string, content binary"), str(tmp_path / "out")).collect()
+
+
+def test_colours(spark):
+    two = writers.png(4, 2, bytes([255, 0, 0] * 6 + [0, 0, 255] * 2))
+    rows = images.coloured(spark.createDataFrame([(1, bytearray(two)), (2, bytearray(b"no")), (3, None)], "i int, content binary"), count=5).collect()
+    assert [r.colours for r in rows] == [["#ff0000", "#0000ff"], [], []]
+    assert images.dominant_colours([[0, 0, 0], [10, 0, 0], [200, 200, 200]], 2) == ["#050000", "#c8c8c8"]
+    # every filter of a line
+    w, raw = 3, [bytes([10, 20, 30, 40, 50, 60, 70, 80, 90]), bytes([11, 21, 33, 40, 55, 60, 77, 80, 99])]
+    up = bytes((b - a) & 255 for a, b in zip(raw[0], raw[1]))
+    sub = bytes((raw[0][i] - (raw[0][i - 3] if i > 2 else 0)) & 255 for i in range(9))
+    avg = bytes((raw[1][i] - ((raw[1][i - 3] if i > 2 else 0) + raw[0][i]) // 2) & 255 for i in range(9))
+
+    def paeth(a, b, c):
+        p = a + b - c
+        return min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+
+    pae = bytes((raw[1][i] - paeth(raw[1][i - 3] if i > 2 else 0, raw[0][i], raw[0][i - 3] if i > 2 else 0)) & 255 for i in range(9))
+    for kind, line in ((2, up), (3, avg), (4, pae)):
+        chunk = lambda k, x: struct.pack(">I", len(x)) + k + x + struct.pack(">I", zlib.crc32(k + x))
+        made = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\x01" + sub + bytes([kind]) + line)) + chunk(b"IEND", b"")
+        assert images.png_pixels(made).reshape(2, 9).tolist() == [list(x) for x in raw]
