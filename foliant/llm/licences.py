@@ -89,6 +89,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License."),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
+#: What families are called in short notices, and how these are worded. ``{}`` is the name.
+NAMES = {
+    "apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0"), "mit": ("MIT License",), "bsd": ("BSD 3-Clause License", "BSD 2-Clause License"), "gpl": ("GNU General Public License, version 2", "GNU General Public License v3.0"),
+    "lgpl": ("GNU Lesser General Public License v3.0",), "agpl": ("GNU Affero General Public License v3.0",), "mpl-2.0": ("Mozilla Public License 2.0",), "cc-by": ("Creative Commons Attribution 4.0 International License",),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License",), "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License",), "cc-by-nd": ("Creative Commons Attribution-NoDerivatives 4.0 International License",),
+    "cc0": ("CC0 1.0 Universal license",), "isc": ("ISC License",), "unlicense": ("Unlicense",),
+}
+WORDINGS = ("Released under the {}.", "Licensed under the {}.", "Distributed under the terms of the {}.")
+#: Paragraphs of the licences' own texts that stand alone in files.
+PARAGRAPHS = {
+    "apache-2.0": ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",),
+    "mit": ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",),
+    "bsd": ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "gpl": ("You should have received a copy of the GNU General Public License along with this program.",),
+    "lgpl": ("You should have received a copy of the GNU Lesser General Public License along with this library.",),
+    "agpl": ("You should have received a copy of the GNU Affero General Public License along with this program.",),
+}
+for _family, _names in NAMES.items():
+    _more = [w.format(n) for n in _names for w in WORDINGS] + [*PARAGRAPHS.get(_family, ())]
+    TEMPLATES[_family] += tuple(t for t in _more if t not in TEMPLATES[_family])
 OTHER = (
     "All rights reserved.", "Driving license number and version of the form.", "The license to practise was granted by the state.", "Terms of use and conditions of sale apply to this work.",
     "This work was released in the spring.", "You may not use this form except in the office.", "The general public was asked to obtain a copy of the report.", "Permission was granted by the owner of the house.",

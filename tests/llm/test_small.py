@@ -405,6 +405,36 @@ def test_licences():
     assert licences.model()["temperature"] > 0
 
 
+#: Wordings that are no template.
+HELD_OUT = {
+    "apache-2.0": ["Code in this folder is made available under the Apache License 2.0", "Source files here are covered by the Apache License, Version 2.0 unless noted otherwise"],
+    "mit": ["Copyright 2021 the authors, MIT License", "Everything below is free software under the MIT License, see the file COPYING"],
+    "bsd": ["Contributions are accepted under the BSD 3-Clause License only", "Files are covered by the BSD 2-Clause License"],
+    "gpl": ["It is free software, covered by the GNU General Public License, version 2, with one exception", "The tool is GNU General Public License v3.0 software"],
+    "lgpl": ["Linking is permitted by the GNU Lesser General Public License v3.0 of the library"],
+    "agpl": ["The server falls under the GNU Affero General Public License v3.0 as well"],
+    "mpl-2.0": ["Files in this tree use the Mozilla Public License 2.0 instead"],
+    "cc-by": ["All figures are available for reuse under a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa": ["Text and tables may be reused under the Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-nc": ["Photographs by the author, Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nd": ["The report is published with a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc0": ["We dedicate the tables to the public, CC0 1.0 Universal license applies"],
+    "isc": ["Small helpers are under the ISC License"],
+    "unlicense": ["This is free and unencumbered software released into the public domain, says the header"],
+}
+NO_LICENCES = [
+    "The general public was asked for a licence to print version 3 of the book.", "You should have received a copy of the letter along with the parcel.", "He released the birds under the open sky.", "The terms of the lease are distributed among the heirs under the law.", "Redistribution of land in the valley is permitted provided that conditions are met by the farmers.",
+]
+
+
+def test_licences_in_wordings_that_are_no_template():
+    scanner = licences.Scanner(licences.model())
+    templates = {t for ts in licences.TEMPLATES.values() for t in ts}
+    found = [[m["family"] for m in scanner(t.encode())[1]] == [f] for f, ts in HELD_OUT.items() for t in ts]
+    assert not templates & {t for ts in HELD_OUT.values() for t in ts} and len(found) == 18 and sum(found) >= 15
+    assert all(scanner(t.encode())[1] == [] for t in NO_LICENCES)
+
+
 def test_licence_templates_alone():
     s = licences.Scanner(licences.model())
     for family, templates in licences.TEMPLATES.items():
