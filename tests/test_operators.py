@@ -241,6 +241,94 @@ def test_model_calls(spark):
             bad()
 
 
+def test_services(spark):
+    import json
+
+    rows = spark.createDataFrame([("a", 'say "hi"\n'), ("b", "odd"), ("c", None)], "id string, prompt string")
+    policy = ai.Policy(1, 0.0, lambda s: None)
+
+    def send(url, head, body):
+        asked = json.loads(body)
+        said = asked["messages"][-1]["content"]
+        if said == "odd":
+            return '{"success": false}'
+        if "anthropic" in url:
+            assert head["x-api-key"] == "k" and asked["system"] == "s" and asked["model"] == "m" and asked["max_tokens"] == 1024
+            return json.dumps({"content": [{"type": "text", "text": said}]})
+        assert head["Authorization"] == "Bearer k" and asked["messages"][0] == {"role": "system", "content": "s"}
+        if "cloudflare" in url:
+            assert "/accounts/acc/ai/run/m" in url and "model" not in asked
+            return json.dumps({"success": True, "result": {"response": said}})
+        return json.dumps({"choices": [{"message": {"role": "assistant", "content": said}}]})
+
+    for provider in ai.ENDPOINTS:
+        out = {r.id: r for r in ai.answered(rows, provider, "m", "k", "acc", system="s", policy=policy, send=send).collect()}
+        assert out["a"].reply == 'say "hi"\n' and out["a"].error is None and out["b"].reply is None and "no text" in out["b"].error and (out["c"].reply, out["c"].error) == (None, None), provider
+    failed = ai.answered(rows.where("id = 'a'"), "openai", "m", policy=policy, send=lambda u, h, b: (_ for _ in ()).throw(RuntimeError("403 forbidden"))).first()
+    assert failed.reply is None and "403" in failed.error
+    one = spark.createDataFrame([("what", bytearray(b"\x00\x01"))], "p string, i binary")
+    body = lambda p: json.loads(one.select(ai.request(p, "p", "m", image=F.col("i"), media_type="image/gif")).first()[0])["messages"][0]["content"]
+    assert body("anthropic") == [{"type": "image", "source": {"type": "base64", "media_type": "image/gif", "data": "AAE="}}, {"type": "text", "text": "what"}]
+    assert body("openai") == [{"type": "image_url", "image_url": {"url": "data:image/gif;base64,AAE="}}, {"type": "text", "text": "what"}]
+    with pytest.raises(ValueError):
+        ai.request("none", "p", "m")
+
+
+@pytest.mark.parametrize("said,again", [("Error 504", True), ("network is down", True), ("429: rate limit", True), ("403 while the connection was made", False), ("Unauthorized", False), ("overloaded", False), ("", False)])
+def test_retries(one, said, again):
+    assert ai.retriable(RuntimeError(said)) == again == one(ai.retriable_message, said)
+
+
+def test_codes_of_images(spark):
+    df = spark.createDataFrame([("d", 1, bytearray(b"two")), ("d", 2, bytearray(b"none")), ("e", 1, bytearray(b"bad")), ("f", 1, None)], "doc_id string, page_number int, content binary")
+
+    def decode(data):
+        if data == b"bad":
+            raise ValueError("no image")
+        return [{"type": "QRCODE", "data": b"caf\xe9"}, {"type": "CODE128", "data": "1"}, {"type": "QRCODE", "data": "tel:1", "x": 3}] if data == b"two" else []
+
+    found = qr.decoded(df, decode)
+    rows = found.collect()
+    assert len(rows) == 4 and [r.warning for r in rows if r.doc_id == "e"] == ["ValueError: no image"] and "Latin-1" in rows[0].warning
+    codes = qr.numbered(found.where("raw_data is not null")).orderBy("qr_id").collect()
+    assert [(c.qr_id, c.raw_data, c.data_type, c.x) for c in codes] == [("qr_000", "café", "TEXT", None), ("qr_002", "tel:1", "PHONE", 3)]
+
+
+def test_long_fetches_are_noted(spark):
+    tries = spark.createDataFrame([(1, 0, "u", 200, "x" * 500_100), (2, 0, "v", 200, "y" * 60)], "k int, try_no int, try_url string, status int, content string")
+    got = {r.k: r for r in qr.first_success(tries, ["k"]).collect()}
+    assert len(got[1].fetched_content) == 500_000 and got[1].fetch_notes[-1] == "content cut at 500000 characters" and len(got[2].fetch_notes) == 1
+
+
+def test_archive(spark):
+    def fetch(url):
+        if "wayback/available" in url:
+            return 200, "application/json", '{"archived_snapshots": {"closest": {"available": true, "url": "http://w/1", "status": "200"}}}' if "e.org" in url else "{}"
+        return 200, "text/html", f"copy of {url}"
+
+    rows = qr.from_archive(spark.createDataFrame([("http://e.org/a b",), ("http://x.y",)], "url string"), fetch).collect()
+    assert {(r.url, r.snapshot, r.content) for r in rows} == {("http://e.org/a b", "https://w/1", "copy of https://w/1"), ("http://x.y", None, None)}
+
+
+def test_list_items_outside_lists():
+    assert html.to_markdown(html.tree("<div><li>one</li><li>two</li></div>")) == "- one\n- two"
+
+
+def test_fields_of_pages_on_demand():
+    page = "<html lang='en'><title>T</title><body><p>" + "long text, " * 20 + "</p></body></html>"
+    assert "markdown" not in html.read_page(page, frozenset({"title"})) and html.read_page(page, frozenset({"plain"}))["plain"] == html.read_page(page)["plain"]
+
+
+def test_photo_tables(spark):
+    from foliant.sources import photo
+
+    df = spark.createDataFrame([(str(i),) for i in range(100)] + [(None,)], "c string")
+    flash = {r.c: r.v for r in df.select("c", photo.flash(F.col("c")).alias("v")).collect()}
+    assert len(photo.FLASH) == 22 and all(flash[str(i)] == photo.FLASH.get(i, f"Unknown ({i})") for i in range(100)) and flash[None] is None
+    turned = {r.c: r.v for r in df.select("c", photo.orientation(F.col("c")).alias("v")).collect()}
+    assert turned["3"] == "Rotated 180°" and turned[None] == turned["0"] == "Normal" and turned["9"] == "Unknown"
+
+
 def test_model_replies(spark):
     reply = "Overall: 85\nReadability score: 120\nStructure: x\nStrengths:\n- clear\n* short\nSuggestions:\n1. more\n"
     df = spark.createDataFrame([("a", reply), ("b", "Overall: 85"), ("c", "")], "document_id string, reply string")
