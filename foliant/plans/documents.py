@@ -6,7 +6,8 @@ can't be parsed are in ``errors``. Ids come from the file's path, so reruns agre
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +76,23 @@ def image_files(found: DataFrame, most_pages: int | None = None) -> DataFrame:
 def _once(read: DataFrame) -> DataFrame:
     """What a reader gave, kept on the executors' disks: documents, chapters and images come from one reading of each file. What a lost
     executor kept is read again."""
-    return read.persist(StorageLevel.DISK_ONLY)
+    _kept.append(read.persist(StorageLevel.DISK_ONLY))
+    return read
+
+
+_kept: list[DataFrame] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """What is read within is let go at the end: for one batch after the other, as in a stream."""
+    n = len(_kept)
+    try:
+        yield
+    finally:
+        for read in _kept[n:]:
+            read.unpersist()
+        del _kept[n:]
 
 
 def text_documents(found: DataFrame, options: dict) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import classify
-from ..plans.documents import parse_files
+from ..plans.documents import parse_files, released
 from ..sources.files import MOST_BYTES, READ_ON, identified, validated
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -25,8 +25,9 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, options:
 
     def batch(files: DataFrame, number: int) -> None:
         found = validated(identified(files))
-        docs, errors = parse_files(found, options, formats)
-        docs.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
-        errors.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
+        with released():
+            docs, errors = parse_files(found, options, formats)
+            docs.write.mode("overwrite").parquet(f"{out}/documents/batch={number}")
+            errors.write.mode("overwrite").parquet(f"{out}/errors/batch={number}")
 
     return arriving(spark, folder, files_per_trigger).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -201,12 +201,14 @@ def test_json_round_trip(spark, folder, tmp_path):
 
 
 def test_stream(spark, folder, tmp_path):
+    before = list(documents._kept)
     out, state = str(tmp_path / "out"), str(tmp_path / "state")
-    ingest(spark, folder, out, state, formats=["text", "markdown"]).awaitTermination()
+    ingest(spark, folder, out, state, formats=["text", "markdown", "html"]).awaitTermination()
     n = spark.read.parquet(f"{out}/documents").count()
-    ingest(spark, folder, out, state, formats=["text", "markdown"]).awaitTermination()
-    assert n == 4 == spark.read.parquet(f"{out}/documents").count()
+    ingest(spark, folder, out, state, formats=["text", "markdown", "html"]).awaitTermination()
+    assert n == 5 == spark.read.parquet(f"{out}/documents").count()
     assert spark.read.parquet(f"{out}/errors").where("error like 'no reader%'").count() >= 4
+    assert documents._kept == before  # batches keep nothing
 
 
 def test_empty_files_are_refused(spark):
