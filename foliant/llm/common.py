@@ -149,20 +149,22 @@ def private(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, limit: int | None = None, total: int | None = None) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, limit: int | None = None, total: int | None = None, counted: str | None = None) -> DataFrame:
     """``big`` joined to ``small`` (one row for each ``key``), with the rows of a hot key dealt over several tasks by the column ``by``.
 
     A key is hot if it has more than ``limit`` rows, or more than a HOT_KEYS-th of all; so there are HOT_KEYS hot keys at
     most, which are broadcast with their number of parts, and the row of ``small`` is repeated for each part.
-    ``big`` should be a stored table: its keys are counted first, unless it has no more than ``limit`` rows in ``total``.
+    ``big`` should be a stored table: its keys are counted first, unless ``small`` has their counts in the column ``counted``, or
+    ``big`` has no more than ``limit`` rows in ``total``.
     """
     limit = HOT_ROWS if limit is None else limit
     if total is not None and total <= limit:
         return big.join(small, key)
-    counts = big.groupBy(key).agg(F.count("*").alias("rows_of_key")).where(F.col("rows_of_key") > limit)
+    known = small.select(key, F.col(counted).alias("rows_of_key")) if counted else big.groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    counts = known.where(F.col("rows_of_key") > limit)
     if counts.isEmpty():
         return big.join(small, key)
-    limit = max(limit, big.count() // HOT_KEYS)
+    limit = max(limit, (big.count() if total is None else total) // HOT_KEYS)
     part, parts = private("part"), private("parts")
     hot = F.broadcast(stored(counts.where(F.col("rows_of_key") > limit).select(key, F.ceil(F.col("rows_of_key") / limit).cast("int").alias(parts)), "hot"))
     many = big.join(hot, key, "left").withColumn(part, F.coalesce(F.pmod(F.xxhash64(by), F.col(parts)), F.lit(0)).cast("int")).drop(parts)

@@ -20,15 +20,20 @@ def _mark(edges: DataFrame) -> tuple:
     return r[0], r[1]
 
 
+def _lowest(edges: DataFrame) -> DataFrame:
+    """(u, m, n), stored: the smallest neighbour of each node, and how many it has."""
+    return stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "low")
+
+
 def large_star(edges: DataFrame, total: int | None = None) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-    return spread_join(both.where("v > u"), low, "u", "v", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = _lowest(both).withColumn("m", F.least("u", "m"))
+    return spread_join(both.where("v > u"), low, "u", "v", total=total, counted="n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame, total: int | None = None) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    rest = spread_join(edges, low, "u", "v", total=total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = _lowest(edges)
+    rest = spread_join(edges, low, "u", "v", total=total, counted="n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
