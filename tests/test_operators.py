@@ -303,7 +303,7 @@ def test_long_fetches_are_noted(spark):
 def test_archive(spark):
     def fetch(url):
         if "wayback/available" in url:
-            return 200, "application/json", '{"archived_snapshots": {"closest": {"available": true, "url": "http://w/1", "status": "200"}}}' if "e.org" in url else "{}"
+            return 200, "application/json", '{"archived_snapshots": {"closest": {"available": true, "url": "http://w/1", "status": "200"}}}' if "%2Fe.org" in url else "{}"
         return 200, "text/html", f"copy of {url}"
 
     rows = qr.from_archive(spark.createDataFrame([("http://e.org/a b",), ("http://x.y",)], "url string"), fetch).collect()
