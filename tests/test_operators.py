@@ -1,8 +1,10 @@
 """Expressions and operators against plain values."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from foliant import queries
 from foliant.functions import classify, markdown, text
 from foliant.operators import ai, chapters, html, images, qr
 from foliant.operators.frontmatter import extracted, metadata, split_head
@@ -168,6 +170,28 @@ def test_html_to_markdown():
     assert html.to_markdown(html.tree("<div>" * 3000 + "deep" + "</div>" * 3000)) == "deep"
 
 
+CUT = """<!DOCTYPE html><html lang="en"><head><title>A&amp;&amp</title><style>p{margin:0}</style><script>x = "&amp";</script></head><body><article><h1>A&amp;&amp</h1>"""
+CUT += "<p>Words of some length, and &lt b &lt; c &ampx; &#39 &#39; &amp;lt; R&D then</p>" * 3 + "</article></body></html>"
+
+
+def test_references_without_semicolon_are_text():
+    assert html.tree(CUT).text().startswith("A&&ampA&&ampWords")
+    texts = html.tree('<a href="/?a=1&copy=2&amp;b" title="x &amp">&nope; &eacute;&#x41;&#x42 \ufdd0</a><code><script>a&&b&amp;c&lt</script></code>')
+    a, code = texts.children
+    assert a.attrs == {"href": "/?a=1&copy=2&b", "title": "x &amp"} and a.text() == "&nope; éA&#x42 \ufdd0" and code.text(frozenset()) == "a&&b&amp;c&lt"
+
+
+@pytest.mark.parametrize("name", ["page_documents"])
+def test_cut_references_as_in_sql(spark, tmp_path, name):
+    pages = [(i, "http://example.com/a", CUT) for i in range(7)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as from '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.sql(f"select {', '.join(got.columns)} from ({queries.ORACLES[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want)) and len(want) == 7
+
+
 def test_pages_that_fail_are_rows(spark):
     rows = html.read_pages(spark.createDataFrame([(1, None), (2, ""), (3, "<html><body><p>" + "Text of some length, yes. " * 9)], "i int, html string"), ["i"]).orderBy("i").collect()
     assert rows[0].warnings == ["null page"] and rows[1].main_text is None and rows[2].markdown.startswith("Text of")
