@@ -181,7 +181,7 @@ def test_references_without_semicolon_are_text():
     assert a.attrs == {"href": "/?a=1&copy=2&b", "title": "x &amp"} and a.text() == "&nope; éA&#x42 \ufdd0" and code.text(frozenset()) == "a&&b&amp;c&lt"
 
 
-@pytest.mark.parametrize("name", ["page_documents", "page_metadata", "page_tags"])
+@pytest.mark.parametrize("name", ["page_documents", "page_metadata", "page_tags", "page_plain_text"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     pages = [(i, "http://example.com/a", CUT) for i in range(7)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
