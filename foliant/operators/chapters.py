@@ -178,10 +178,11 @@ def font_headings(spans: DataFrame, doc_col: str = "doc_id", max_words: int = MA
     """Spans (doc, span_idx, text, font_size, is_bold) that are headings, with level and position.
 
     Size at least mean + 1.5 sample deviations, or bold and above the mean; 1 to ``max_words`` words. The level is the
-    rank of the size among the document's sizes, 6 at most. Positions run over the spans' texts with a space between.
+    rank of the size among the document's sizes, 6 at most. Positions run over the spans' texts with a space between;
+    of spans with one place and text, the largest comes first, then bold before plain, whatever order they arrive in.
     """
     doc = Window.partitionBy(doc_col)
-    order = doc.orderBy("page_num", "span_idx", "text").rowsBetween(Window.unboundedPreceding, -1)
+    order = doc.orderBy("page_num", "span_idx", "text", F.desc("font_size"), F.desc("is_bold")).rowsBetween(Window.unboundedPreceding, -1)
     stats = spans.withColumn("mean", F.avg("font_size").over(doc)).withColumn("dev", F.coalesce(F.stddev_samp("font_size").over(doc), F.lit(0.0)))
     ranked = stats.withColumn("level", F.least(F.dense_rank().over(doc.orderBy(F.desc("font_size"))), F.lit(6))).withColumn("position", F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0)).cast("long"))
     large = (F.col("font_size") >= F.col("mean") + 1.5 * F.col("dev")) | (F.col("is_bold") & (F.col("font_size") > F.col("mean")))

@@ -99,6 +99,13 @@ def test_font_headings(spark):
     assert chapters.font_headings(spark.createDataFrame([("d", 1, 0, "only", 9.0, False)], df.schema)).count() == 1
 
 
+def test_font_headings_of_equal_places_come_by_size_and_weight(spark):
+    spans = [("d", 1, 0, "T 1", 12.0, True), ("d", 1, 0, "T 1", 12.0, False), ("d", 1, 0, "T 1", 8.0, True), ("d", 1, 1, "low", 8.0, False), ("d", 1, 2, "low", 8.0, False)]
+    for rows in (spans, spans[::-1], spans[1:] + spans[:1]):
+        df = spark.createDataFrame(rows, "doc_id string, page_num int, span_idx int, text string, font_size double, is_bold boolean").coalesce(1)
+        assert [(r.title, r.level, r.position) for r in chapters.font_headings(df).collect()] == [("T 1", 1, 0)]
+
+
 def test_headings_set_into_text(spark):
     df = spark.createDataFrame([("Intro Big body Sub end", [("Big", 1, 6), ("Sub", 2, 15), ("none", 1, 3)])], "t string, h array<struct<title:string,level:int,position:bigint>>")
     assert df.select(chapters.with_headings(F.col("t"), F.col("h"))).first()[0] == "Intro \n\n# Big\n\n body \n\n## Sub\n\n end"
