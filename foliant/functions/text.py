@@ -135,10 +135,10 @@ def tidy_lines(c: Column | str, blank_lines: int = 1) -> Column:
     return strip(F.regexp_replace(joined, "\n{%d,}" % (blank_lines + 2), "\n" * (blank_lines + 1)))
 
 
-def tidy_space(c: Column | str) -> Column:
+def tidy_space(c: Column | str, spaces: str = SPACES) -> Column:
     """Lines stripped, runs of spaces one, at most one blank line in a row, the whole stripped."""
-    joined = F.regexp_replace(F.array_join(F.transform(lines(c), strip), "\n"), " {2,}", " ")
-    return strip(F.regexp_replace(joined, "\n{3,}", "\n\n"))
+    joined = F.regexp_replace(F.array_join(F.transform(lines(c), lambda x: F.btrim(x, F.lit(spaces))), "\n"), " {2,}", " ")
+    return F.btrim(F.regexp_replace(joined, "\n{3,}", "\n\n"), F.lit(spaces))
 
 
 def cleaned(c: Column | str, rules: bool = True) -> Column:

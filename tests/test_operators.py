@@ -217,7 +217,7 @@ def odd_pages():
     return pages + [title.format(' lang="de"', t, t) for t in ("", "  ", "\xa0a\xa0", "\x0ba\x1c", "\u2028a\u3000", "\ta\r\n\fb\r\n")]
 
 
-@pytest.mark.parametrize("name", ["page_metadata", "page_tags"])
+@pytest.mark.parametrize("name", ["page_metadata", "page_tags", "page_plain_text"])
 def test_odd_pages_as_in_sql(spark, tmp_path, name):
     odd = odd_pages()
     got, want = against_sql(spark, tmp_path, name, [(i, p) for i, p in enumerate(x for p in odd for x in [p] * 6)])
